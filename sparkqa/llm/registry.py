@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from sparkqa.llm import chat_format, shards, url_filter
+from sparkqa.llm import chat_format, exact_dedup, fingerprint, packing, shards, url_filter
 
 
 def queries() -> dict:
     return {
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_packing": packing.op5_packing,
+        "op6_fingerprint": fingerprint.op6_fingerprint,
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_shards": shards.op8_shards,
+        "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.SQL, "op7_chat_format": chat_format.SQL}
+    return {
+        "op4_url_filter": url_filter.SQL,
+        "op7_chat_format": chat_format.SQL,
+        "op10_exact_dedup": exact_dedup.SQL,
+    }

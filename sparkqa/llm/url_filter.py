@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkqa.llm import bloom
 from sparkqa.llm.shared import ascii_lower, stored
 
 #: The rules (host and path prefix) and their verdicts.
@@ -76,32 +77,10 @@ class Cascade:
         found = F.lit(False)
         for depth in range(len(self.levels), 0, -1):
             words, bits, hashes = self.levels[depth - 1]
-            found = _passes(key, depth, words, bits, hashes) & ~found
+            found = bloom.passes(key, words, depth, bits, hashes) & ~found
         return found
 
 
-def _positions(key: Column, depth: int, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(depth), F.lit(i)), F.lit(bits)) for i in range(hashes)]
-
-
-def _passes(key: Column, depth: int, words: DataFrame, bits: int, hashes: int) -> Column:
-    filled = words.select("words").scalar()
-    bit = lambda p: F.getbit(F.element_at(filled, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63).cast("int"))
-    return reduce(Column.__and__, [bit(p) == 1 for p in _positions(key, depth, bits, hashes)])
-
-
-def _level(keys: DataFrame, depth: int, bits: int, hashes: int) -> DataFrame:
-    """One row with the filter's 64-bit words in order."""
-    spark, n = keys.sparkSession, (bits + 63) // 64
-    set_bits = (
-        keys.select(F.explode(F.array(*_positions(F.col("key"), depth, bits, hashes))).alias("p"))
-        .select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("mask"))
-    )
-    words = set_bits.unionByName(spark.range(n).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask")))
-    words = words.groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words"))
-
-
 def build_cascade(universe: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Cascade | None:
     """universe: (key, listed boolean), each key once. None if a level would pass ``max_filter_bits``."""
     inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
@@ -112,13 +91,12 @@ def build_cascade(universe: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -
             return Cascade(levels)
         depth = len(levels) + 1
         share = min(0.5, max(n * math.sqrt(0.5) / max(1, outside.count()), 1e-9)) if depth == 1 else 0.5
-        bits = max(64, math.ceil(n * math.log2(1 / share) / math.log(2)))
+        bits, hashes = bloom.shape(n, share)
         if bits > max_filter_bits:
             return None
-        hashes = max(1, round(bits / n * math.log(2))) if bits > 64 else max(1, min(8, round(64 / n * math.log(2))))
-        words = stored(_level(inside, depth, bits, hashes), "level")
+        words = bloom.build(inside, "key", depth, bits, hashes)
         levels.append((words, bits, hashes))
-        wrong = stored(outside.where(_passes(F.col("key"), depth, words, bits, hashes)), "wrong")
+        wrong = stored(outside.where(bloom.passes(F.col("key"), words, depth, bits, hashes)), "wrong")
         inside, outside = wrong, inside
 
 
@@ -149,10 +127,10 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
     if None in cascades.values():
         return by_join(judged, rules, keyed, default)
     block, allow = cascades["block"], cascades["allow"]
-    sized = lambda k: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("h"), k.alias("key"))
-    fits = [F.when(k.isNotNull() & (block.contains(k) | allow.contains(k)), sized(k)) for k in keyed]
-    judged = judged.withColumn("rule", F.array_max(F.array(*fits))["key"])
-    return judged.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(block.contains(F.col("rule")), "block").otherwise("allow"))
+    sized = lambda k, verdict: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("h"), k.alias("key"), F.lit(verdict).alias("verdict"))
+    fits = [F.when(block.contains(k), sized(k, "block")).when(allow.contains(k), sized(k, "allow")) for k in keyed]
+    best = judged.withColumn("_best", F.array_max(F.array(*fits)))
+    return best.withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")
 
 
 def by_join(judged: DataFrame, rules: DataFrame, keyed: list[Column], default: str) -> DataFrame:
