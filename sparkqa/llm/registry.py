@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkqa.llm import chat_format, exact_dedup, fingerprint, packing, shards, url_filter
+from sparkqa.llm import chat_format, exact_dedup, fingerprint, packing, shards, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_fingerprint": fingerprint.op6_fingerprint,
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_shards": shards.op8_shards,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 

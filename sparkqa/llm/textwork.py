@@ -35,6 +35,12 @@ def _grow(n: int) -> None:
     _powers, _inverses = np.cumprod(p), np.cumprod(q)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the hashes' base, and of its inverse."""
+    _grow(n)
+    return _powers, _inverses
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads every bit over all bits (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
