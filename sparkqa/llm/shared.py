@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +40,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_order(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id, text (null as empty) and ``ord``, a number of its own for each row: doc_id where ids are distinct and none
+    is null, else the row's rank by doc_id (nulls first) and text. keep: all columns as they are, and ``ord``."""
+    rows = docs if keep else docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    n = rows.agg(F.count("*").alias("all"), F.count("doc_id").alias("ids")).first()
+    if n.all == n.ids and n.all == rows.select("doc_id").distinct().count():
+        return rows.withColumn("ord", F.col("doc_id").cast("long"))
+    ranked = rows.sort(F.col("doc_id").asc_nulls_first(), "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return stored(docs.sparkSession.createDataFrame(ranked, T.StructType([*rows.schema.fields, T.StructField("ord", T.LongType())])), "ordered")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, component), component being the smallest node reachable.
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkqa.llm.shared import documents, new_folder, stored
+from sparkqa.llm.shared import documents, new_folder, stored, with_order
 from sparkqa.llm.textwork import mixed, powers, small_batches
 
 LENGTH, TOKEN = 100, 24
@@ -221,17 +221,6 @@ def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(out, columns=["ord", "n_removed", "n_spans", "kept_sha256", "span_start", "span_end"])
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``ord``, a number of its own for each row: doc_id where ids are distinct and none is null, else
-    the row's rank by doc_id (nulls first) and text."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = rows.agg(F.count("*").alias("all"), F.count("doc_id").alias("ids")).first()
-    if n.all == n.ids and n.all == rows.select("doc_id").distinct().count():
-        return rows.withColumn("ord", F.col("doc_id"))
-    ranked = rows.sort(F.col("doc_id").asc_nulls_first(), "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return stored(docs.sparkSession.createDataFrame(ranked, "doc_id long, text string, ord long"), "ordered")
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANGE_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_start and span_end (arrays; null for a
     text that is a copy of an earlier one and goes as a whole).
@@ -244,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
         raise ValueError("length must be from 32 to 270")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = _ordered(docs)
+    docs = with_order(docs)
     size = F.octet_length("text").cast("long")
     told = stored(docs.select("ord", "doc_id", size.alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "told")
     firsts = told.groupBy("sha256").agg(F.min("ord").alias("first"))
