@@ -47,6 +47,8 @@ def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: C
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves log space
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
         own.conf.set(key, value)
@@ -105,7 +107,8 @@ def differing(rows: DataFrame, state: DataFrame, digest: Callable[[Column], Colu
     bits = min(bits, MAX_HIT_BITS)
     words = bloom.build(hits, "digest", 1, bits, hashes)
     norm = normalised(F.col("text"))
-    texts = rows.select(digest(F.sha2(norm, 256)).alias("digest"), norm.alias("norm"))
+    # inline keeps the filter above what it tests, so that a text is digested once and not once per probe
+    texts = rows.select(F.inline(F.array(F.struct(digest(F.sha2(norm, 256)).alias("digest"), norm.alias("norm")))))
     suspects = texts.where(bloom.passes(F.col("digest"), words, 1, bits, hashes))
     return stored(suspects.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("digest"), "differing")
 
