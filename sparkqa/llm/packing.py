@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,25 +28,41 @@ from sparkqa.llm.textwork import small_batches
 
 LENGTH, END_ID, VOCABULARY, PARTS, PIECES_A_PART = 2048, 1, "byte_bpe_50k.json", 64, 1 << 20
 
-# A tokenizer of this kind never joins what stands before a run of white space with what follows, so texts are cut
-# before runs of blanks and line ends, and ids of these units are kept. Texts with other white space are encoded whole.
+# A byte-level tokenizer never joins what stands before a run of white space with what follows, so texts are cut before
+# runs of blanks and line ends, and ids of these units are kept. A new unit is split as the tokenizer does, and only words
+# that are new go to the tokenizer's model. What has other white space, or letters beyond Latin, is encoded whole.
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-MAX_KNOWN, MAX_UNIT = 400_000, 40
+_OTHER = re.compile("[^\n\x20-\x7e\xa1-\u024f\u2010-\u2027]")
+MAX_UNITS, MAX_WORDS = 300_000, 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
 class Encoder:
-    """Ids of texts by the tokenizer file, as little-endian 32-bit bytes; ids of short units are remembered."""
+    """Ids of texts by the tokenizer file, as little-endian 32-bit bytes; ids of units and words are remembered."""
 
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        self.by_words = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not told["normalizer"]
+        self.split, self.letters = regex.compile(public_tokenizers.PATTERN).findall, _byte_letters()
+        self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -53,25 +70,31 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        units = [None if _OTHER_SPACE.search(t) else _UNIT.findall(t) for t in texts]
-        if len(self.known) > MAX_KNOWN:
-            self.known.clear()
-        known = self.known
-        new = list({u for us in units if us for u in us}.difference(known))
-        once = dict(zip(new, self.whole(new), strict=True)) if new else {}
-        known.update((u, ids) for u, ids in once.items() if len(u) <= MAX_UNIT)
-        for text, us in zip(texts, units, strict=True):
-            if us is None:
-                yield self.whole([text])[0]
-            else:
-                try:
-                    yield b"".join(map(known.__getitem__, us))
-                except KeyError:
-                    yield b"".join([known.get(u) or once[u] for u in us])
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        ids = self.words[word] = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+    def unit(self, unit: str) -> bytes:
+        known = self.words.get
+        ids = self.units[unit] = b"".join([known(w) or self.word(w) for w in self.split(unit)])
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_words or _OTHER.search(text):
+            return self.whole(text)
+        if len(self.units) > MAX_UNITS:
+            self.units.clear()
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        known, units = self.units, _UNIT.findall(text)
+        try:
+            return b"".join(map(known.__getitem__, units))
+        except KeyError:
+            return b"".join([known.get(u) or self.unit(u) for u in units])
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -89,7 +112,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabula
         encoder = Encoder.of(path)
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(batch["text"].to_list()), strict=True):
+            for doc_id, ids in zip(batch["doc_id"], map(encoder.encode, batch["text"]), strict=True):
                 ids += end
                 total = len(ids) // 4
                 out.extend((doc_id, at, min(length, total - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), total) for at in range(0, total, length))
