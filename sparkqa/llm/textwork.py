@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import SparkSession
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of text in one Arrow batch (texts can be long), for the session's later queries."""
-    if int(spark.conf.get(_BATCH)) > rows or int(spark.conf.get(_BATCH)) <= 0:
-        spark.conf.set(_BATCH, str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the bytes in one Arrow batch (texts can be long), for the session's later queries."""
+    if int(spark.conf.get(_BATCH).rstrip("b")) > size:
+        spark.conf.set(_BATCH, str(size))
 
 
 _LOWER = np.arange(256, dtype=np.uint64)
