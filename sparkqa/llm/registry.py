@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkqa.llm import chat_format, exact_dedup, fingerprint, packing, shards, simhash, suffix_dedup, url_filter
+from sparkqa.llm import chat_format, exact_dedup, fingerprint, packing, shards, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_packing": packing.op5_packing,
