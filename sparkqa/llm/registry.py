@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkqa.llm import chat_format, exact_dedup, fingerprint, packing, shards, simhash, suffix_dedup, toxicity, url_filter
+from sparkqa.llm import chat_format, exact_dedup, fingerprint, mixing, packing, shards, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.SQL,
         "op4_url_filter": url_filter.SQL,
         "op7_chat_format": chat_format.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
