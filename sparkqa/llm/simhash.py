@@ -28,13 +28,15 @@ SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
 SIMILARITY, SIMILAR_SHINGLE, SKETCH, NEAR_BITS = 0.8, 5, 256, 32
 
 
-def majority(hashes: np.ndarray) -> int:
-    """64 bits, each set where over half of the hashes have it; 0 without hashes."""
-    counts = np.zeros(64, dtype=np.int64)
+def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
+    """64 bits, each set where over half of the hashes (by number, or by weight) have it; 0 without hashes."""
+    counts = np.zeros(64, dtype=np.int64 if weights is None else np.float64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[at : at + (1 << 16)], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64) if weights is None else weights[at : at + (1 << 16)] @ bits
+    half = len(hashes) if weights is None else weights.sum()
+    return int(np.packbits(2 * counts > half, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -205,8 +207,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = SIM
     """One row per row of ``docs`` (its columns and ``group_id``, a number that near duplicates share).
 
     Near duplicates have a resemblance of ``similarity`` or more on shingles of ``n`` words. Texts with that resemblance
-    differ in few words, so candidates come from two SimHash fingerprints of the distinct single words, which differ in
-    far fewer bits than those of shingles would: they meet under the Golay keys of either and differ in at most
+    differ in few words, so candidates come from two SimHash fingerprints of single words (weighted by the root of their
+    number), which differ in far fewer bits than those of shingles would: they meet under the Golay keys of either and differ in at most
     ``near_bits`` of the 128 bits. Candidates are then verified by the bottom-k sketches of their shingles (256 hashes:
     exact for up to 256 distinct shingles, standard error 0.025 beyond).
 
@@ -222,9 +224,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = SIM
             for o, text in zip(batch["ord"], batch["text"], strict=True):
                 words = word_hashes((text or "").encode("utf-8", "surrogatepass"))
                 if len(words):
-                    once = np.unique(words)
+                    once, times = np.unique(words, return_counts=True)
+                    weights = np.sqrt(times)
                     low = np.unique(shingle_hashes(words, n) >> np.uint64(32))[:SKETCH].astype("<u4").tobytes()
-                    out.append((o, *(np.uint64(majority(h)).view(np.int64) for h in (once, mixed(once ^ np.uint64(0x5851F42D4C957F2D)))), low))
+                    out.append((o, *(np.uint64(majority(h, weights)).view(np.int64) for h in (once, mixed(once ^ np.uint64(0x5851F42D4C957F2D)))), low))
             yield pd.DataFrame(out, columns=["id", "f0", "f1", "low"])
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
