@@ -130,8 +130,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
         while todo:
             most = max((r for r, packs in room.items() if packs), default=0)
             if most < length:
-                fill = min(capacity // length, 1)
-                room[capacity - length * fill].append([(length,) * fill, todo])
+                # one opened after the other, each takes what follows while it has room
+                each = capacity // length
+                for n, count in ((each, todo // each), (todo % each, 1)):
+                    if n and count:
+                        room[capacity - length * n].append([(length,) * n, count])
                 break
             pattern, count = room[most].pop()
             n = min(todo, count)
