@@ -140,3 +140,10 @@ def j4_daily_stream(spark, sf_dir):
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     latest = spark.read.parquet(out).groupBy("day").agg(F.max_by(F.struct("requests", "failed", "mean_value"), "batch").alias("x"))
     return latest.select("day", "x.requests", "x.failed", F.round("x.mean_value", 4).alias("mean_value"))
+
+
+@query("i3_numbers", "SELECT user_id, round(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END), 4) AS total, 0.0::DOUBLE AS missing FROM events GROUP BY 1")
+def i3_numbers(spark, sf_dir):
+    """Bad values and missing columns count as 0."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"))
+    return rows.groupBy("user_id").agg(F.round(F.sum(runlog.number(rows, "value")), 4).alias("total"), F.sum(runlog.number(rows, "nothing")).alias("missing"))

@@ -191,4 +191,17 @@ def g8_distinct_filters(spark, sf_dir):
     return first_filters(rows, ["col"], "value", "c_custkey")
 
 
+@query("c5_filters_in_order", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 AND l_discount <= 0.02")
+def c5_filters_in_order(spark, sf_dir):
+    from sparkqa.plans.plan import apply_filters
+
+    return apply_filters(table(spark, sf_dir, "lineitem"), [Filter("l_returnflag", "eq", "a"), Filter("l_quantity", "gt", "45"), Filter("l_discount", "lte", 0.02)]).select("l_orderkey", "l_linenumber")
+
+
+@query("d17_run_plan_strict", "SELECT round(avg(l_extendedprice), 4) AS value FROM lineitem WHERE l_linestatus = 'O'")
+def d17_run_plan_strict(spark, sf_dir):
+    out = run_plan(table(spark, sf_dir, "lineitem"), Plan("avg", target="l_extendedprice", filters=(Filter("l_linestatus", "eq", "o"),)), strict=True)
+    return out.select(F.round("value", 4).alias("value"))
+
+
 __all__ = ["QUERIES", "SQL", "flagship", "numbered", "planned", "predicate", "query", "table"]

@@ -211,3 +211,59 @@ def g7_append_tables(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
     b = table(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
     return C.append_tables([a, b])
+
+
+@query("f5_profiler_types", """
+SELECT * FROM (VALUES ('c_custkey', 'identifier'), ('c_name', 'text'), ('c_nationkey', 'integer'), ('c_acctbal', 'numeric'), ('c_mktsegment', 'categorical')) t("column", semantic_type)""")
+def f5_profiler_types(spark, sf_dir):
+    return C.profile(table(spark, sf_dir, "customer"), rules="profiler").select("column", "semantic_type")
+
+
+@query("f6_identifier_rules", """
+WITH r AS (SELECT count(DISTINCT o_orderkey) / count(*)::DOUBLE AS a, count(DISTINCT o_custkey) / count(*)::DOUBLE AS b FROM orders)
+SELECT 'order_total' AS "column", false AS catalog, a >= 0.995 AS profiler FROM r UNION ALL SELECT 'customer_no', true, b >= 0.995 FROM r UNION ALL SELECT 'account', b >= 0.98, true FROM r""")
+def f6_identifier_rules(spark, sf_dir):
+    """The two rule sets disagree by design: a measure's name vetoes in one, ``no`` and ``account`` count in one each."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_total"), F.col("o_custkey").alias("customer_no"), F.col("o_custkey").alias("account"))
+    ratio = F.col("distinct_ratio")
+    out = C.profile(rows)
+    return out.select("column", C.is_identifier(F.col("column"), F.col("kind"), ratio, "catalog").alias("catalog"), C.is_identifier(F.col("column"), F.col("kind"), ratio, "profiler").alias("profiler"))
+
+
+@query("f7_booleans", "SELECT 'done' AS \"column\", true AS booleans, 'boolean' AS semantic_type FROM orders HAVING count(*) > 0 UNION ALL SELECT 'status', false, 'categorical'")
+def f7_booleans(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", " Yes").when(F.col("o_orderstatus") == "O", "no").alias("done"), F.col("o_orderstatus").alias("status"))
+    return C.profile(rows).select("column", "booleans", "semantic_type")
+
+
+@query("f8_roles", """
+SELECT * FROM (VALUES ('p_partkey', 'identifier'), ('p_name', 'dimension'), ('p_brand', 'dimension'), ('p_type', 'dimension'), ('p_size', 'measure'), ('p_retailprice', 'measure'), ('remarks', 'text'), ('label', 'text')) t("column", role)""")
+def f8_roles(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    rows = table(spark, sf_dir, "part").withColumns({"remarks": F.concat(F.lit("r "), key), "label": F.concat(F.lit("l "), key)})
+    return C.profile(rows).select("column", "role")
+
+
+@query("f1_profile_approx", "SELECT 'l_returnflag' AS \"column\", count(*) AS row_count, count(l_returnflag) AS non_null, count(DISTINCT l_returnflag) AS distinct_count FROM lineitem UNION ALL SELECT 'l_linestatus', count(*), count(l_linestatus), count(DISTINCT l_linestatus) FROM lineitem")
+def f1_profile_approx(spark, sf_dir):
+    return C.profile(table(spark, sf_dir, "lineitem"), approx=True, columns=["l_returnflag", "l_linestatus"]).select("column", "row_count", "non_null", "distinct_count")
+
+
+@query("e4_fuzzy_contained", f"""
+WITH p AS (SELECT p_partkey, {NORM.format("p_name")} AS q, {NORM.format("p_name || CASE p_partkey % 2 WHEN 0 THEN '' ELSE ' ' || p_type END")} AS c FROM part)
+SELECT p_partkey, round(CASE WHEN q = c THEN 1.0 ELSE 0.82 + 0.18 * length(q) / length(c) END, 6) AS score FROM p""")
+def e4_fuzzy_contained(spark, sf_dir):
+    """Equal and contained names (the sequence ratio is tested against plain Python)."""
+    other = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" "), "p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(linking.fuzzy_score(F.col("p_name"), other), 6).alias("score"))
+
+
+@query("g3_only_column", f"""
+WITH d AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS value FROM customer UNION SELECT 'other', nullif(c_mktsegment, 'BUILDING') FROM customer), n AS (SELECT DISTINCT "column", value FROM d WHERE value IS NOT NULL)
+SELECT value AS phrase, max("column") AS "column" FROM n GROUP BY 1 HAVING count(*) = 1""")
+def g3_only_column(spark, sf_dir):
+    """Values that two columns have are refused; the one that only one has is linked."""
+    rows = table(spark, sf_dir, "customer").withColumn("other", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    values = linking.value_dictionary(rows, ["c_mktsegment", "other"])
+    links = linking.link_values(rows.select(F.col("c_mktsegment").alias("phrase")), values, near_miss=False)
+    return linking.only_column(links.where("score = 1")).select("phrase", "column")

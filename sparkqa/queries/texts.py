@@ -272,4 +272,17 @@ def e22_confidence(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(S.confidence_blend(F.col("p_size") / 50.0, F.col("p_size") / 25.0, F.col("p_size") % 2 == 0), 6).alias("confidence"))
 
 
+
+@query("h3_kept_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, count(*) FILTER (pos % 5 <> 3 AND length(trim(line)) >= 2) AS kept FROM l GROUP BY 1 HAVING kept > 0")
+def h3_kept_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    marked = lines.withColumn("line", F.when(F.col("pos") % 5 == 3, "#/texts/4").otherwise(F.col("line")))
+    return corpus.kept_lines(marked).groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query("h10_threshold", f"WITH {TOP}, {HITS}, {KEPT.replace('s >= 0.2', 's >= 0.58')} SELECT query_id, count(*) AS n FROM kept GROUP BY 1")
+def h10_threshold(spark, sf_dir):
+    return retrieval.refined(hits_of(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 __all__ = ["QUERIES", "SQL", "questions"]
