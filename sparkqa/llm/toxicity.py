@@ -80,8 +80,8 @@ def lexicon(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> list[str]:
     labelled = labelled.dropDuplicates(["text"])  # copies of a text say nothing new
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[str, int, int]] = []
         for batch in batches:
-            out = []
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 sums = Counter()
                 for word, n in words_of(text).items():
@@ -89,7 +89,10 @@ def lexicon(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> list[str]:
                     for f in forms(word):
                         sums[f] += n
                 out.extend((f, toxic, n) for f, n in sums.items())
-            yield pd.DataFrame(out, columns=["feature", "toxic", "n"])
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["feature", "toxic", "n"])
+                    out = []
+        yield pd.DataFrame(out, columns=["feature", "toxic", "n"])
 
     is_toxic = F.col("toxic") == 1
     counts = labelled.select("text", "toxic").mapInPandas(told, "feature string, toxic int, n long").groupBy("feature").agg(
