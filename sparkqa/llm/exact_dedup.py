@@ -46,7 +46,8 @@ def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: C
     for key, value in {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else stores of a finished stream keep their memory for a while
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves log space
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
