@@ -10,7 +10,9 @@ all pieces is numbered in many tasks.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
@@ -28,12 +30,18 @@ from sparkqa.llm.textwork import small_batches
 
 LENGTH, END_ID, VOCABULARY, PARTS, PIECES_A_PART = 2048, 1, "byte_bpe_50k.json", 64, 1 << 20
 
-# A byte-level tokenizer never joins what stands before a run of white space with what follows, so texts are cut before
-# runs of blanks and line ends, and ids of these units are kept. A new unit is split as the tokenizer does, and only words
-# that are new go to the tokenizer's model. What has other white space, or letters beyond Latin, is encoded whole.
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
+# Texts of plain characters (Latin letters, punctuation, blanks and line ends) are split into words as the tokenizer does,
+# ids of words are kept, and only words that are new go to the tokenizer's model. Other texts are encoded whole.
+_PLAIN = [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028)]
 _OTHER = re.compile("[^\n\x20-\x7e\xa1-\u024f\u2010-\u2027]")
-MAX_UNITS, MAX_WORDS = 300_000, 500_000
+MAX_WORDS = 800_000
+
+
+def _splitter() -> re.Pattern:
+    """The byte-level pattern (contractions; letters, digits or signs with a blank before; white space), for plain texts."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in _PLAIN if unicodedata.category(chr(c))[0] == kind)
+    letters, digits = of("L"), of("N")
+    return re.compile(rf" ?[{letters}]+| ?[{digits}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{letters}{digits}]+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,14 +52,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizer file, as little-endian 32-bit bytes; ids of units and words are remembered."""
+    """Ids of texts by the tokenizer file, as little-endian 32-bit bytes; ids of words are remembered."""
 
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        import json
-
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,8 +65,7 @@ class Encoder:
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.by_words = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not told["normalizer"]
-        self.split, self.letters = regex.compile(public_tokenizers.PATTERN).findall, _byte_letters()
-        self.units: dict[str, bytes] = {}
+        self.split, self.letters = _splitter().findall, _byte_letters()
         self.words: dict[str, bytes] = {}
 
     @classmethod
@@ -75,26 +79,17 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = self.words[word] = array("I", [t.id for t in found]).tobytes()
-        return ids
-
-    def unit(self, unit: str) -> bytes:
-        known = self.words.get
-        ids = self.units[unit] = b"".join([known(w) or self.word(w) for w in self.split(unit)])
-        return ids
+        return array("I", [t.id for t in found]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.by_words or _OTHER.search(text):
             return self.whole(text)
-        if len(self.units) > MAX_UNITS:
-            self.units.clear()
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        known, units = self.units, _UNIT.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            return b"".join([known.get(u) or self.unit(u) for u in units])
+        known, words = self.words, self.split(text)
+        for new in set(words).difference(known):
+            known[new] = self.word(new)
+        return b"".join(map(known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
