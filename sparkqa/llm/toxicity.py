@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkqa.llm.shared import documents, stored
 from sparkqa.llm.textwork import small_batches
 
-#: Labelled texts that lexicons and classifier may be fitted on, their longest counted size, entries and lexicon voters.
+#: Labelled texts that lexicons and classifier may be fitted on, entries, lexicon voters, and lengths of word beginnings.
 MAX_LABELLED, MAX_ENTRIES, LEXICONS, BEGINNINGS = 20_000, 2_000, 10, range(4, 9)
 #: What an entry needs: log likelihood ratio statistic over texts, and log ratio of its rates among words.
 MIN_EVIDENCE, MIN_RATIO = 18.0, 2.5
