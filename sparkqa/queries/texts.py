@@ -238,9 +238,9 @@ def h17_growth(spark, sf_dir):
 
 
 @query("h18_verify_answers", """
-SELECT o_orderkey, o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND abs((round(o_totalprice) + 3) - round(o_totalprice)) <= 0.05) OR o_orderkey % 3 = 2 AS verified FROM orders""")
+SELECT o_orderkey, o_orderkey % 3 <> 1 AS verified FROM orders""")
 def h18_verify_answers(spark, sf_dir):
-    whole = F.round("o_totalprice").cast("long")
+    whole = F.round("o_totalprice").cast("long") + 10000  # too large to be a year
     evidence = F.concat(F.lit("2024 Revenue = "), whole.cast("string"))
     answer = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Revenue was "), whole.cast("string"), F.lit(" in 2024."))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Revenue was "), (whole + 3).cast("string"), F.lit(" in 2024."))).otherwise("I couldn't find it, 77 times.")
     return table(spark, sf_dir, "orders").select("o_orderkey", grounding.verified(answer, evidence).alias("verified"))
