@@ -12,7 +12,7 @@ should hold are compared block against block in many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -203,8 +203,8 @@ def linked_fingerprints(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS,
     return rows.join(of, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = SIMILAR_SHINGLE, near_bits: int = NEAR_BITS) -> DataFrame:
-    """One row per row of ``docs`` (its columns and ``group_id``, a number that near duplicates share).
+def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMILAR_SHINGLE, near_bits: int = NEAR_BITS) -> DataFrame:
+    """(node, component) of the rows (ord, text) that have near duplicates: their ord and the smallest of their group.
 
     Near duplicates have a resemblance of ``similarity`` or more on shingles of ``n`` words. Texts with that resemblance
     differ in few words, so candidates come from two SimHash fingerprints of single words (weighted by the root of their
@@ -212,11 +212,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = SIM
     ``near_bits`` of the 128 bits. Candidates are then verified by the bottom-k sketches of their shingles (256 hashes:
     exact for up to 256 distinct shingles, standard error 0.025 beyond).
 
-    Texts without words form no groups. Null ids, repeated ids and rows are rows of their own; an empty table gives none.
+    Texts without words form no groups.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = with_order(docs, keep=True)
+    small_batches(rows.sparkSession)
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -241,8 +239,15 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, n: int = SIM
     low = told_rows.select("id", "low")
     both = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b")
     found = both.mapInPandas(lambda b: _verified(b, similarity), "a long, b long")
-    reached = components(found)
-    return rows.join(reached, rows["ord"] == reached["node"], "left").select(*docs.columns, "ord", F.coalesce("component", "ord").alias("group_id"))
+    return components(found)
+
+
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: its columns and ``group_id``, a number that near duplicates share (see
+    ``similar_rows``). Null ids, repeated ids and rows are rows of their own; an empty table gives none."""
+    rows = with_order(docs, keep=True)
+    reached = similar_rows(rows, **options)
+    return rows.join(reached, rows["ord"] == reached["node"], "left").select(*docs.columns, F.coalesce("component", "ord").alias("group_id"))
 
 
 def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -256,11 +261,12 @@ def resembles(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
     return np.isin(np.intersect1d(a, b, True), whole, True).sum() / max(1, len(whole))
 
 
-def one_of_each(docs: DataFrame, choose: Callable = F.min) -> DataFrame:
-    """The first row (by doc_id) of each group of near duplicates, with the columns of ``docs``."""
-    grouped = stored(similar_groups(docs), "grouped")
-    kept = grouped.groupBy("group_id").agg(choose("ord").alias("ord"))
-    return grouped.join(kept.select("ord"), "ord", "left_semi").select(*docs.columns)
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The first row (by doc_id) of each group of near duplicates, with the columns of ``docs``. Only the numbers of the
+    rows that go meet the texts again, in one join."""
+    rows = with_order(docs, keep=True)
+    gone = similar_rows(rows, **options).where("node <> component").select(F.col("node").alias("ord"))
+    return rows.join(gone, "ord", "left_anti").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
