@@ -158,6 +158,10 @@ def leftover_tokens(question: Column, names: Column, consumed: Column) -> Column
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$") & ~F.array_contains(stop, t) & ~F.array_contains(words, t) & ~F.array_contains(used, t))
 
 
+def sentence(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
 def resolved_question(question: Column, told: Column, last_start: Column, last_end: Column, last_metric: Column) -> Column:
     """A follow-up (by its ``analysis`` struct) as a question of its own from the slots; others with their metric and
     periods spelled out when they ask for a calculation, else cleaned of repeated blanks."""
@@ -165,12 +169,12 @@ def resolved_question(question: Column, told: Column, last_start: Column, last_e
     metric, start, end = pick(told["metric"], last_metric), pick(told["start_period"], last_start), pick(told["end_period"], last_end)
     asks = F.lower(question).rlike("growth|increase")
     clean = F.trim(F.regexp_replace(F.coalesce(question, F.lit("")), r"\s+", " "))
-    grown = F.format_string("What was the %s growth from %s to %s?", metric, start, end)
+    grown = sentence("What was the ", metric, " growth from ", start, " to ", end, "?")
     follow = (
-        F.when((metric != "") & (start != "") & (end != "") & asks, grown).when((metric != "") & (end != "") & (start == ""), F.format_string("What was the %s in %s?", metric, end))
-        .when((metric != "") & (start != "") & (told["end_period"] == ""), F.format_string("What was the %s in %s?", metric, start))
+        F.when((metric != "") & (start != "") & (end != "") & asks, grown).when((metric != "") & (end != "") & (start == ""), sentence("What was the ", metric, " in ", end, "?"))
+        .when((metric != "") & (start != "") & (told["end_period"] == ""), sentence("What was the ", metric, " in ", start, "?"))
     )
-    spelled = F.when((told["metric"] != "") & (told["start_period"] != "") & (told["end_period"] != "") & told["requires_calculation"], F.format_string("What was the %s growth from %s to %s?", told["metric"], told["start_period"], told["end_period"]))
+    spelled = F.when((told["metric"] != "") & (told["start_period"] != "") & (told["end_period"] != "") & told["requires_calculation"], sentence("What was the ", told["metric"], " growth from ", told["start_period"], " to ", told["end_period"], "?"))
     return F.coalesce(F.when(told["is_follow_up"], follow), spelled, clean)
 
 
@@ -182,8 +186,8 @@ def with_clarification(original: Column, clarification: Column) -> Column:
     growth = F.contains(F.lower(F.concat(a, F.lit(" "), b)), F.lit("growth")) & (metric != "")
     joined = F.concat(F.regexp_replace(a, r"\?+$", ""), F.lit(" "), b, F.when(F.contains(a, F.lit("?")), "?").otherwise(""))
     return (
-        F.when(growth & (F.size(years) >= 2), F.format_string("What was the %s growth from %s to %s?", metric, F.get(years, F.lit(0)), F.get(years, F.lit(1))))
-        .when(growth, F.format_string("What was the %s growth?", metric)).when(a == "", b).when(b == "", a).when(F.contains(F.lower(b), F.lower(a)), b).otherwise(joined)
+        F.when(growth & (F.size(years) >= 2), sentence("What was the ", metric, " growth from ", F.get(years, F.lit(0)), " to ", F.get(years, F.lit(1)), "?"))
+        .when(growth, sentence("What was the ", metric, " growth?")).when(a == "", b).when(b == "", a).when(F.contains(F.lower(b), F.lower(a)), b).otherwise(joined)
     )
 
 
