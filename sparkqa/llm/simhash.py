@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from sparkqa.llm import golay
 from sparkqa.llm.shared import components, documents, stored, with_order
-from sparkqa.llm.textwork import mixed, shingle_hashes, small_batches, word_hashes
+from sparkqa.llm.textwork import shingle_hashes, small_batches, word_hashes
 
 SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
-SIMILARITY, SIMILAR_SHINGLE, SKETCH, NEAR_BITS = 0.8, 5, 256, 32
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+GAPS, BLOCK, SAMPLE_ROWS, COMMON = 7, 1_000, 10_000, 200_000
 
 
 def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
@@ -203,43 +204,172 @@ def linked_fingerprints(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS,
     return rows.join(of, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMILAR_SHINGLE, near_bits: int = NEAR_BITS) -> DataFrame:
-    """(node, component) of the rows (ord, text) that have near duplicates: their ord and the smallest of their group.
+def shingle_set(text: str | None, n: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of ``n`` words."""
+    return np.unique(shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass")), n))
 
-    Near duplicates have a resemblance of ``similarity`` or more on shingles of ``n`` words. Texts with that resemblance
-    differ in few words, so candidates come from two SimHash fingerprints of single words (weighted by the root of their
-    number), which differ in far fewer bits than those of shingles would: they meet under the Golay keys of either and differ in at most
-    ``near_bits`` of the 128 bits. Candidates are then verified by the bottom-k sketches of their shingles (256 hashes:
-    exact for up to 256 distinct shingles, standard error 0.025 beyond).
 
-    Texts without words form no groups.
-    """
-    small_batches(rows.sparkSession)
+def common_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; counts) of shingles that are frequent in a sample of the rows. They only decide in which order
+    prefixes are taken: any order gives the same pairs, an order by frequency gives the fewest candidates."""
+    every = max(1, rows.count() // SAMPLE_ROWS)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": shingle_set(text, n).view(np.int64)})
+
+    sample = rows.where(F.pmod(F.xxhash64("ord"), F.lit(every)) == 0).select("text").mapInPandas(told, "h long")
+    counts = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, c = counts["h"].to_numpy().view(np.uint64), counts["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles, rarest first, of which two sets share one if their resemblance is ``similarity`` or more."""
+    if not len(shingles):
+        return shingles
+    h, c = common
+    count = np.zeros(len(shingles), dtype=np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        count = np.where(h[at] == shingles, c[at], 0)
+    return shingles[np.lexsort((shingles, count))[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1]]
+
+
+def _could(size_a, at_a, size_b, at_b, similarity: float):
+    """Whether sets can be similar whose first common shingle is the one at these places of their orders."""
+    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6
+
+
+def _met(batches: Iterator[pd.DataFrame], similarity: float, gaps: int, most: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Of rows in the order of their keys: pairs at most ``gaps`` rows apart in a key (kind 0: id, other), which are all
+    pairs of up to gaps + 1 rows, and the rows of larger keys (kind 1)."""
+    held, going = np.empty((0, 4), dtype=np.int64), None
+
+    def met(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        key, of, size, at = rows.T
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.concatenate((first, [len(key)])))
+        large = np.repeat((n > gaps + 1) | (key[first] == going if going is not None else False), n)
+        a, b = [], []
+        for gap in range(1, min(gaps, len(key) - 1) + 1):
+            i = np.flatnonzero(key[gap:] == key[:-gap])
+            if not len(i):
+                break
+            i = i[(of[i] != of[i + gap]) & _could(size[i], at[i], size[i + gap], at[i + gap], similarity)]
+            a.append(of[i])
+            b.append(of[i + gap])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"kind": np.int32(0), "key": np.int64(0), "id": np.minimum(a, b), "other": np.maximum(a, b), "size": np.int32(0), "at": np.int32(0)})
+        if large.any():
+            yield pd.DataFrame({"kind": np.int32(1), "key": key[large], "id": of[large], "other": np.int64(0), "size": size[large].astype(np.int32), "at": at[large].astype(np.int32)})
 
+    for batch in batches:
+        held = np.concatenate((held, batch[["key", "id", "size", "at"]].to_numpy(dtype=np.int64)))
+        if not len(held):
+            continue
+        last = held[-1, 0]
+        ready = int(np.searchsorted(held[:, 0], last))
+        if ready:
+            yield from met(held[:ready])
+            held = held[ready:]
+        if len(held) > most:
+            going = last
+            yield from met(held)
+            held = held[-gaps:]
+    if len(held):
+        yield from met(held)
+
+
+def _across(similarity: float):
+    """Pairs of rows of a key that are in different components: of one block, or of one block with another."""
+    def across(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block", kind="stable")
+        of, size, at, component, block = (part[c].to_numpy() for c in ("id", "size", "at", "component", "block"))
+        one = part["x"].iloc[0] == part["y"].iloc[0]
+        second = int(np.searchsorted(block, block[0], side="right"))
+        a, b = [], []
+        for i in range(len(of) if one else second):
+            rest = slice(i + 1 if one else second, None)
+            found = of[rest][(component[rest] != component[i]) & _could(size[i], at[i], size[rest], at[rest], similarity)]
+            a.append(np.full(len(found), of[i]))
+            b.append(found)
+        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
+
+    return across
+
+
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float, n: int) -> DataFrame:
+    """The pairs (a, b) of ``ord`` whose whole shingle sets have the resemblance; sets are made of these rows alone."""
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for o, text in zip(batch["ord"], batch["text"], strict=True):
-                words = word_hashes((text or "").encode("utf-8", "surrogatepass"))
-                if len(words):
-                    once, times = np.unique(words, return_counts=True)
-                    weights = np.sqrt(times)
-                    low = np.unique(shingle_hashes(words, n) >> np.uint64(32))[:SKETCH].astype("<u4").tobytes()
-                    out.append((o, *(np.uint64(majority(h, weights)).view(np.int64) for h in (once, mixed(once ^ np.uint64(0x5851F42D4C957F2D)))), low))
-            yield pd.DataFrame(out, columns=["id", "f0", "f1", "low"])
+            yield pd.DataFrame({"id": batch["ord"], "shingles": [shingle_set(t, n).tobytes() for t in batch["text"]]})
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = ([np.frombuffer(x, "<u8") for x in batch[c]] for c in ("shingles_a", "shingles_b"))
+            yield batch.loc[np.array([resemblance(x, y) >= similarity for x, y in zip(*sets, strict=True)], dtype=bool), ["a", "b"]]
+
+    ids = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
+    sets = stored(rows.select("ord", "text").join(ids, "ord", "left_semi").mapInPandas(told, "id long, shingles binary"), "shingles")
+    both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
+    return stored(both.mapInPandas(alike, "a long, b long"), "alike")
+
+
+def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMILAR_SHINGLE, gaps: int = GAPS, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the rows (ord, text) that have near duplicates: their ord and the smallest of their group.
+
+    Near duplicates have a resemblance of ``similarity`` or more on the sets of shingles of ``n`` words; a group is what
+    chains of such pairs connect. Candidates are exact: with the shingles of all sets in one order, two sets of that
+    resemblance share one of the first (1 - similarity) of each (prefix filter), at places that leave room for enough
+    common ones. Shingles known as frequent come last in the order. All candidates are verified on their whole sets, and
+    only verified links connect rows.
+
+    In keys of more than ``gaps`` + 1 rows only neighbours are compared at first; then all their pairs that those links
+    have not put into one component, block by block.
+
+    Texts without words form no groups.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    common = spark.sparkContext.broadcast(common_shingles(rows, n))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for salt, f in enumerate(("f0", "f1")):
-                row, key = keys(batch[f].to_numpy(), salt)
-                yield pd.DataFrame({"key": key, "id": batch["id"].to_numpy()[row], "f0": batch["f0"].to_numpy()[row], "f1": batch["f1"].to_numpy()[row]})
+            keys, sizes = [], []
+            for text in batch["text"]:
+                shingles = shingle_set(text, n)
+                keys.append(prefix(shingles, similarity, common.value))
+                sizes.append(len(shingles))
+            many = np.array([len(k) for k in keys], dtype=np.int64)
+            at = np.concatenate([np.arange(m) for m in many] or [[]])
+            key = np.concatenate(keys or [[]]).astype(np.uint64).view(np.int64)
+            yield pd.DataFrame({"key": key, "id": np.repeat(batch["ord"].to_numpy(), many), "size": np.repeat(np.array(sizes, dtype=np.int32), many), "at": at.astype(np.int32)})
+
+    ordered = rows.select("ord", "text").mapInPandas(keyed, "key long, id long, size int, at int").repartition("key").sortWithinPartitions("key", "size", "id")
+    out = stored(ordered.mapInPandas(lambda b: _met(b, similarity, gaps), "kind int, key long, id long, other long, size int, at int"), "met")
+    pairs = stored(out.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    found = verified(pairs, rows, similarity, n)
+    reached = components(found)
+    many = out.where("kind = 1").select("key", "id", "size", "at").distinct()
+    if many.isEmpty():
+        return reached
 
-    told_rows = stored(rows.select("ord", "text").mapInPandas(told, "id long, f0 long, f1 long, low binary"), "told")
-    pairs = links(told_rows.select("id", "f0", "f1").mapInPandas(keyed, "key long, id long, f0 long, f1 long"), ["f0", "f1"], near_bits)
-    low = told_rows.select("id", "low")
-    both = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b")
-    found = both.mapInPandas(lambda b: _verified(b, similarity), "a long, b long")
-    return components(found)
+    # large keys: pairs that are still apart, each pair of blocks in a task of its own
+    apart = stored(many.join(reached, many["id"] == reached["node"], "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component")), "apart")
+    blocks = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    parts = apart.join(blocks.where("low <> high").select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = parts.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "size", "at", "component")
+    more = parts.groupBy("key", "x", "y").applyInPandas(_across(similarity), "a long, b long").distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    if more.isEmpty():
+        return reached
+    return components(found.unionByName(verified(more, rows, similarity, n)))
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
@@ -250,15 +380,10 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
     return rows.join(reached, rows["ord"] == reached["node"], "left").select(*docs.columns, F.coalesce("component", "ord").alias("group_id"))
 
 
-def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keep = [resembles(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= similarity for x, y in zip(batch["low_a"], batch["low_b"], strict=True)]
-        yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-
-def resembles(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
-    whole = np.union1d(a, b)[:k]
-    return np.isin(np.intersect1d(a, b, True), whole, True).sum() / max(1, len(whole))
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted sets."""
+    both = len(np.intersect1d(a, b, True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
