@@ -58,3 +58,21 @@ def test_large_keys_against_brute_force(spark):
     expected = brute_force(texts)
     assert 6 < len(set(expected.values())) < 150
     assert groups_of(spark, texts) == groups_of(spark, texts, gaps=1, block=7) == expected
+
+
+def test_kinds_of_edits(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(60):
+        base = fresh(rng, 300)
+        replaced, scattered = base.copy(), base.copy()
+        at = rng.integers(270)
+        replaced[at : at + 26] = fresh(rng, 26)
+        for i in rng.choice(300, 6, replace=False):
+            scattered[i] = f"y{i}"
+        for edit in (base + fresh(rng, 60), fresh(rng, 60) + base, base[:250], replaced, scattered):
+            old = {w: f"{fresh(rng, 1)[0]}{w}" for w in base}  # each edit has a base of its own
+            texts += [[old[w] for w in base], [old.get(w, w) for w in edit]]
+    sets = [shingles(w) for w in texts]
+    assert all(0.8 <= resemblance(sets[i], sets[i + 1]) < 0.9 for i in range(0, len(texts), 2))
+    assert groups_of(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
