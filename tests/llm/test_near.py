@@ -76,3 +76,15 @@ def test_kinds_of_edits(spark):
     sets = [shingles(w) for w in texts]
     assert all(0.8 <= resemblance(sets[i], sets[i + 1]) < 0.9 for i in range(0, len(texts), 2))
     assert groups_of(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_close_to_the_limit(spark):
+    rng = np.random.default_rng(4)
+    texts, near = [], []
+    for more in range(200, 300):
+        base = fresh(rng, 1004)
+        texts += [base, base + fresh(rng, more)]
+        near.append(1000 / (1000 + more) >= 0.8)
+    assert sum(near) == 51
+    got = groups_of(spark, texts)
+    assert [got[2 * i] == got[2 * i + 1] for i in range(100)] == near
