@@ -98,6 +98,18 @@ def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS,
     return spark.createDataFrame([(*(r[d] for d in DIMENSIONS), int(r.tokens), float(w), float(p)) for r, w, p in zip(rows, weights, chance, strict=True)], schema)
 
 
+def reached(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, keep: float | None = None) -> list[tuple[str, str, float, float, float]]:
+    """(dimension, value, target, share of tokens in ``docs``, expected share in the sample) of each value with a target."""
+    cells = calibrated(docs, targets, keep).collect()
+    out = []
+    for d in DIMENSIONS:
+        for value, target in targets[d].items():
+            parts = [[c.cell_tokens * p for c, p in zip(cells, chance, strict=True) if c[d] == value] for chance in ([1] * len(cells), [c.probability for c in cells])]
+            wholes = [sum(c.cell_tokens for c in cells), sum(c.cell_tokens * c.probability for c in cells)]
+            out.append((d, value, target, *(sum(x) / max(w, 1) for x, w in zip(parts, wholes, strict=True))))
+    return out
+
+
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number from 0 to 1 (less than 1), evenly spread over ids; the same for the same id and seed."""
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 13)
