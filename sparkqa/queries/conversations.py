@@ -102,6 +102,13 @@ def e20_resolved(spark, sf_dir):
     return rows.select("id", questions.resolved_question(F.col("text"), F.col("t"), F.lit("2000"), F.lit("2030"), F.lit("profit")).alias("question"))
 
 
+@query("e20_resolved_all")
+def e20_resolved_all(spark, sf_dir):
+    """All forms of questions resolved (checked against plain Python in tests; e20_resolved takes those its SQL covers)."""
+    rows = asked(spark, sf_dir).withColumn("t", questions.analysis(F.col("text")))
+    return rows.select("id", questions.resolved_question(F.col("text"), F.col("t"), F.lit("2000"), F.lit("2030"), F.lit("profit")).alias("question"))
+
+
 @query("e21_options", """SELECT n_nationkey, 'revenue ' || n_nationkey || '|' || lower(n_name) || '|x' AS options, 'Which period do you mean: 2001, ' || n_name || ', or 2003?' AS question FROM nation""")
 def e21_options(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
