@@ -116,6 +116,14 @@ def h2_corpus_chunks(spark, sf_dir):
     return corpus.corpus_chunks(rows, docs).where("doc_id < 10000000").agg(F.count("*").alias("n"))
 
 
+@query("h2_corpus_chunks_all")
+def h2_corpus_chunks_all(spark, sf_dir):
+    """All chunks of both kinds, rows under even ids and documents under odd ones (checked against plain Python in tests)."""
+    rows = corpus.row_text(table(spark, sf_dir, "part")).select((F.col("p_partkey") * 2).alias("doc_id"), "text")
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2 + 1).alias("doc_id"), "text")
+    return corpus.corpus_chunks(rows, docs)
+
+
 @query("h6_normalise", "SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * 3 FOR x IN embedding]) / sqrt(list_sum([CAST(x AS DOUBLE) * x * 9 FOR x IN embedding])), 5) AS total FROM embeddings")
 def h6_normalise(spark, sf_dir):
     vector = retrieval.normalised(F.transform("embedding", lambda x: x * 3))

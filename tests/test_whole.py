@@ -27,3 +27,13 @@ def test_resolved_questions_of_all_forms(spark):
     assert {i % len(FORMS) for i in texts} == set(range(12))
     got = {r.id: r.question for r in library.queries()["e20_resolved_all"](spark, SF).collect()}
     assert got == {i: resolved(t) for i, t in texts.items()}
+
+
+def test_chunks_of_both_kinds(spark):
+    rows = library.queries()["h2_corpus_chunks_all"](spark, SF).collect()
+    got = {(r.doc_id, r.chunk_no): r.content for r in rows}
+    assert len(got) == len(rows)
+    expected = {(2 * r.p_partkey, 0): r.text for r in corpus.row_text(spark.read.parquet(f"{SF}/part.parquet")).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        expected |= {(2 * r.doc_id + 1, i): c for i, c in enumerate(corpus.split_text(r.text))}
+    assert got == expected and len({i for i, _ in got if i % 2}) > 100
