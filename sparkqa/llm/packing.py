@@ -31,7 +31,7 @@ from sparkqa.llm.textwork import small_batches
 LENGTH, END_ID, VOCABULARY, PARTS, PIECES_A_PART = 2048, 1, "byte_bpe_50k.json", 64, 1 << 20
 
 # Texts of plain characters (Latin letters, punctuation, blanks and line ends) are split into words as the tokenizer does,
-# ids of words are kept, and only words that are new go to the tokenizer's model. Other texts are encoded whole.
+# ids of words are kept, and only words that are new go to the tokenizer's model. Other texts, and texts with an added token, are encoded whole.
 _PLAIN = [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028)]
 _OTHER = re.compile("[^\n\x20-\x7e\xa1-\u024f\u2010-\u2027]")
 MAX_WORDS = 500_000
@@ -60,11 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         told = json.loads(self.tokenizer.to_str())
         before = told["pre_tokenizer"] or {}
         self.by_words = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not told["normalizer"]
+        self.added = [t["content"] for t in told["added_tokens"]]
         self.split, self.letters = _splitter().findall, _byte_letters()
         self.words: dict[str, bytes] = {}
 
@@ -82,7 +82,7 @@ class Encoder:
         return array("I", [t.id for t in found]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_words or _OTHER.search(text):
+        if not self.by_words or _OTHER.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         if len(self.words) > MAX_WORDS:
             self.words.clear()
