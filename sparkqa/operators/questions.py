@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -139,11 +140,13 @@ def comparison_of(question: Column) -> Column:
 
 
 #: Words of a question that name no value.
-STOP_WORDS = sorted(set(
-    "sum total count average avg mean min max median std variance correlation what whats is the of a an give me please calculate find show how many much "
-    "and or for in on to from by with as it this that all rows row value values number amount where equals equal get tell greater least most above below "
-    "under than between over at combined add up compute report list sold sale generated earned booked recorded reported achieved data table sheet file excel csv xlsx".split()
-))
+STOP_WORDS = [
+    "sum", "total", "count", "average", "avg", "mean", "min", "max", "median", "std", "variance", "correlation", "what", "whats", "is", "the", "of",
+    "a", "an", "give", "me", "please", "calculate", "find", "show", "how", "many", "much", "and", "or", "for", "in", "on", "to", "from", "by", "with",
+    "as", "it", "this", "that", "all", "rows", "row", "value", "values", "number", "amount", "where", "equals", "equal", "get", "tell", "greater",
+    "least", "most", "above", "below", "under", "than", "between", "over", "at", "combined", "add", "up", "compute", "report", "list", "sold", "sale",
+    "generated", "earned", "booked", "recorded", "reported", "achieved", "data", "table", "sheet", "file", "excel", "csv", "xlsx",
+]
 
 
 def leftover_tokens(question: Column, names: Column, consumed: Column) -> Column:
@@ -158,37 +161,70 @@ def leftover_tokens(question: Column, names: Column, consumed: Column) -> Column
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$") & ~F.array_contains(stop, t) & ~F.array_contains(words, t) & ~F.array_contains(used, t))
 
 
-def sentence(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+#: How a question is put once its slots are known; the first row that fits. A row needs every name before the
+#: bar and none after it. Slots: metric, start and end (what the conversation carries over included), own_end (what the
+#: text itself or its reading gives). Facts: replies (the text answers a clarification), growth ("growth" in question or
+#: reply), follows (a follow-up), rises ("growth" or "increase" in the text), calculates.
+RESOLUTIONS = [
+    ("replies growth metric start end", "What was the {metric} growth from {start} to {end}?"),
+    ("replies growth metric", "What was the {metric} growth?"),
+    ("replies", "{joined}"),
+    ("follows rises metric start end", "What was the {metric} growth from {start} to {end}?"),
+    ("follows metric end | start", "What was the {metric} in {end}?"),
+    ("follows metric start | own_end", "What was the {metric} in {start}?"),
+    ("calculates own_metric own_start own_end", "What was the {own_metric} growth from {own_start} to {own_end}?"),
+    ("", "{plain}"),
+]
+
+
+def needs(row: str) -> tuple[list[str], list[str]]:
+    """The names that a row of RESOLUTIONS needs, and those that it must not have."""
+    present, _, absent = row.partition("|")
+    return present.split(), absent.split()
+
+
+def resolution(facts: dict[str, Column], slots: dict[str, Column]) -> Column:
+    """RESOLUTIONS as one expression. A fact that is not given is false, a slot that is not given is empty."""
+    holds = lambda name: facts[name] if name in facts else slots[name] != "" if name in slots else F.lit(False)
+
+    def filled(template: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", template)  # texts and names in turn
+        return F.concat(*[slots[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+    chosen = None
+    for row, template in RESOLUTIONS[:-1]:
+        present, absent = needs(row)
+        if any(n not in facts and n not in slots for n in present):
+            continue
+        when = reduce(Column.__and__, [*(holds(n) for n in present), *(~holds(n) for n in absent)])
+        chosen = F.when(when, filled(template)) if chosen is None else chosen.when(when, filled(template))
+    return chosen.otherwise(filled(RESOLUTIONS[-1][1]))
+
+
+def plain(text: Column) -> Column:
+    """Trimmed, blanks squeezed, null as empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
 def resolved_question(question: Column, told: Column, last_start: Column, last_end: Column, last_metric: Column) -> Column:
-    """A follow-up (by its ``analysis`` struct) as a question of its own from the slots; others with their metric and
-    periods spelled out when they ask for a calculation, else cleaned of repeated blanks."""
-    pick = lambda new, old: F.when(new != "", new).otherwise(F.coalesce(old, F.lit("")))
-    metric, start, end = pick(told["metric"], last_metric), pick(told["start_period"], last_start), pick(told["end_period"], last_end)
-    asks = F.lower(question).rlike("growth|increase")
-    clean = F.trim(F.regexp_replace(F.coalesce(question, F.lit("")), r"\s+", " "))
-    grown = sentence("What was the ", metric, " growth from ", start, " to ", end, "?")
-    follow = (
-        F.when((metric != "") & (start != "") & (end != "") & asks, grown).when((metric != "") & (end != "") & (start == ""), sentence("What was the ", metric, " in ", end, "?"))
-        .when((metric != "") & (start != "") & (told["end_period"] == ""), sentence("What was the ", metric, " in ", start, "?"))
-    )
-    spelled = F.when((told["metric"] != "") & (told["start_period"] != "") & (told["end_period"] != "") & told["requires_calculation"], sentence("What was the ", told["metric"], " growth from ", told["start_period"], " to ", told["end_period"], "?"))
-    return F.coalesce(F.when(told["is_follow_up"], follow), spelled, clean)
-
-
-def with_clarification(original: Column, clarification: Column) -> Column:
-    """A question and the answer to its clarification as one question."""
-    a, b = (F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")) for c in (original, clarification))
-    metric = F.when(metric_of(b) != "", metric_of(b)).otherwise(metric_of(a))
-    years = years_in(b)
-    growth = F.contains(F.lower(F.concat(a, F.lit(" "), b)), F.lit("growth")) & (metric != "")
-    joined = F.concat(F.regexp_replace(a, r"\?+$", ""), F.lit(" "), b, F.when(F.contains(a, F.lit("?")), "?").otherwise(""))
-    return (
-        F.when(growth & (F.size(years) >= 2), sentence("What was the ", metric, " growth from ", F.get(years, F.lit(0)), " to ", F.get(years, F.lit(1)), "?"))
-        .when(growth, sentence("What was the ", metric, " growth?")).when(a == "", b).when(b == "", a).when(F.contains(F.lower(b), F.lower(a)), b).otherwise(joined)
+    """A question (with its ``analysis`` struct) as one that stands alone, by RESOLUTIONS and what the conversation had last."""
+    pick = lambda own, last: F.when(own != "", own).otherwise(F.coalesce(last, F.lit("")))
+    own = {"own_metric": told["metric"], "own_start": told["start_period"], "own_end": told["end_period"]}
+    slots = own | {"metric": pick(told["metric"], last_metric), "start": pick(told["start_period"], last_start), "end": pick(told["end_period"], last_end), "plain": plain(question)}
+    return resolution({"follows": told["is_follow_up"], "calculates": told["requires_calculation"], "rises": F.lower(question).rlike("growth|increase")}, slots)
+
+
+def reading(text: Column) -> Column:
+    """What a turn's text says by itself, for the conversation's machine: text, metric (its place among METRICS), years,
+    whether it grows, holds a pair of values, opens as a follow-up, says growth, rises, asks; number of words."""
+    bare = plain(text)
+    lowered = F.lower(bare)
+    places = F.array(*[F.when(lowered.rlike(rf"\b{alias}\b"), i) for i, alias in enumerate(METRICS)])
+    return F.struct(
+        bare.alias("text"), F.array_min(places).alias("metric"), years_in(bare).alias("years"), (bare.rlike(GROWTH) | bare.rlike(PERCENT)).alias("grows"), bare.rlike(EXPLICIT).alias("pair"),
+        bare.rlike(FOLLOW_UP).alias("opens"), F.contains(lowered, F.lit("growth")).alias("growth"), lowered.rlike("growth|increase").alias("rises"), bare.endswith("?").alias("asks"),
+        F.when(bare == "", 0).otherwise(F.size(F.split(bare, " "))).alias("words"),
     )
 
 
-__all__ = ["analysis", "comparison_of", "explicit_pair", "leftover_tokens", "limit_of", "metric_of", "operation_of", "resolved_question", "with_clarification"]
+__all__ = ["analysis", "comparison_of", "explicit_pair", "leftover_tokens", "limit_of", "metric_of", "operation_of", "reading", "resolution", "resolved_question"]

@@ -95,18 +95,26 @@ def g5_ngrams(spark, sf_dir):
     return grams.groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("e20_resolved", f"""WITH {ASKED} SELECT id, CASE id % {len(FORMS)} WHEN 0 THEN replace(text, '  ', ' ') WHEN 1 THEN 'What was the profit growth from ' || regexp_extract(text, '(\\d{{4}})', 1) || ' to 2030?'
- ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS question FROM asked WHERE id % {len(FORMS)} IN (0, 1, 9)""")
+FOLLOWS = r"regexp_matches(lower(text), '^(and|what about|how about|also|same for)\\b')"
+RESOLVED = f"""r AS (SELECT id, text, {METRIC} AS own, regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y, {GROW} OR {EXPLICIT} AS calculates, {FOLLOWS} AS follows FROM asked),
+s AS (SELECT *, CASE WHEN own <> '' THEN own ELSE 'profit' END AS metric, coalesce(y[1], '2000') AS a, coalesce(y[2], '2030') AS b FROM r)
+SELECT id, CASE WHEN follows AND regexp_matches(lower(text), 'growth|increase') THEN 'What was the ' || metric || ' growth from ' || a || ' to ' || b || '?'
+ WHEN follows AND len(y) < 2 THEN 'What was the ' || metric || ' in ' || a || '?'
+ WHEN own <> '' AND len(y) >= 2 AND calculates THEN 'What was the ' || own || ' growth from ' || y[1] || ' to ' || y[2] || '?'
+ ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS question FROM s"""
+
+
+@query("e20_resolved", f"WITH {ASKED}, {RESOLVED}")
 def e20_resolved(spark, sf_dir):
-    rows = asked(spark, sf_dir).where((F.col("id") % len(FORMS)).isin(0, 1, 9)).withColumn("t", questions.analysis(F.col("text")))
+    """All twelve forms of questions as questions that stand alone."""
+    rows = asked(spark, sf_dir).withColumn("t", questions.analysis(F.col("text")))
     return rows.select("id", questions.resolved_question(F.col("text"), F.col("t"), F.lit("2000"), F.lit("2030"), F.lit("profit")).alias("question"))
 
 
-@query("e20_resolved_all")
+@query("e20_resolved_all", f"WITH {ASKED}, {RESOLVED}")
 def e20_resolved_all(spark, sf_dir):
-    """All forms of questions resolved (checked against plain Python in tests; e20_resolved takes those its SQL covers)."""
-    rows = asked(spark, sf_dir).withColumn("t", questions.analysis(F.col("text")))
-    return rows.select("id", questions.resolved_question(F.col("text"), F.col("t"), F.lit("2000"), F.lit("2030"), F.lit("profit")).alias("question"))
+    """The same; kept under the name it had when e20_resolved took only some forms."""
+    return e20_resolved(spark, sf_dir)
 
 
 @query("e21_options", """SELECT n_nationkey, 'revenue ' || n_nationkey || '|' || lower(n_name) || '|x' AS options, 'Which period do you mean: 2001, ' || n_name || ', or 2003?' AS question FROM nation""")
@@ -122,12 +130,24 @@ def j1_carried_slots(spark, sf_dir):
     return conversation.carried_slots(asked(spark, sf_dir)).select("id", "last_metric", "last_start_period")
 
 
+def retrieved(spark, sf_dir):
+    """Questions with the years that retrieval would find for them: the years of the customer's orders, as an array."""
+    years = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(F.date_format("o_orderdate", "yyyy")).alias("years"))
+    return asked(spark, sf_dir).join(years, F.col("conv_id") == F.col("o_custkey")).drop("o_custkey")
+
+
 @query("j2_clarify")
 def j2_clarify(spark, sf_dir):
-    """The clarification state machine over all conversations (checked against plain Python in tests)."""
+    """The clarification state machine over all conversations (checked against expected tables in tests)."""
     return conversation.clarify(asked(spark, sf_dir))
 
 
+@query("j2_clarify_periods")
+def j2_clarify_periods(spark, sf_dir):
+    """The same with what retrieval found, where growth without its periods is asked back for one of them."""
+    return conversation.clarify(retrieved(spark, sf_dir), found_years="years")
+
+
 @query("j3_newest_conversations", "WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1 ORDER BY t DESC, user_id DESC LIMIT 20) SELECT user_id, count(*) AS n FROM events JOIN l USING (user_id) GROUP BY 1")
 def j3_newest_conversations(spark, sf_dir):
     return conversation.newest_conversations(table(spark, sf_dir, "events"), "user_id", "ts", 20).groupBy("user_id").agg(F.count("*").alias("n"))

@@ -128,13 +128,44 @@ def test_questions(spark):
     assert [one(spark, questions.limit_of(F.lit(t))) for t in ("top 7", "bottom three", "top 5000", "x")] == [7, 3, None, None]
 
 
+METRIC_ASKED, METRIC_OPTIONS = "Do you mean revenue growth, profit growth, or employee growth?", ["revenue growth", "profit growth", "employee growth"]
+#: Conversations (text, years that retrieval found) and what each turn must give: resolved, metric, start, end, what is
+#: missing, what is asked back, options.
+SCRIPTS = {
+    "metric": [
+        ("What was the growth?", None, ("What was the growth?", "", "", "", "metric", METRIC_ASKED, METRIC_OPTIONS)),
+        ("revenue", None, ("What was the revenue growth?", "revenue", "", "", "period", "", [])),
+        ("from 2023 to 2024", None, ("What was the revenue growth from 2023 to 2024?", "revenue", "2023", "2024", "", "", [])),
+        ("And growth in 2024?", None, ("What was the revenue growth from 2023 to 2024?", "revenue", "2023", "2024", "", "", [])),
+    ],
+    "period": [
+        ("What was the revenue growth?", ["2023", "2021", "2022"], ("What was the revenue growth?", "revenue", "", "", "period", "Which period do you mean: 2021-2022, or 2022-2023?", ["2021-2022", "2022-2023"])),
+        ("2021-2022", ["2023", "2021", "2022"], ("What was the revenue growth from 2021 to 2022?", "revenue", "2021", "2022", "", "", [])),
+    ],
+    "one period is no choice": [("What was the revenue growth?", ["2023", "2022"], ("What was the revenue growth?", "revenue", "", "", "period", "", []))],
+    "metric, then period": [
+        ("What was the growth?", ["2020", "2021", "2022"], ("What was the growth?", "", "", "", "metric", METRIC_ASKED, METRIC_OPTIONS)),
+        ("profit growth", ["2020", "2021", "2022"], ("What was the profit growth?", "profit", "", "", "period", "Which period do you mean: 2020-2021, or 2021-2022?", ["2020-2021", "2021-2022"])),
+        ("2020 2021", ["2020", "2021", "2022"], ("What was the profit growth from 2020 to 2021?", "profit", "2020", "2021", "", "", [])),
+    ],
+    "asked twice at most": [
+        ("growth", None, ("growth", "", "", "", "metric", METRIC_ASKED, METRIC_OPTIONS)),
+        ("growth?", None, ("growth?", "", "", "", "metric", METRIC_ASKED, METRIC_OPTIONS)),
+        ("growth", None, ("growth", "", "", "", "metric", "", [])),
+    ],
+    "pair": [("What is the percentage increase from 500 to 600?", None, ("What is the percentage increase from 500 to 600?", "", "", "", "", "", []))],
+    "nothing": [(None, None, ("", "", "", "", "question", "What would you like to know?", []))],
+}
+
+
 def test_conversation_machine(spark):
-    rows = [("c", 1, "What was the growth?"), ("c", 2, "revenue"), ("c", 3, "from 2023 to 2024"), ("c", 4, "And growth in 2024?"), ("d", 1, None), ("e", 1, "What is the percentage increase from 500 to 600?")]
-    got = {(r.conv_id, r.turn): r for r in conversation.clarify(spark.createDataFrame(rows, "conv_id string, turn int, text string")).collect()}
-    assert got["c", 1].clarification and got["c", 1].pending_slot == "metric"
-    assert got["c", 2].resolved == "What was the revenue growth?" and not got["c", 2].clarification
-    assert got["c", 4].resolved == "What was the revenue growth from 2023 to 2024?"
-    assert not got["e", 1].clarification
+    rows = [(key, i, text, years) for key, script in SCRIPTS.items() for i, (text, years, _) in enumerate(script)]
+    got = {(r.conv_id, r.turn): r for r in conversation.clarify(spark.createDataFrame(rows, "conv_id string, turn int, text string, years array<string>"), found_years="years").collect()}
+    for key, script in SCRIPTS.items():
+        for i, (*_, want) in enumerate(script):
+            r = got[key, i]
+            assert (r.resolved, r.metric, r.start_period, r.end_period, r.pending_slot, r.asked, r.options) == want, (key, i)
+            assert r.clarification == bool(want[5])
 
 
 def test_stream_equals_batch(spark):
