@@ -95,7 +95,7 @@ def g5_ngrams(spark, sf_dir):
     return grams.groupBy("id").agg(F.count("*").alias("n"))
 
 
-FOLLOWS = r"regexp_matches(lower(text), '^(and|what about|how about|also|same for)\\b')"
+FOLLOWS = r"regexp_matches(lower(text), '^(and|what about|how about|also|same for)\b')"
 RESOLVED = f"""r AS (SELECT id, text, {METRIC} AS own, regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y, {GROW} OR {EXPLICIT} AS calculates, {FOLLOWS} AS follows FROM asked),
 s AS (SELECT *, CASE WHEN own <> '' THEN own ELSE 'profit' END AS metric, coalesce(y[1], '2000') AS a, coalesce(y[2], '2030') AS b FROM r)
 SELECT id, CASE WHEN follows AND regexp_matches(lower(text), 'growth|increase') THEN 'What was the ' || metric || ' growth from ' || a || ' to ' || b || '?'
