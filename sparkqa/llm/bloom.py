@@ -31,7 +31,11 @@ def build(keys: DataFrame, column: str, seed: int, bits: int, hashes: int) -> Da
     return stored(words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words")), "bloom")
 
 
-def passes(key: Column, words: DataFrame, seed: int, bits: int, hashes: int) -> Column:
-    filled = words.select("words").scalar()
-    bit = lambda p: F.getbit(F.element_at(filled, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63).cast("int"))
+def words_of(filled: DataFrame) -> Column:
+    """The words of a stored filter, as a scalar subquery."""
+    return filled.select("words").scalar()
+
+
+def passes(key: Column, words: Column, seed: int, bits: int, hashes: int) -> Column:
+    bit = lambda p: F.getbit(F.element_at(words, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63).cast("int"))
     return reduce(Column.__and__, [bit(p) == 1 for p in positions(key, seed, bits, hashes)])

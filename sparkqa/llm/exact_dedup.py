@@ -3,7 +3,8 @@
 A feed of (digest, stable identifier, content locator) rows runs through a Structured Streaming aggregation whose keyed
 state is kept on disk (RocksDB, no watermark, so nothing expires): per digest the row that stays, i.e. the largest doc_id
 with its locator, and the number of rows. A new feed with the same checkpoint goes on from the same state. The locator is
-the file (as a hash of its path) and the row's number in it, which finds one row even where ids repeat.
+the file (as a hash of its path) and the row's number in it, which finds one row even where ids repeat. With a checkpoint
+the texts of each feed are kept beside the state, so that locators of earlier feeds still lead to their bytes.
 
 Hits, digests seen more than once, have their full bytes checked: their texts are compared per digest by a min and a
 max, which are combined before the shuffle, so a digest with a third of all rows sends one text a task. Texts without a
@@ -20,19 +21,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkqa.llm import bloom
-from sparkqa.llm.shared import ascii_lower, documents, new_folder, stored
+from sparkqa.llm.shared import ascii_lower, documents, free, new_folder, quoted, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MAX_HIT_BITS = 1 << 24
+MAX_HIT_BITS = 1 << 27
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``, which locate each row; what does not come from Parquet files is stored first."""
-    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+def located(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """``docs`` with the free names ``file`` and ``row``, which locate each row; what does not come from Parquet files is
+    stored first."""
+    place = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    columns = quoted(docs.columns)
     try:
-        return docs.select(*docs.columns, *place)
+        return docs.select(*columns, *place)
     except AnalysisException:
-        return stored(docs, "docs").select(*docs.columns, *place)
+        return stored(docs, "docs").select(*columns, *place)
 
 
 def normalised(text: Column) -> Column:
@@ -66,28 +69,55 @@ def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: C
     return spark.read.parquet(path)
 
 
+def _feeds(spark: SparkSession, texts: str) -> int:
+    """Feeds that a checkpoint has so far."""
+    try:
+        return (spark.read.parquet(texts).agg(F.max("feed")).first()[0] or 0) + 1
+    except AnalysisException:
+        return 0
+
+
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.unhex, checkpoint: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text and any others): doc_id, keep_id, group_size, kept, text_sha256, _file, _row.
 
     Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest doc_id stays (null ids only among themselves; repeated ids: the last by locator), so exactly one row a group
-    has kept = true. An empty table gives no rows. digest: what is used as the state's key, from the hex SHA-256.
-    checkpoint: a folder of an earlier run, whose state then counts too.
+    has kept = true. An empty table gives no rows. Texts of any length are compared whole. digest: what is used as the
+    state's key, from the hex SHA-256.
+
+    checkpoint: a folder in the shared storage that holds state, feeds and texts from call to call. Rows of earlier calls
+    then count in groups (keep_id may be one of them, no row is kept if so), and hits are compared with their bytes too;
+    one call at a time may use a checkpoint. Without one, everything is forgotten after the call.
     """
     spark = docs.sparkSession
-    rows = located(docs.select("doc_id", "text"))
-    feed = new_folder(spark, "feed")
-    told = rows.select("doc_id", "_file", "_row", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    told.write.parquet(feed)
-    told = spark.read.schema(told.schema).parquet(feed)
-    state = run_state(spark, feed, told.schema, checkpoint or new_folder(spark, "dedup-state"), digest, files_per_trigger)
-    keyed = told.withColumn("digest", digest(F.col("text_sha256")))
+    base = checkpoint.rstrip("/") if checkpoint else new_folder(spark, "dedup")
+    columns = docs.select(F.col("doc_id"), F.col("text"))
+    number, earlier = 0, None
+    if checkpoint:
+        number = _feeds(spark, f"{base}/texts")
+        columns.withColumn("feed", F.lit(number)).write.mode("append").partitionBy("feed").parquet(f"{base}/texts")
+        every = spark.read.parquet(f"{base}/texts")
+        rows = located(every.where(F.col("feed") == number)).drop("feed")
+        if number:
+            earlier = located(every.where(F.col("feed") < number)).drop("feed")
+    else:
+        rows = located(columns)
+    told = rows.select("doc_id", "_file", "_row", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"), F.lit(number).alias("feed"))
+    told.write.mode("append").parquet(f"{base}/feed")
+    feed = spark.read.schema(told.schema).parquet(f"{base}/feed")
+    state = run_state(spark, f"{base}/feed", told.schema, f"{base}/state", digest, files_per_trigger)
+    keyed = feed.where(F.col("feed") == number).withColumn("digest", digest(F.col("text_sha256")))
     out = keyed.join(state, "digest").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _is(F.col("keep")).alias("kept"), "text_sha256", "_file", "_row", "digest")
-    odd = differing(rows, state, digest)
+    hits = state.where("n > 1").select("digest")
+    texts = _texts(rows, digest, True)
+    if earlier is not None:
+        hits = stored(hits.join(keyed.select("digest").distinct(), "digest", "left_semi"), "hits")
+        texts = texts.unionByName(_texts(earlier, digest, False))
+    odd = differing(texts, hits)
     if not odd.isEmpty():
-        texts = _texts(rows, digest).join(F.broadcast(odd) if odd.count() <= 1000 else odd, "digest", "left_semi")
+        texts = texts.join(F.broadcast(odd) if odd.count() <= 1000 else odd, "digest", "left_semi")
         groups = texts.groupBy("digest", "norm").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
-        apart = texts.join(groups, ["digest", "norm"]).select(F.col("at.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("keep")).alias("kept"), F.sha2("norm", 256).alias("text_sha256"), F.col("at._file").alias("_file"), F.col("at._row").alias("_row"), "digest")
+        apart = texts.where("now").join(groups, ["digest", "norm"]).select(F.col("at.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("keep")).alias("kept"), F.sha2("norm", 256).alias("text_sha256"), F.col("at._file").alias("_file"), F.col("at._row").alias("_row"), "digest")
         out = out.join(odd, "digest", "left_anti").unionByName(apart)
     return out.drop("digest")
 
@@ -96,34 +126,33 @@ def _is(keep: Column) -> Column:
     return (keep["_file"] == F.col("_file")) & (keep["_row"] == F.col("_row"))
 
 
-def _texts(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _texts(rows: DataFrame, digest: Callable[[Column], Column], now: bool) -> DataFrame:
+    """digest, norm, at and now of rows; inline keeps a filter on the digest above its making, so that a text is digested
+    once and not once per probe."""
     norm = normalised(F.col("text"))
-    return rows.select(digest(F.sha2(norm, 256)).alias("digest"), norm.alias("norm"), F.struct("doc_id", "_file", "_row").alias("at"))
+    return rows.select(F.inline(F.array(F.struct(digest(F.sha2(norm, 256)).alias("digest"), norm.alias("norm"), F.struct("doc_id", "_file", "_row").alias("at"), F.lit(now).alias("now")))))
 
 
-def differing(rows: DataFrame, state: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests whose rows do not all have the same bytes."""
-    hits = state.where("n > 1").select("digest")
+def differing(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests among ``hits`` whose rows do not all have the same bytes."""
     bits, hashes = bloom.shape(hits.count(), 0.02)
     bits = min(bits, MAX_HIT_BITS)
     words = bloom.build(hits, "digest", 1, bits, hashes)
-    norm = normalised(F.col("text"))
-    # inline keeps the filter above what it tests, so that a text is digested once and not once per probe
-    texts = rows.select(F.inline(F.array(F.struct(digest(F.sha2(norm, 256)).alias("digest"), norm.alias("norm")))))
-    suspects = texts.where(bloom.passes(F.col("digest"), words, 1, bits, hashes))
+    suspects = texts.select("digest", "norm").where(bloom.passes(F.col("digest"), bloom.words_of(words), 1, bits, hashes))
     return stored(suspects.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("digest"), "differing")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they have."""
+    """The rows of ``docs`` that stay, with the columns they have, whatever those are called. The locators of the rows that
+    go are stored, and Spark sends them to the texts where their files are small enough for its broadcast limit."""
     columns = docs.columns
+    file, row = free(columns, "_file", "_row")
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = stored(docs, "docs")
-    rows = located(docs)
-    found = dedup(docs).where("kept").select("_file", "_row")
-    return rows.join(found, ["_file", "_row"], "left_semi").select(*columns)
+    gone = stored(dedup(docs).where("not kept").select(F.col("_file").alias(file), F.col("_row").alias(row)), "gone")
+    return located(docs, file, row).join(gone, [file, row], "left_anti").select(*quoted(columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

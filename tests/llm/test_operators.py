@@ -204,15 +204,48 @@ def test_urls(spark):
     want = {1: (None, "allow"), 2: (None, "allow"), 3: ("example.com/en/", "block"), 4: ("www.example.com/en/", "allow"), 5: ("net/es/", "block"), 6: (None, "allow"), 7: (None, "allow"), 8: ("com/", "allow"), 9: ("com/", "allow"), 10: ("com/", "allow"), 11: (None, "allow")}
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules).collect()}
     assert got == want
-    joined = url_filter.filter_urls(df, rules, max_filter_bits=1)
-    assert {r.page_id: (r.rule, r.verdict) for r in joined.collect()} == want
+    parts = url_filter.filter_urls(df, rules, max_filter_bits=16)
+    assert {r.page_id: (r.rule, r.verdict) for r in parts.collect()} == want
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(df, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_long_list_of_many_shapes(spark):
+    """Thousands of rules of hundreds of shapes against brute force; the plan does not grow with them."""
+    rng = np.random.default_rng(8)
+    label = lambda: "".join(rng.choice(list("abc"), rng.integers(1, 3)))
+    host = lambda: ".".join(label() for _ in range(rng.integers(1, 9)))
+    path = lambda most: "/" + "".join(rng.choice(list("xy/"), rng.integers(0, most)))
+    rules = {host() + path(70): ("block", "allow")[int(rng.integers(2))] for _ in range(4000)}
+    shapes = {(k.split("/")[0].count(".") + 1, len(k) - len(k.split("/")[0])) for k in rules}
+    assert len(shapes) > 400
+    urls = [f"http://{host()}{path(90)}?q" for _ in range(400)] + [f"https://a.{k}x" for k in list(rules)[:200]]
+
+    def judged(url):
+        h, p = url.split("://")[1].split("?")[0].split("/", 1)
+        p, labels, fits = "/" + p, h.split("."), []
+        for i in range(len(labels)):
+            for m in range(len(p) + 1):
+                k = ".".join(labels[i:]) + p[:m]
+                if k in rules:
+                    fits.append((len(k), len(k.split("/")[0]), k, rules[k]))
+        return max(fits)[2:] if fits else (None, "allow")
+
+    table, listed = spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(list(rules.items()), "key string, verdict string")
+    want = {u: judged(u) for u in urls}
+    assert sum(v[0] is not None for v in want.values()) > 200
+    out = url_filter.filter_urls(table, listed)
+    assert {r.url: (r.rule, r.verdict) for r in out.collect()} == want
+    assert {r.url: (r.rule, r.verdict) for r in url_filter.filter_urls(table, listed, max_filter_bits=8000).collect()} == want
+    few = url_filter.filter_urls(table, spark.createDataFrame(list(rules.items())[:5], "key string, verdict string"))
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert size(out) < 3 * size(few)  # by levels and probes of the filters, not by rules or shapes
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 7 == 3).alias("listed"))
-    cascade = url_filter.build_cascade(universe)
+    n = universe.where("listed").count()
+    cascade = url_filter.build_cascade(universe.where("listed"), universe.where("not listed"), n, 4000 - n)
     assert len(cascade.levels) > 1
     assert universe.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
     bits, hashes = bloom.shape(1000, 0.01)
@@ -358,16 +391,37 @@ def test_shards(spark, docs, awkward):
 
 def test_slot_map_is_edited_and_versioned(spark, tmp_path):
     totals = {v: ((v * 37) % 101 + 1, 2) for v in range(512)}
-    first = shards.first_map(totals, 512, 8)
+    first = shards.rebalanced(shards.first_map(512, 8), totals, 8)
     second = shards.rebalanced(first, totals, 9)
     moved = [v for v in first if first[v] != second[v]]
     load = [sum(totals[v][0] for v in second if second[v] == s) for s in range(9)]
     assert 0 < len(moved) < 512 / 4 and {second[v] for v in moved} == {8} and max(load) - min(load) <= 2 * 101
-    shards.store_map(spark, first, totals, 1, str(tmp_path / "map"))
-    shards.store_map(spark, second, totals, 2, str(tmp_path / "map"))
-    assert {r.version for r in shards.load_map(spark, str(tmp_path / "map")).collect()} == {2}
-    assert {r.vslot: r.shard for r in shards.load_map(spark, str(tmp_path / "map"), 1).collect()} == first
+    path = str(tmp_path / "map")
+    assert shards.load_map(spark, path) is None
+    shards.store_map(spark, first, totals, 1, path)
+    shards.store_map(spark, second, totals, 2, path)
+    assert {r.version for r in shards.load_map(spark, path).collect()} == {2}
+    assert {r.vslot: r.shard for r in shards.load_map(spark, path, 1).collect()} == first
     assert set(shards.rebalanced(second, totals, 8).values()) <= set(range(8))
+    with pytest.raises(Exception, match="(?i)exists"):
+        shards.store_map(spark, first, totals, 2, path)
+
+
+def test_sharding_again_edits_the_map(spark, docs, tmp_path):
+    """Three calls on one path: each row once, one more version each, few slots move; brute force over placements."""
+    path, n = str(tmp_path / "map"), docs.count()
+    outs = [shards.shard(docs, 256, 8, path).toPandas(), shards.shard(docs, 256, 8, path).toPandas(), shards.shard(docs, 256, 9, path).toPandas()]
+    assert [sorted(set(o.map_version)) for o in outs] == [[2], [3], [4]] and all(len(o) == n == o.doc_id.nunique() for o in outs)
+    maps = [{r.vslot: r.shard for r in shards.load_map(spark, path, v).collect()} for v in (1, 2, 3, 4)]
+    assert maps[0] == {v: v % 8 for v in range(256)} and maps[1] == maps[2]
+    assert {maps[3][v] for v in maps[3] if maps[3][v] != maps[2][v]} == {8}
+    for o, placed, count in zip(outs, maps[1:], (8, 8, 9), strict=True):
+        assert all(placed[v] == s for v, s in zip(o.vslot, o.shard, strict=True))
+        assert all(sorted(part.slot) == list(range(len(part))) for _, part in o.groupby("shard"))
+        sizes = o.groupby("shard")["size"].sum()
+        assert len(sizes) == count and sizes.max() - sizes.min() <= 2 * o.groupby("vslot")["size"].sum().max()
+    with pytest.raises(ValueError, match="for ever"):
+        shards.shard(docs, 128, 8, path)
 
 
 # 9 repeats
@@ -425,17 +479,24 @@ def test_exact_dedup_checks_bytes(docs):
     assert got == want
 
 
-def test_exact_dedup_goes_on(spark, tmp_path):
-    """A second feed into the same checkpoint finds the copies of the first."""
-    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    from sparkqa.llm.shared import new_folder
-
-    feed, state = new_folder(spark, "feed"), str(tmp_path / "state")
-    for rows in ([(1, "a"), (2, "b")], [(3, "A"), (4, "c")]):
-        d = exact_dedup.located(make(rows)).select("doc_id", "_file", "_row", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
-        d.write.mode("append").parquet(feed)
-        kept = exact_dedup.run_state(spark, feed, d.schema, state, F.unhex, 10)
-    assert sorted((r.keep.doc_id, r.n) for r in kept.collect()) == [(2, 1), (3, 2), (4, 1)]
+def brute_groups(feeds):
+    """(doc_id, keep_id, group_size, kept) of the last of several feeds."""
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    every = [(i, low(t)) for feed in feeds for i, t in feed]
+    out = []
+    for i, t in feeds[-1]:
+        ids = [j for j, u in every if u == low(t)]
+        out.append((i, max(ids), len(ids), i == max(ids)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("digest", [F.unhex, lambda c: F.substring(c, 1, 1)], ids=["whole digest", "forced collisions"])
+def test_exact_dedup_goes_on(spark, tmp_path, digest):
+    """Later feeds into the same checkpoint find the copies of earlier ones, and compare their bytes."""
+    feeds = [[(1, "a"), (2, "b"), (9, "e"), (10, "f"), (11, None)], [(3, "A"), (4, "c"), (5, "E"), (6, "")], [(7, "a"), (8, "C"), (12, "g")]]
+    for n in range(3):
+        out = exact_dedup.dedup(spark.createDataFrame(feeds[n], "doc_id long, text string"), digest, str(tmp_path / "state"))
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()) == brute_groups(feeds[: n + 1])
 
 
 def test_exact_dedup_awkward(awkward):
