@@ -8,6 +8,10 @@ equal in both (pigeonhole), and of the other 48 bits, in two halves, one half di
 Equal fingerprints are joined first, so a group of copies is one fingerprint. Within a key, links are followed breadth
 first and only the links that connect something new are kept, never all pairs. Keys with more fingerprints than one task
 should hold are compared block against block in many tasks.
+
+Near duplicates by resemblance (``similar_rows``) take these links of five-word fingerprints as candidates. Resemblance of
+0.8 bounds no number of bits, so an exact prefix filter adds the pairs whose fingerprints are further apart; all candidates
+are verified on whole shingle sets before anything is connected.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkqa.llm import golay
-from sparkqa.llm.shared import components, documents, stored, with_order
+from sparkqa.llm.shared import components, documents, free, quoted, stored, with_order
 from sparkqa.llm.textwork import shingle_hashes, small_batches, word_hashes
 
 SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
@@ -216,12 +220,12 @@ def common_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"h": shingle_set(text, n).view(np.int64)})
+            h, c = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *(shingle_set(t, n) for t in batch["text"])]), return_counts=True)
+            yield pd.DataFrame({"h": h.view(np.int64), "c": c})
 
-    sample = rows.where(F.pmod(F.xxhash64("ord"), F.lit(every)) == 0).select("text").mapInPandas(told, "h long")
-    counts = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    h, c = counts["h"].to_numpy().view(np.uint64), counts["count"].to_numpy()
+    sample = rows.where(F.pmod(F.xxhash64("ord"), F.lit(every)) == 0).select("text").mapInPandas(told, "h long, c long")
+    counts = sample.groupBy("h").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h, c = counts["h"].to_numpy().view(np.uint64), counts["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
@@ -284,23 +288,40 @@ def _met(batches: Iterator[pd.DataFrame], similarity: float, gaps: int, most: in
         yield from met(held)
 
 
-def _across(similarity: float):
-    """Pairs of rows of a key that are in different components: of one block, or of one block with another."""
-    def across(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("block", kind="stable")
-        of, size, at, component, block = (part[c].to_numpy() for c in ("id", "size", "at", "component", "block"))
-        one = part["x"].iloc[0] == part["y"].iloc[0]
-        second = int(np.searchsorted(block, block[0], side="right"))
-        a, b = [], []
-        for i in range(len(of) if one else second):
-            rest = slice(i + 1 if one else second, None)
-            found = of[rest][(component[rest] != component[i]) & _could(size[i], at[i], size[rest], at[rest], similarity)]
-            a.append(np.full(len(found), of[i]))
-            b.append(found)
-        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype=np.int64)
+def _across(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Of rows in the order of (key, x, y, block): pairs of rows that are in different components, of one block of a key
+    (x = y) or of one block with another."""
+    columns = ["key", "x", "y", "block", "id", "size", "at", "component"]
+    held = np.empty((0, len(columns)), dtype=np.int64)
+
+    def pairs(rows: np.ndarray) -> np.ndarray:
+        _, x, y, block, of, size, at, component = rows.T
+        cut = 0 if x[0] == y[0] else int(np.searchsorted(block, block[0], side="right"))
+        one, two = (slice(None), slice(None)) if x[0] == y[0] else (slice(None, cut), slice(cut, None))
+        apart = (component[one, None] != component[None, two]) & _could(size[one, None], at[one, None], size[None, two], at[None, two], similarity)
+        i, j = np.nonzero(np.triu(apart, 1) if x[0] == y[0] else apart)
+        return np.stack([of[one][i], of[two][j]], axis=1)
+
+    def told(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        if not len(rows):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(1)))).tolist()
+        found = []
+        for first, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+            found.append(pairs(rows[first:end]))
+            if sum(map(len, found)) > 100_000 or end == len(rows):
+                every = np.concatenate(found)
+                yield pd.DataFrame({"a": every.min(1, initial=np.iinfo(np.int64).max), "b": every.max(1, initial=np.iinfo(np.int64).min)})
+                found = []
 
-    return across
+    for batch in batches:
+        held = np.concatenate((held, batch[columns].to_numpy(dtype=np.int64)))
+        if len(held):
+            same = (held[:, :3] == held[-1, :3]).all(1)
+            last = len(held) - int(np.argmin(same[::-1])) if not same.all() else 0
+            yield from told(held[:last])
+            held = held[last:]
+    yield from told(held)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float, n: int) -> DataFrame:
@@ -324,48 +345,57 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
     """(node, component) of the rows (ord, text) that have near duplicates: their ord and the smallest of their group.
 
     Near duplicates have a resemblance of ``similarity`` or more on the sets of shingles of ``n`` words; a group is what
-    chains of such pairs connect. Candidates are exact: with the shingles of all sets in one order, two sets of that
-    resemblance share one of the first (1 - similarity) of each (prefix filter), at places that leave room for enough
-    common ones. Shingles known as frequent come last in the order. All candidates are verified on their whole sets, and
-    only verified links connect rows.
+    chains of such pairs connect. Candidates are the links of SimHash fingerprints under Golay keys, and those of a prefix
+    filter, which is exact: with the shingles of all sets in one order, two sets of that resemblance share one of the first
+    (1 - similarity) of each, at places that leave room for enough common ones. Shingles known as frequent come last in
+    the order. All candidates are verified on their whole sets, and only verified links connect rows.
 
-    In keys of more than ``gaps`` + 1 rows only neighbours are compared at first; then all their pairs that those links
-    have not put into one component, block by block.
+    In prefix keys of more than ``gaps`` + 1 rows only neighbours are compared at first; then all their pairs that verified
+    links have not put into one component, block by block.
 
-    Texts without words form no groups.
+    Texts without words form no groups; long texts are taken whole.
     """
     spark = rows.sparkSession
     small_batches(spark)
     common = spark.sparkContext.broadcast(common_shingles(rows, n))
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, sizes = [], []
-            for text in batch["text"]:
-                shingles = shingle_set(text, n)
-                keys.append(prefix(shingles, similarity, common.value))
-                sizes.append(len(shingles))
-            many = np.array([len(k) for k in keys], dtype=np.int64)
-            at = np.concatenate([np.arange(m) for m in many] or [[]])
-            key = np.concatenate(keys or [[]]).astype(np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": key, "id": np.repeat(batch["ord"].to_numpy(), many), "size": np.repeat(np.array(sizes, dtype=np.int32), many), "at": at.astype(np.int32)})
-
-    ordered = rows.select("ord", "text").mapInPandas(keyed, "key long, id long, size int, at int").repartition("key").sortWithinPartitions("key", "size", "id")
+            hashes = [shingle_hashes(word_hashes((t or "").encode("utf-8", "surrogatepass")), n) for t in batch["text"]]
+            sets = [np.unique(h) for h in hashes]
+            bits = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"ord": batch["ord"], "f": bits, "size": [len(s) for s in sets], "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]})
+
+    def golay_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            f = batch["f"].to_numpy()
+            row, key = keys(f)
+            yield pd.DataFrame({"key": key, "id": f[row], "f": f[row]})
+
+    sketches = stored(rows.select("ord", "text").mapInPandas(told, "ord long, f long, size int, keys array<long>"), "sketches").where("size > 0")
+    firsts = stored(sketches.groupBy("f").agg(F.min("ord").alias("low")), "firsts")
+    near = links(firsts.select("f").mapInPandas(golay_keyed, "key long, id long, f long"), ["f"], RADIUS)
+    near = near.join(firsts.toDF("a", "low_a"), "a").join(firsts.toDF("b", "low_b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    equal = sketches.join(firsts, "f").where("ord <> low").select(F.col("low").alias("a"), F.col("ord").alias("b"))
+
+    keyed = sketches.select(F.posexplode("keys").alias("at", "key"), F.col("ord").alias("id"), "size")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "size", "id")
     out = stored(ordered.mapInPandas(lambda b: _met(b, similarity, gaps), "kind int, key long, id long, other long, size int, at int"), "met")
-    pairs = stored(out.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    pairs = stored(out.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(near).unionByName(equal).distinct(), "pairs")
     found = verified(pairs, rows, similarity, n)
     reached = components(found)
     many = out.where("kind = 1").select("key", "id", "size", "at").distinct()
     if many.isEmpty():
         return reached
 
-    # large keys: pairs that are still apart, each pair of blocks in a task of its own
+    # large keys: pairs that are still apart, each pair of blocks on its own
     apart = stored(many.join(reached, many["id"] == reached["node"], "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component")), "apart")
     blocks = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
     parts = apart.join(blocks.where("low <> high").select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     parts = parts.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "size", "at", "component")
-    more = parts.groupBy("key", "x", "y").applyInPandas(_across(similarity), "a long, b long").distinct()
+    parts = parts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "id")
+    more = parts.mapInPandas(lambda b: _across(b, similarity), "a long, b long").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return reached
@@ -373,11 +403,14 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: its columns and ``group_id``, a number that near duplicates share (see
-    ``similar_rows``). Null ids, repeated ids and rows are rows of their own; an empty table gives none."""
-    rows = with_order(docs, keep=True)
-    reached = similar_rows(rows, **options)
-    return rows.join(reached, rows["ord"] == reached["node"], "left").select(*docs.columns, F.coalesce("component", "ord").alias("group_id"))
+    """One row per row of ``docs``: its columns (whatever they are called, but for group_id, which is replaced) and
+    ``group_id``, a number that near duplicates share (see ``similar_rows``). Null ids, repeated ids and rows are rows of
+    their own; an empty table gives none."""
+    docs = docs.drop("group_id")
+    ord_, node, component = free([*docs.columns, "group_id"], "ord", "node", "component")
+    rows = with_order(docs, ord_, keep=True)
+    reached = similar_rows(rows.select(F.col(ord_).alias("ord"), "text"), **options).toDF(node, component)
+    return rows.join(reached, F.col(ord_) == F.col(node), "left").select(*quoted(docs.columns), F.coalesce(component, ord_).alias("group_id"))
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
@@ -387,11 +420,13 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The first row (by doc_id) of each group of near duplicates, with the columns of ``docs``. Only the numbers of the
-    rows that go meet the texts again, in one join."""
-    rows = with_order(docs, keep=True)
-    gone = similar_rows(rows, **options).where("node <> component").select(F.col("node").alias("ord"))
-    return rows.join(gone, "ord", "left_anti").select(*docs.columns)
+    """The first row (by doc_id) of each group of near duplicates, with the columns of ``docs``, whatever they are called.
+    Only the numbers of the rows that go meet the texts again, in one join."""
+    ord_, = free(docs.columns, "ord")
+    rows = with_order(docs, ord_, keep=True)
+    reached = similar_rows(rows.select(F.col(ord_).alias("ord"), "text"), **options)
+    gone = stored(reached.where("node <> component").select(F.col("node").alias(ord_)), "gone")
+    return rows.join(gone, ord_, "left_anti").select(*quoted(docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
