@@ -51,8 +51,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _made.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    """Deletes a folder of the shared storage, if there is one."""
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def free(taken: Iterable[str], *names: str) -> list[str]:
