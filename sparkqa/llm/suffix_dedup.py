@@ -7,11 +7,18 @@ holds the suffix's leading tokens, a hash of the run's bytes, and its place.
 
 1. Copies of whole texts are found by digest; each first text is stored once, bucketed by document.
 2. Suffix rows are dealt into ranges by splitters sampled from the rows. The place is the last part of the order, so a
-   suffix that a third of all documents have is split over many ranges. Ranges sort locally (multikey quicksort), then
-   equal runs after the first are repeats; what continues from the range before is settled by comparing range borders.
-3. First runs whose leading tokens other runs share are compared string by string, with their bytes. Groups too large
-   for one task compare digests of their strings in a join instead, without a cap.
+   suffix that a third of all documents have is split over many ranges. Within its range Spark sorts them key after key,
+   spilling where it must, and a task reads them in order: equal runs after the first are repeats; what continues from the
+   range before is settled by comparing range borders. A task holds one batch and the first runs of one group of equal
+   tokens, up to ``GROUP_ROWS``, so ranges may be of any size.
+3. First runs whose leading tokens other runs share are compared string by string, with their bytes. Groups of more than
+   ``GROUP_ROWS``, and those at range borders, compare digests of their strings in a join instead, which Spark can split,
+   without a cap.
 4. Ranges of repeated strings are merged per document and cut out.
+
+Runs with equal bytes in their first eight places count as equal when two hashes of 64 bits are equal too (of the next
+sixteen bytes, and of the whole run with its shape): two different runs are taken for one with a chance of about 2**-128 a
+pair. Everything else is settled on bytes, or on digests of 128 bits.
 """
 
 from __future__ import annotations
@@ -29,9 +36,14 @@ from sparkqa.llm.shared import documents, new_folder, stored, with_order
 from sparkqa.llm.textwork import mixed, powers, small_batches
 
 LENGTH, TOKEN = 100, 24
-RANGE_ROWS, MAX_RANGES, SAMPLE_A_RANGE = 200_000, 1 << 17, 64
+#: Rows a range is to have; ranges and rows of the sample at most (beyond that ranges grow, which only makes them longer).
+RANGE_ROWS, MAX_RANGES, SAMPLE_A_RANGE, MAX_SAMPLE = 200_000, 1 << 17, 64, 1_000_000
 GROUP_ROWS = 2_000
+#: Bytes a bucket of texts is to have, and buckets at most (beyond that they grow; they are read row by row).
 BUCKET_BYTES, MAX_BUCKETS = 12_000_000, 100_000
+#: Kinds of rows that a range gives: a repeat, a first run to compare by bytes, the range's first run, its last, and a first
+#: run to compare by digests.
+REPEAT, COMPARED, OPENING, CLOSING, DIGESTED = range(5)
 
 _values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -69,25 +81,6 @@ def suffix_rows(text: bytes, length: int = LENGTH) -> np.ndarray | None:
     return np.stack([(t0 ^ np.uint64(1 << 63)).view(np.int64), t1.view(np.int64), run.view(np.int64), place])
 
 
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by several keys: sorts by one key, then only the rows that are still equal by the next."""
-    order = np.argsort(keys[0])
-    tied, group = order, keys[0][order]
-    at = np.arange(len(order))
-    for key in keys[1:]:
-        new = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.empty(0, dtype=bool)
-        alone = new & np.concatenate((new[1:], [True])) if len(group) else new
-        part, tied, at = np.cumsum(new)[~alone], tied[~alone], at[~alone]
-        if not len(tied):
-            break
-        sub = np.lexsort((key[tied], part))
-        tied, part = tied[sub], part[sub]
-        order[at] = tied
-        value = key[tied]
-        group = np.cumsum(np.concatenate(([True], (part[1:] != part[:-1]) | (value[1:] != value[:-1]))))
-    return order
-
-
 KEYS = ["t0", "t1", "run", "ord", "place"]
 
 
@@ -126,23 +119,62 @@ def splitter(rows: np.ndarray):
     return split
 
 
-def sort_range(rows: pd.DataFrame) -> pd.DataFrame:
-    """A range's repeats (kind 0), first runs that others share their tokens with (1), and its borders: first run (2) and
-    last (3)."""
-    keys = [rows[k].to_numpy() for k in KEYS]
-    order = multikey_order(keys)
-    t0, t1, run, ord_, place = (k[order] for k in keys)
-    new_group = np.concatenate(([True], (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])))
-    new_run = new_group | np.concatenate(([True], run[1:] != run[:-1]))
-    group = np.cumsum(new_group) - 1
-    runs = np.bincount(group, weights=new_run)
-    shared = (runs > 1)[group] | (group == 0) | (group == group[-1])
-    kind = np.where(~new_run, 0, np.where(shared, 1, -1))
-    kind[0] = 2
-    keep = kind >= 0
-    out = pd.DataFrame({"kind": kind, "t0": t0, "t1": t1, "run": run, "ord": ord_, "place": place})[keep]
-    out = pd.concat([out, pd.DataFrame({"kind": [3], "t0": t0[-1:], "t1": t1[-1:], "run": run[-1:], "ord": ord_[-1:], "place": place[-1:]})])
-    return out.assign(part=rows["part"].iloc[0])
+COLUMNS = ["part", *KEYS]
+
+
+def _changes(rows: np.ndarray, columns: slice) -> np.ndarray:
+    """Rows that differ from the one before in these columns, the first one included."""
+    return np.concatenate(([True], (rows[1:, columns] != rows[:-1, columns]).any(1)))
+
+
+def runs_of_ranges(batches: Iterator[pd.DataFrame], group_rows: int) -> Iterator[pd.DataFrame]:
+    """Of suffix rows in the order of (range, keys): their kinds, without runs that share their tokens with no other."""
+    held, opening, large = np.empty((0, len(COLUMNS)), dtype=np.int64), True, False
+
+    def told(kind: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+        kept = kind >= 0
+        return pd.DataFrame(rows[kept], columns=COLUMNS).assign(kind=kind[kept])[["kind", *KEYS, "part"]]
+
+    def settled(rows: np.ndarray, ended: bool) -> Iterator[pd.DataFrame]:
+        """rows: the held first runs of the open group, and what follows; ended: nothing more comes."""
+        nonlocal held, opening, large
+        known = len(held)
+        new_part, new_group = _changes(rows, slice(0, 1)), _changes(rows, slice(0, 3))
+        first = _changes(rows, slice(0, 4))
+        starts = np.flatnonzero(new_group)
+        group = np.cumsum(new_group) - 1
+        opens = new_part[starts]
+        opens[0] = opening if known else True
+        closes = np.append(opens[1:], ended)
+        n = np.bincount(group, weights=first, minlength=len(starts))
+        by_digest = opens | closes | (n > group_rows)
+        by_digest[0] |= large
+        kind = np.where(~first, REPEAT, np.where(by_digest, DIGESTED, np.where(n > 1, COMPARED, -1))[group])
+        kind[starts[opens]] = OPENING
+        if large:
+            kind[:known] = -1  # they are out
+        last = starts[-1]
+        mine = rows[last:][first[last:]]
+        if not ended:
+            kind[last:][first[last:]] = -1
+            opening, large = bool(opens[-1]), large and last == 0
+            if large or len(mine) > group_rows:
+                at = np.arange(len(mine))
+                new = at >= (known if large else 0)
+                yield told(np.where(new, np.where((at == 0) & opening, OPENING, DIGESTED), -1), mine)
+                mine, large = mine[-1:], True
+        yield told(kind, rows)
+        ends = np.flatnonzero(closes)
+        tails = np.append(starts[1:], len(rows))[ends] - 1
+        yield told(np.full(len(tails), CLOSING), rows[tails])
+        held = mine[:0] if ended else mine
+
+    for batch in batches:
+        rows = np.concatenate((held, batch[COLUMNS].to_numpy(dtype=np.int64)))
+        if len(batch):
+            yield from settled(rows, False)
+    if len(held):
+        yield from settled(held, True)
 
 
 def _strings(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -157,15 +189,24 @@ def _strings(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         yield pd.DataFrame(out, columns=["t0", "t1", "ord", "lo", "bytes"])
 
 
-def _compare(batches: Iterator[pd.DataFrame], length: int, group_rows: int) -> Iterator[pd.DataFrame]:
-    """Repeated strings of each group with equal tokens, rows in order: ranges (digest null), or, for large groups,
-    each string's digest."""
+def _digests(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """A digest of each string of the runs. In: as ``_strings``."""
+    for batch in _strings(batches, length):
+        out = []
+        for ord_, lo, data in zip(batch["ord"], batch["lo"], batch["bytes"], strict=True):
+            out.extend((hashlib.blake2b(data[i : i + length], digest_size=16).digest(), ord_, lo + i) for i in range(len(data) - length + 1))
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["digest", "ord", "lo"])
+                out = []
+        yield pd.DataFrame(out, columns=["digest", "ord", "lo"])
+
+
+def _compare(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Ranges of repeated strings of each group with equal tokens, rows in order; groups have at most ``GROUP_ROWS`` rows."""
     held: list[tuple[int, int, bytes]] = []
-    key, large = None, False
+    key = None
 
     def settle() -> list[tuple]:
-        if large or len(held) < 2:
-            return []
         out, seen = [], set()
         for ord_, lo, data in held:
             begun = None
@@ -176,31 +217,21 @@ def _compare(batches: Iterator[pd.DataFrame], length: int, group_rows: int) -> I
                 else:
                     seen.add(s)
                     if begun is not None:
-                        out.append((None, ord_, lo + begun, lo + i - 1))
+                        out.append((ord_, lo + begun, lo + i - 1))
                         begun = None
             if begun is not None:
-                out.append((None, ord_, lo + begun, lo + len(data) - length))
+                out.append((ord_, lo + begun, lo + len(data) - length))
         return out
 
-    def digests(rows: list[tuple[int, int, bytes]]) -> list[tuple]:
-        return [(hashlib.blake2b(data[i : i + length], digest_size=16).digest(), o, lo + i, lo + i) for o, lo, data in rows for i in range(len(data) - length + 1)]
-
-    columns = ["digest", "ord", "lo", "hi"]
     for batch in batches:
         out = []
         for t0, t1, ord_, lo, data in batch.itertuples(index=False):
             if (t0, t1) != key:
                 out += settle()
-                key, held, large = (t0, t1), [], False
+                key, held = (t0, t1), []
             held.append((ord_, lo, data))
-            if large or len(held) > group_rows:
-                out += digests(held)
-                held, large = [], True
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame(settle(), columns=columns)
+        yield pd.DataFrame(out, columns=["ord", "lo", "hi"])
+    yield pd.DataFrame(settle(), columns=["ord", "lo", "hi"])
 
 
 def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -227,7 +258,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
 
     A byte is removed when some string of ``length`` bytes (at least 32, at most 270) that covers it also starts
     earlier: in a document with smaller doc_id, or earlier in the same one. Strings are judged on the input. Null texts
-    are empty; repeated ids go by text, null ids first; an empty table gives no rows; other columns are left out.
+    are empty; repeated ids go by text, null ids first; an empty table gives no rows; long texts are taken whole; other
+    columns are left out.
     """
     if not TOKEN + 8 <= length <= 270:
         raise ValueError("length must be from 32 to 270")
@@ -246,12 +278,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
     name = f"texts_{uuid.uuid4().hex}"
     texts.write.option("path", new_folder(spark, "texts")).option("compression", "zstd").bucketBy(buckets, "ord").sortBy("ord").saveAsTable(name)
     texts = spark.table(name)
+    texts.schema  # resolved here, so the catalog's entry can go; the files stay
+    spark.sql(f"DROP TABLE {name}")
 
     row = "t0 long, t1 long, run long, ord long, place long"
     ranges = min(MAX_RANGES, max(1, (total[0] or 0) // 30 // range_rows))
     splitters = np.empty((0, 5), dtype=np.int64)
     if ranges > 1:
-        wanted = SAMPLE_A_RANGE * ranges
+        wanted = min(MAX_SAMPLE, SAMPLE_A_RANGE * ranges)
         every = max(1, total[1] // max(200, wanted // 16))
         some = texts.where(F.pmod(F.xxhash64("ord"), F.lit(every)) == 0).mapInPandas(lambda b: _suffixes(b, length), row)
         share = min(1.0, 1.5 * wanted * every * 35 / total[0])
@@ -260,24 +294,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
         splitters = drawn[np.unique(np.linspace(0, len(drawn), ranges + 1)[1:-1].astype(int))] if len(drawn) else splitters
     split = splitter(splitters)
     dealt = texts.mapInPandas(lambda b: _suffixes(b, length, split), f"{row}, part int")
-    ordered = stored(dealt.groupBy("part").applyInPandas(sort_range, f"kind int, {row}, part int"), "ranges")
+    sorted_ = dealt.repartition("part").sortWithinPartitions(*COLUMNS)
+    ordered = stored(sorted_.mapInPandas(lambda b: runs_of_ranges(b, group_rows), f"kind int, {row}, part int"), "ranges")
 
     # what a range starts with is a repeat if an earlier range ends with it
-    ends = ordered.where("kind = 3").groupBy("t0", "t1", "run").agg(F.min("part").alias("from"))
-    starts = ordered.where("kind = 2").join(ends, ["t0", "t1", "run"], "left").withColumn("again", F.coalesce(F.col("from") < F.col("part"), F.lit(False)))
-    repeats = ordered.where("kind = 0").select("ord", "place").unionByName(starts.where("again").select("ord", "place"))
-    shared = ordered.where("kind = 1").select("t0", "t1", "ord", "place").unionByName(starts.where(~F.col("again")).select("t0", "t1", "ord", "place"))
-
-    wanted = shared.groupBy("ord").agg(F.flatten(F.collect_list(F.array("t0", "t1", "place"))).alias("runs"))
-    strings = texts.join(wanted, "ord").select("ord", "text", "runs").mapInPandas(lambda b: _strings(b, length), "t0 long, t1 long, ord long, lo long, bytes binary")
+    ends = ordered.where(F.col("kind") == CLOSING).groupBy("t0", "t1", "run").agg(F.min("part").alias("from"))
+    starts = ordered.where(F.col("kind") == OPENING).join(ends, ["t0", "t1", "run"], "left").withColumn("again", F.coalesce(F.col("from") < F.col("part"), F.lit(False)))
+    starts = stored(starts.select("again", "t0", "t1", "ord", "place"), "starts")
+    repeats = ordered.where(F.col("kind") == REPEAT).select("ord", "place").unionByName(starts.where("again").select("ord", "place"))
+
+    runs = F.flatten(F.collect_list(F.array("t0", "t1", "place"))).alias("runs")
+    by_bytes = ordered.where(F.col("kind") == COMPARED).groupBy("ord").agg(runs)
+    strings = texts.join(by_bytes, "ord").select("ord", "text", "runs").mapInPandas(lambda b: _strings(b, length), "t0 long, t1 long, ord long, lo long, bytes binary")
     grouped = strings.repartition("t0", "t1").sortWithinPartitions("t0", "t1", "ord", "lo")
-    compared = stored(grouped.mapInPandas(lambda b: _compare(b, length, group_rows), "digest binary, ord long, lo long, hi long"), "compared")
-    many = compared.where("digest is not null")
-    earliest = many.groupBy("digest").agg(F.min(F.struct("ord", "lo")).alias("first"))
-    again = many.join(earliest, "digest").where(F.struct("ord", "lo") != F.col("first")).select("ord", "lo", "hi")
+    compared = stored(grouped.mapInPandas(lambda b: _compare(b, length), "ord long, lo long, hi long"), "compared")
+    by_digest = ordered.where(F.col("kind") == DIGESTED).select("t0", "t1", "ord", "place").unionByName(starts.where("not again").drop("again"))
+    digested = texts.join(by_digest.groupBy("ord").agg(runs), "ord").select("ord", "text", "runs")
+    many = stored(digested.mapInPandas(lambda b: _digests(b, length), "digest binary, ord long, lo long"), "digests")
+    earliest = many.groupBy("digest").agg(F.min(F.struct("ord", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = many.join(earliest, "digest").where(F.struct("ord", "lo") != F.col("first")).select("ord", "lo", F.col("lo").alias("hi"))
 
     lo, hi = _first("place"), _last("place")
-    found = repeats.select("ord", lo.alias("lo"), hi.alias("hi")).unionByName(compared.where("digest is null").select("ord", "lo", "hi")).unionByName(again)
+    found = repeats.select("ord", lo.alias("lo"), hi.alias("hi")).unionByName(compared).unionByName(again)
     per = found.groupBy("ord").agg(F.collect_list(F.shiftleft("lo", 8).bitwiseOR(F.col("hi") - F.col("lo"))).alias("ranges"))
     cut = texts.join(per, "ord").select("ord", "text", "ranges").mapInPandas(lambda b: _cut(b, length), "ord long, n_removed long, n_spans long, kept_sha256 string, span_start array<long>, span_end array<long>")
 

@@ -2,14 +2,17 @@
 
 1. Lexicons. From the training fold's labelled texts (a bounded sample), words and word beginnings that are far more
    frequent in toxic texts are found by Spark and dealt, strongest first, to a few lexicon voters.
-2. Voters. A lexicon votes "toxic" where a text has one of its entries and abstains elsewhere; density voters say whether
-   entries make up a given share of a text's words; pattern voters look at its form. Votes of all texts outside the
-   held-out fold are counted by pattern of votes (at most 2 ** voters rows, whatever the corpus).
-3. Generative label model. Expectation maximisation over those counts, anchored by the labelled counts, estimates the
-   share of toxic texts and each voter's rates for either class; the posteriors' residual correlations between voters
-   follow, and a voter's log odds are divided by what its correlations say it repeats of others.
-4. Classifier. A logistic regression on entries, their density and form learns the model's posterior labels on the
-   sample, and scores whole texts. Neither labels nor lang, source or doc_id are inputs of a score.
+2. Voters. A lexicon votes where a text has one of its entries; density voters say whether entries make up a given share of
+   a text's words; pattern voters look at its form. One pass splits each whole text into words, once, and stores which
+   entries it has and how the voters voted; everything after that works on these small rows.
+3. Generative label model. Votes of all texts outside the held-out fold, labelled or not, are counted by pattern (at most
+   2 ** voters rows, whatever the corpus). Expectation maximisation estimates from these counts alone the share of toxic
+   texts and, for either class, a forest of voters in which each depends on the one it is most correlated with: accuracies
+   and correlations are both part of the likelihood, so a voter that repeats another adds nothing. Labels only say which
+   of the two classes is the toxic one.
+4. Classifier. A logistic regression on entries, density and form learns the model's posterior labels on a bounded sample
+   of texts outside the held-out fold, labelled or not, and scores all texts. Neither labels nor lang, source or doc_id are
+   inputs of a score.
 """
 
 from __future__ import annotations
@@ -20,17 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkqa.llm.shared import documents, stored
+from sparkqa.llm.exact_dedup import located
+from sparkqa.llm.fingerprint import sketch
+from sparkqa.llm.shared import documents, free, quoted, stored
 from sparkqa.llm.textwork import small_batches
 
-#: Labelled texts that lexicons and classifier may be fitted on, entries, lexicon voters, and lengths of word beginnings.
-MAX_LABELLED, MAX_ENTRIES, LEXICONS, BEGINNINGS = 20_000, 2_000, 10, range(4, 9)
+#: Labelled texts that lexicons may be fitted on, texts that the classifier may be fitted on, lexicon voters, and lengths of
+#: word beginnings.
+MAX_LABELLED, MAX_FITTED, LEXICONS, BEGINNINGS = 20_000, 40_000, 10, range(4, 9)
 #: What an entry needs: log likelihood ratio statistic over texts, and log ratio of its rates among words.
 MIN_EVIDENCE, MIN_RATIO = 18.0, 2.5
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
+#: Information (nats a text) that two voters must give of each other within the classes to count as correlated.
+MIN_TOLD = 0.02
+#: Words whose entries a task remembers.
+MAX_WORDS = 300_000
 
 _WORD, _CAPITAL = re.compile(r"[^\W\d_]+"), re.compile("[A-Z\xc0-\xde]")
 
@@ -48,15 +59,25 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
-def matches(words: Counter, entries: dict[str, object]) -> tuple[list[str], float]:
-    """The entries a text has, and the share of its words that have one."""
-    found, hits = set(), 0
-    for word, n in words.items():
-        own = [f for f in forms(word) if f in entries]
-        if own:
-            found.update(own)
-            hits += n
-    return sorted(found), hits / max(1, words.total())
+class Matcher:
+    """The entries that texts have, by number; those of words are remembered."""
+
+    def __init__(self, entries: list[str]):
+        self.number, self.known = {e: i for i, e in enumerate(entries)}, {}
+
+    def __call__(self, words: Counter) -> tuple[list[int], float]:
+        """A text's entries, and the share of its words that have one."""
+        if len(self.known) > MAX_WORDS:
+            self.known.clear()
+        found, hits, known = set(), 0, self.known
+        for word, n in words.items():
+            own = known.get(word)
+            if own is None:
+                own = known[word] = tuple(self.number[f] for f in forms(word) if f in self.number)
+            if own:
+                found.update(own)
+                hits += n
+        return sorted(found), hits / max(1, words.total())
 
 
 def shapes(text: str | None) -> list[bool]:
@@ -75,9 +96,17 @@ DENSITIES = (0.005, 0.008, 0.012)
 FORMS = len(DENSITIES) + 3
 
 
-def lexicon(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> list[str]:
-    """Words and beginnings that mark toxic texts, strongest first; at most ``max_entries`` reach the driver."""
-    labelled = labelled.dropDuplicates(["text"])  # copies of a text say nothing new
+def lexicon(labelled: DataFrame) -> list[str]:
+    """Words and beginnings that mark toxic texts, strongest first. Copies and near copies of a text (equal smallest hash of
+    five-word shingles) say nothing new and count once, as toxic if one is."""
+
+    @F.pandas_udf("long")
+    def smallest(texts: pd.Series) -> pd.Series:
+        own = [sketch(t, 1) for t in texts]
+        return pd.Series([int(h.view(np.int64)[0]) if len(h) else 0 for h in own], dtype="int64")
+
+    one = F.max(F.struct("toxic", F.coalesce("text", F.lit("")).alias("text"))).alias("one")
+    labelled = labelled.groupBy(smallest("text").alias("smallest")).agg(one).select("one.*")
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[str, int, int]] = []
@@ -105,108 +134,149 @@ def lexicon(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> list[str]:
     part, both = whole.a / (whole.a + whole.b), F.col("a") + F.col("b")
     evidence = 2 * (F.col("a") * F.log(F.col("a") / (both * part)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (both * (1 - part)))).otherwise(0))
     kept = counts.where((F.col("feature") != "") & (F.col("a") > both * part) & (evidence > MIN_EVIDENCE) & (ratio > MIN_RATIO))
-    return [r.feature for r in kept.orderBy(F.desc(evidence), "feature").limit(max_entries).select("feature").collect()]
+    return [r.feature for r in kept.orderBy(F.desc(evidence), "feature").select("feature").collect()]
 
 
-def deal(entries: list[str], lexicons: int = LEXICONS) -> dict[str, int]:
-    """Entry to lexicon voter: words that begin alike go together, since they say the same; strongest first, in turn."""
+def deal(entries: list[str], lexicons: int = LEXICONS) -> list[int]:
+    """The lexicon voter of each entry: words that begin alike go together, since they say the same; strongest first, in turn."""
     roots: dict[str, int] = {}
-    return {e: roots.setdefault(e[: min(BEGINNINGS)], len(roots)) % lexicons for e in entries}
+    return [roots.setdefault(e[: min(BEGINNINGS)], len(roots)) % lexicons for e in entries]
+
 
+VOTERS = LEXICONS + FORMS
 
-def votes(docs: DataFrame, lexicons: dict[str, int], keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``votes``, a bit for each voter."""
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def marked(docs: DataFrame, entries: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``found`` (numbers of entries) and ``votes`` (a bit for each voter) of each text; stored."""
+    lexicons = deal(entries)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match = Matcher(entries)
         for batch in batches:
-            out = []
+            found, votes = [], []
             for text in batch["text"]:
-                found, density = matches(words_of(text), lexicons)
+                own, density = match(words_of(text))
                 bits = 0
-                for f in found:
-                    bits |= 1 << lexicons[f]
+                for e in own:
+                    bits |= 1 << lexicons[e]
                 for i, v in enumerate(form_of(text, density)):
                     bits |= int(v) << (LEXICONS + i)
-                out.append(bits)
-            yield batch[keep].assign(votes=out)
+                found.append(own)
+                votes.append(bits)
+            yield batch[keep].assign(found=found, votes=votes)
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "votes int"])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(vote, schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "found array<int>", "votes int"])
+    return stored(docs.select(*quoted(dict.fromkeys([*keep, "text"]))).mapInPandas(mark, schema), "marked")
 
 
 class LabelModel:
-    """Two-class model of binary votes: prior, each voter's rates, and weights that discount correlated voters.
-    two_sided: voters whose silence is a vote; the others abstain."""
+    """Two classes, and for each a forest of binary votes: the class's share, and each vote's rate given its parent's vote.
+    Votes that say less than ``MIN_TOLD`` of each other within the classes are taken as independent."""
 
-    def __init__(self, two_sided: np.ndarray):
-        self.two_sided = two_sided
-        self.prior, self.rates, self.weights = 0.5, np.full((2, len(two_sided)), 0.5), np.ones(len(two_sided))
-        self.correlations = np.zeros((len(two_sided), len(two_sided)))
+    def __init__(self, voters: int):
+        self.prior, self.parent = 0.5, np.full(voters, -1)
+        self.rates = np.full((2, voters, 2), 0.5)  # of a vote, by class and by the parent's vote (a root's: equal)
+        self.correlations = np.zeros((voters, voters))
 
     def posterior(self, bits: np.ndarray) -> np.ndarray:
-        odds = bits * np.log(self.rates[1] / self.rates[0]) + (1 - bits) * self.two_sided * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        score = np.log(self.prior / (1 - self.prior)) + (odds * self.weights).sum(1)
+        """The probability of class 1 for rows of votes."""
+        of = np.where(self.parent < 0, 0, bits[:, self.parent]).astype(int)
+        score = np.full(len(bits), np.log(self.prior / (1 - self.prior)))
+        for c, sign in ((1, 1), (0, -1)):
+            rate = self.rates[c][np.arange(bits.shape[1]), of]
+            score += sign * np.log(np.where(bits > 0, rate, 1 - rate)).sum(1)
         return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
 
-    def fit(self, known: tuple[np.ndarray, np.ndarray, np.ndarray], bits: np.ndarray, counts: np.ndarray, share: float = 0.2, rounds: int = 50) -> LabelModel:
-        """known: patterns of votes, labels and counts of the labelled texts; bits, counts: of all texts, which together
-        weigh ``share`` times as much as the labelled ones."""
-        own, labels, n = known
-        weight = share * n.sum() / max(1.0, counts.sum())
-        rows, every = np.concatenate([own, bits]), np.concatenate([n, counts * weight])
-        q = np.concatenate([labels.astype(float), np.full(len(bits), np.nan)])
-        open_rows = np.isnan(q)
-        q[open_rows], every_start = 0.0, np.where(open_rows, 0.0, every)
-        self._update(rows, q, every_start)
-        for _ in range(rounds):
-            last = self.rates.copy()
-            q[open_rows] = self.posterior(bits)
-            self._update(rows, q, every)
-            if np.abs(last - self.rates).max() < 1e-6:
+    def fit(self, bits: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200, settle: int = 3, tolerance: float = 1e-7) -> LabelModel:
+        """bits, counts: patterns of votes and how many texts have each; start: first guess of their class 1. The first
+        ``settle`` rounds take voters as independent; then the forest of what the classes do not explain is chosen, once."""
+        q, counts = start.astype(float), counts.astype(float)
+        for n in range(rounds):
+            self._update(bits, counts, q, choose=n == settle)
+            last, q = q, self.posterior(bits)
+            if n > settle and np.abs(last - q).max() < tolerance:
                 break
         return self
 
-    def _update(self, rows: np.ndarray, q: np.ndarray, n: np.ndarray) -> None:
-        for c, w in ((1, q * n), (0, (1 - q) * n)):
-            self.rates[c] = ((w[:, None] * rows).sum(0) + 0.1) / (w.sum() + 0.2)
-        self.prior = float(np.clip((q * n).sum() / n.sum(), 1e-4, 1 - 1e-4))
-        self.correlations = self._correlations(rows, n, q)
-        self.weights = 1 / (1 + np.where(np.abs(self.correlations) > 0.1, np.abs(self.correlations), 0).sum(0))
-
-    def _correlations(self, bits: np.ndarray, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Correlations of the votes that the classes do not explain."""
-        rest = bits - (q[:, None] * self.rates[1] + (1 - q)[:, None] * self.rates[0])
-        cov = (rest * counts[:, None]).T @ rest / max(1, counts.sum())
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        out = cov / np.outer(sd, sd)
+    def oriented(self, bits: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> LabelModel:
+        """The same with class 1 the one that labels say is toxic."""
+        p = self.posterior(bits)
+        mean = [np.average(p[toxic == c], weights=counts[toxic == c]) if (toxic == c).any() else 0.5 for c in (0, 1)]
+        if mean[1] < mean[0]:
+            self.prior, self.rates = 1 - self.prior, self.rates[::-1].copy()
+        return self
+
+    def _update(self, bits: np.ndarray, counts: np.ndarray, q: np.ndarray, choose: bool) -> None:
+        weight = np.stack([(1 - q) * counts, q * counts])
+        self.prior = float(np.clip(weight[1].sum() / counts.sum(), 1e-4, 1 - 1e-4))
+        values = np.stack([1 - bits, bits], axis=2)  # of each vote: is it 0, is it 1
+        joint = np.stack([np.einsum("r,rja,rkb->jkab", w, values, values, optimize=True) for w in weight]) + 0.1
+        total = joint.sum((3, 4), keepdims=True)
+        p = joint / total
+        one, two = p.sum(4, keepdims=True), p.sum(3, keepdims=True)
+        told = (p * np.log(p / (one * two))).sum((3, 4)) * total[..., 0, 0]  # what one vote says of another within a class
+        self.correlations = self._correlations(p, weight.sum(1))
+        if choose:
+            self._choose(told.sum(0) / counts.sum())
+        j = np.arange(bits.shape[1])
+        up = np.where(self.parent < 0, j, self.parent)
+        for c in (0, 1):
+            given = joint[c][up, j]  # by the parent's vote and the vote
+            alone = joint[c][j, j][:, [0, 1], [0, 1]]
+            self.rates[c] = np.where((self.parent < 0)[:, None], (alone[:, 1] / alone.sum(1))[:, None], given[:, :, 1] / given.sum(2))
+
+    def _choose(self, told: np.ndarray) -> None:
+        """The forest of the most telling pairs, grown from voter 0."""
+        self.parent[:] = -1
+        inside, outside = [0], list(range(1, len(told)))
+        while outside:
+            part = told[np.ix_(inside, outside)]
+            i, o = np.unravel_index(part.argmax(), part.shape)
+            if part[i, o] >= MIN_TOLD:
+                self.parent[outside[o]] = inside[i]
+            inside.append(outside.pop(o))
+
+    def _correlations(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Correlations of votes within classes, averaged over them."""
+        rate = p[..., 1].sum(3).transpose(0, 2, 1)[:, 0]  # by class and voter
+        cov = p[..., 1, 1] - rate[:, :, None] * rate[:, None, :]
+        sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+        out = np.average(cov / (sd[:, :, None] * sd[:, None, :]), axis=0, weights=weight)
         np.fill_diagonal(out, 0)
         return out
 
 
-def bits_of(votes: np.ndarray, voters: int) -> np.ndarray:
+def bits_of(votes: np.ndarray, voters: int = VOTERS) -> np.ndarray:
     return (votes[:, None] >> np.arange(voters) & 1).astype(float)
 
 
+def first_guess(bits: np.ndarray) -> np.ndarray:
+    """Class 1 by the voters' majority: the more of them speak, and above all the densest, the likelier."""
+    return 1 / (1 + np.exp(3 - bits[:, :LEXICONS].sum(1) - bits[:, LEXICONS : LEXICONS + len(DENSITIES)].sum(1)))
+
+
 class Classifier:
     """Logistic regression on the entries a text has and on what density and pattern voters say."""
 
-    def __init__(self, weights: dict[str, float], form: list[float], bias: float):
-        self.weights, self.form, self.bias = weights, form, bias
+    def __init__(self, entries: list[str], weights: np.ndarray):
+        self.entries, self.weights = entries, weights
 
-    def score(self, text: str | None) -> float:
-        found, density = matches(words_of(text), self.weights)
-        z = self.bias + sum(self.weights[f] for f in found) + sum(w for w, v in zip(self.form, form_of(text, density), strict=True) if v)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    def scores(self, found: pd.Series, votes: pd.Series) -> np.ndarray:
+        k = len(self.entries)
+        size = found.map(len).to_numpy()
+        own = np.concatenate([np.empty(0, dtype=np.int64), *found]).astype(np.int64)
+        z = np.bincount(np.repeat(np.arange(len(found)), size), weights=self.weights[own], minlength=len(found))
+        z += bits_of(votes.to_numpy())[:, LEXICONS:] @ self.weights[k : k + FORMS] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_classifier(rows: list[tuple[list[str], list[bool]]], targets: np.ndarray, entries: list[str], rounds: int = 300, step: float = 0.1, ridge: float = 1e-3) -> Classifier:
+def fit_classifier(found: pd.Series, votes: np.ndarray, targets: np.ndarray, entries: list[str], rounds: int = 300, step: float = 0.1, ridge: float = 1e-3) -> Classifier:
     """Fits posterior labels by Adam steps over all rows, with a ridge on all but the bias."""
-    number = {e: i for i, e in enumerate(entries)}
-    k, n = len(entries), len(rows)
-    at = [[number[f] for f in fs] + [k + i for i, v in enumerate(form) if v] for fs, form in rows]
-    row = np.repeat(np.arange(n), [len(a) for a in at])
-    col = np.array([c for a in at for c in a], dtype=np.int64)
+    k, n = len(entries), len(votes)
+    r, c = np.nonzero(bits_of(votes)[:, LEXICONS:])
+    row = np.concatenate([np.repeat(np.arange(n), found.map(len)), r])
+    col = np.concatenate([np.empty(0, dtype=np.int64), *found, k + c]).astype(np.int64)
     width = k + FORMS
     w, mean, square = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
@@ -215,67 +285,78 @@ def fit_classifier(rows: list[tuple[list[str], list[bool]]], targets: np.ndarray
         grad = np.append(np.bincount(col, weights=error[row], minlength=width) / n + ridge * w[:width], error.mean())
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         w = w - step * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-    return Classifier({e: float(w[i]) for e, i in number.items()}, w[k:width].tolist(), float(w[width]))
+    return Classifier(entries, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier | None:
-    """The classifier; None without labels of both kinds in the training fold.
+def scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_fitted: int = MAX_FITTED, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, _file, _row (see ``exact_dedup.located``), held_out, score (0 to 1) and predicted of each row of ``docs``.
 
     Labels count only from rows outside the held-out fold; null labels and ids are left out, of repeated labels the
-    largest counts. At most ``max_labelled`` labelled texts, drawn by a hash of their ids, are used for fitting; votes
-    are counted over every text outside the held-out fold.
+    largest counts. At most about ``max_labelled`` labelled texts, drawn by a hash of their ids, make the lexicons, and at
+    most about ``max_fitted`` texts, drawn by a hash of theirs, fit the classifier; votes are counted over every text
+    outside the held-out fold. Without labels of both kinds, or without an entry, every score is 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    rows = located(docs.select("doc_id", "text"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold_of(F.col("doc_id")) != HELD_OUT)
-    total = known.count()
-    share = min(1.0, max_labelled / max(1, total))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    labelled = stored(docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    share = min(1.0, max_labelled / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = stored(rows.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     entries = lexicon(labelled)
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
     if not entries:
-        return None
-    lexicons = deal(entries)
-    voters = LEXICONS + FORMS
-    open_rows = docs.select("doc_id", "text").where(F.coalesce(fold_of(F.col("doc_id")) != HELD_OUT, F.lit(True)))
-    counted = votes(open_rows, lexicons, []).groupBy("votes").count().toPandas()
-    told = votes(labelled, lexicons, ["toxic"]).groupBy("votes", "toxic").count().toPandas()
-    known = bits_of(told["votes"].to_numpy(), voters), told["toxic"].to_numpy(), told["count"].to_numpy().astype(float)
-    two_sided = np.array([LEXICONS <= i < LEXICONS + len(DENSITIES) for i in range(voters)], dtype=float)
-    model = LabelModel(two_sided).fit(known, bits_of(counted["votes"].to_numpy(), voters), counted["count"].to_numpy().astype(float))
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(t, *matches(words_of(t), lexicons)) for t in batch["text"]]
-            yield pd.DataFrame({"found": [f for _, f, _ in out], "form": [form_of(t, d) for t, _, d in out]})
-
-    sample = labelled.select("text").mapInPandas(found, "found array<string>, form array<boolean>").toPandas()
-    marks = np.zeros((len(sample), voters))
-    for i, (fs, form) in enumerate(zip(sample["found"], sample["form"], strict=True)):
-        marks[i, [lexicons[f] for f in fs]] = 1
-        marks[i, LEXICONS:] = form
-    rows = [(list(fs), list(form)) for fs, form in zip(sample["found"], sample["form"], strict=True)]
-    return fit_classifier(rows, model.posterior(marks), entries)
+        return rows.select("doc_id", "_file", "_row", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    marks = marked(rows, entries, ["doc_id", "_file", "_row"])
+    learnt = marks.where(~held_out)
+    counted = learnt.groupBy("votes").count().toPandas()  # at most 2 ** VOTERS rows
+    told = learnt.join(known, "doc_id").groupBy("votes", "toxic").count().toPandas()
+    bits = bits_of(counted["votes"].to_numpy())
+    model = LabelModel(VOTERS).fit(bits, counted["count"].to_numpy(), first_guess(bits))
+    model.oriented(bits_of(told["votes"].to_numpy()), told["toxic"].to_numpy(), told["count"].to_numpy())
+
+    share = min(1.0, max_fitted / max(1, int(counted["count"].sum())))
+    drawn = learnt.where(F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = drawn.orderBy("doc_id", "_file", "_row").select("found", "votes").toPandas()
+    classifier = fit_classifier(sample["found"], sample["votes"].to_numpy(), model.posterior(bits_of(sample["votes"].to_numpy())), entries)
 
+    @F.pandas_udf("double")
+    def score(found: pd.Series, votes: pd.Series) -> pd.Series:
+        return pd.Series(classifier.scores(found, votes))
 
-def scored(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` to docs; without a model every score is 0."""
-    small_batches(docs.sparkSession)
+    out = marks.select("doc_id", "_file", "_row", held_out, score("found", "votes").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model.score(t) if model else 0.0).astype(float)
 
-    return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def _located(docs: DataFrame) -> DataFrame:
+    """``docs`` as something whose rows can be located again."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return stored(docs, "docs")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` with its columns, held_out, score and predicted. Null and empty texts get the score of
-    a text without words; null ids are not held out; repeated rows are scored alike; an empty table gives no rows."""
-    out = scored(docs, train(docs, labels))
-    return out.withColumn("held_out", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)))
+    """One row per row of ``docs`` with its columns, held_out, score and predicted (which replace columns of those names).
+    Null and empty texts get the score of a text without words, long ones are read whole; null ids are not held out;
+    repeated rows are scored alike; an empty table gives no rows."""
+    docs = _located(docs)
+    added = ("held_out", "score", "predicted")
+    file, row = free([*docs.columns, *added], "_file", "_row")
+    told = stored(scores(docs, labels).select(F.col("_file").alias(file), F.col("_row").alias(row), *added), "scores")
+    return located(docs, file, row).drop(*added).join(told, [file, row]).drop(file, row)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with the columns they have, whatever those are called. Only the
+    locators of the rows that go meet the texts again."""
+    docs = _located(docs)
+    file, row = free(docs.columns, "_file", "_row")
+    gone = stored(scores(docs, labels).where("predicted = 1").select(F.col("_file").alias(file), F.col("_row").alias(row)), "toxic")
+    return located(docs, file, row).join(gone, [file, row], "left_anti").select(*quoted(docs.columns))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "held_out", "score", "predicted")

@@ -18,17 +18,24 @@ from sparkqa.llm.shared import components, with_order  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor " * 20_000
-EXTRA = ", kept boolean, score double, sequence_id long, rank int, vslot int, bucket int, key string, host string, component_id long"
+EXTRA = (
+    ", kept boolean, score double, sequence_id long, rank int, vslot int, bucket int, key string, host string, component_id long, ord long, node long, component long, _file long, _row long, "
+    "_source string, _lang string, _topic string, topic string, _probability double, _best string, predicted int, held_out boolean, keys int, best int, tie int, at int, part int, before int, feed int, first int"
+)
 AWKWARD = [(1, None), (2, ""), (3, "  \n "), (4, "A b c"), (5, "a B c"), (5, "a B c"), (None, "null id"), (7, "é ß 日本 \t x"), (8, LONG), (9, "one two three four five six " * 40)]
 
 
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Rows with every hard case, and columns whose names the operators use themselves."""
-    rows = [(*r, "en", "s0", 0, None, 1.0, 1, 1, 1, 1, "k", "h", 1) for r in AWKWARD]
+    rows = [(*r, "en", "s0", 0, None, 1.0, 1, 1, 1, 1, "k", "h", 1, 5, 6, 7, 8, 9, "a", "b", "c", "d", 0.5, "e", 1, True, *range(8)) for r in AWKWARD]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + EXTRA)
 
 
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -61,7 +68,7 @@ def test_mixing_keeps_what_is_asked(docs):
 
 def test_mixing_awkward(awkward):
     assert mixing.mix(awkward).count() == len(AWKWARD) and mixing.mix(awkward.limit(0)).count() == 0
-    assert mixing.sampled_rows(awkward, keep=1.0).count() == len(AWKWARD)
+    assert rows_of(mixing.sampled_rows(awkward, keep=1.0)) == rows_of(awkward)
 
 
 # 2 toxicity
@@ -90,18 +97,59 @@ def test_toxicity_learns(spark):
 
 def test_toxicity_awkward(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    out = toxicity.toxicity(awkward.drop("score"), none).collect()
+    out = toxicity.toxicity(awkward, none).collect()
     assert len(out) == len(AWKWARD) and all(0 <= r.score <= 1 for r in out)
+    kept = toxicity.accepted(awkward, none)
+    assert kept.columns == awkward.columns and rows_of(kept) == rows_of(awkward)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
-    assert toxicity.toxicity(awkward.drop("score").limit(0), labels).count() == 0
-
-
-def test_label_model_discounts_correlated_voters():
-    bits = np.array([[a, a, b] for a in (0, 1) for b in (0, 1)], dtype=float)
-    known = bits, np.array([0, 0, 0, 1]), np.array([50.0, 10, 10, 30])
-    model = toxicity.LabelModel(np.ones(3)).fit(known, bits, np.array([500.0, 100, 100, 300]))
-    assert model.correlations[0, 1] > 0.9 and model.weights[0] < 0.6
-    assert model.posterior(bits).argmax() == 3
+    assert toxicity.toxicity(awkward.limit(0), labels).count() == 0
+
+
+def simulated(rng, n=40_000):
+    """Votes of six voters of known rates by class, the second a noisy copy of the first; (patterns, counts, mean class 1)."""
+    y = rng.random(n) < 0.15
+    rate = np.array([[0.05, 0.0, 0.1, 0.02, 0.08, 0.04], [0.8, 0.0, 0.7, 0.6, 0.75, 0.5]])
+    votes = rng.random((n, 6)) < rate[y.astype(int)]
+    votes[:, 1] = np.where(rng.random(n) < 0.97, votes[:, 0], ~votes[:, 0])
+    at = votes @ (1 << np.arange(6))
+    counts = np.bincount(at, minlength=64)
+    bits = (np.arange(64)[:, None] >> np.arange(6) & 1).astype(float)
+    like = lambda c: np.prod([np.where(bits[:, 1] == bits[:, 0], 0.97, 0.03), *[np.where(bits[:, j] > 0, rate[c, j], 1 - rate[c, j]) for j in (0, 2, 3, 4, 5)]], axis=0)
+    exact = 0.15 * like(1) / (0.15 * like(1) + 0.85 * like(0))
+    return bits, counts, exact, np.bincount(at, weights=y, minlength=64)
+
+
+def test_label_model_against_brute_force():
+    """Rates, the correlated pair and posteriors by Bayes' rule come out of agreements alone."""
+    bits, counts, exact, positive = simulated(np.random.default_rng(6))
+    seen = counts > 0
+    guess = 1 / (1 + np.exp(2.5 - bits.sum(1)))
+    model = toxicity.LabelModel(6).fit(bits[seen], counts[seen], guess[seen])
+    model.oriented(bits[seen], np.ones(seen.sum()), positive[seen] + 1e-9)
+    assert model.prior == pytest.approx(0.15, abs=0.02)
+    assert model.parent[1] == 0 and (model.parent[2:] == -1).all() and model.correlations[0, 1] > 0.8
+    assert model.rates[1, 2:, 0] == pytest.approx([0.7, 0.6, 0.75, 0.5], abs=0.05)
+    assert model.rates[0, 2:, 0] == pytest.approx([0.1, 0.02, 0.08, 0.04], abs=0.02)
+    p = model.posterior(bits)
+    assert np.average(np.abs(p - exact), weights=counts) < 0.01
+    # the copy adds next to nothing: with the first voter and without any other, it does not raise the posterior
+    alone, twice = p[1], p[3]
+    assert twice - alone < 0.35 and exact[3] - exact[1] < 0.35
+
+
+def test_label_model_is_oriented():
+    bits, counts, _, positive = simulated(np.random.default_rng(7), 5_000)
+    wrong = toxicity.LabelModel(6).fit(bits, counts + 1e-9, 1 / (1 + np.exp(bits.sum(1) - 2.5)))
+    toxic = np.repeat([1.0, 0.0], 64)
+    wrong.oriented(np.concatenate([bits, bits]), toxic, np.concatenate([positive, counts - positive]) + 1e-9)
+    assert wrong.prior < 0.5 and wrong.posterior(bits).argmax() > 32
+
+
+def test_toxicity_quality(spark):
+    """Held-out accuracy, and the same result whatever the held-out labels are and however rows are dealt."""
+    sf = "/root/testdata/sf0.01"
+    out = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert out.predicted[out.toxic == 1].mean() > 0.6 and out.predicted[out.toxic == 0].mean() < 0.02
 
 
 # 3 SimHash
@@ -191,7 +239,8 @@ def test_near_groups(spark, awkward):
     assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3
     assert sorted(r.doc_id for r in simhash.one_of_each(d).collect()) == [0, 2, 3]
     kept = simhash.one_of_each(awkward)
-    assert kept.columns == awkward.columns and kept.count() >= 7
+    assert kept.columns == awkward.columns and kept.count() >= 7 and set(rows_of(kept)) <= set(rows_of(awkward))
+    assert rows_of(simhash.similar_groups(awkward).drop("group_id")) == rows_of(awkward)
     assert simhash.one_of_each(awkward.limit(0)).count() == 0
 
 
@@ -462,12 +511,48 @@ def test_repeats_awkward(awkward):
     assert suffix_dedup.remove_repeats(awkward.limit(0)).count() == 0
 
 
-def test_multikey_order():
+def test_runs_of_ranges_in_any_batches():
+    """Kinds of rows do not depend on batches, and are those of a plain reading."""
+    import pandas as pd
+
     rng = np.random.default_rng(2)
-    keys = [rng.integers(0, 3, 500) for _ in range(4)]
-    order = suffix_dedup.multikey_order(keys)
-    rows = list(zip(*(k[order].tolist() for k in keys), strict=True))
-    assert rows == sorted(rows) and len(suffix_dedup.multikey_order([np.empty(0, dtype=int)] * 2)) == 0
+    rows = np.array(sorted({tuple(r) for r in np.column_stack([rng.integers(0, 4, 600), rng.integers(0, 6, 600), rng.integers(0, 2, 600), rng.integers(0, 5, 600), rng.integers(0, 300, 600), rng.integers(0, 9, 600)]).tolist()}))
+    frame = pd.DataFrame(rows, columns=suffix_dedup.COLUMNS)
+
+    def plain(group_rows):
+        out = []
+        for part, of in frame.groupby("part"):
+            groups = [g for _, g in of.groupby(["t0", "t1"])]
+            for i, g in enumerate(groups):
+                runs, border = g["run"].nunique(), i in (0, len(groups) - 1)
+                for at, (_, r) in enumerate(g.iterrows()):
+                    first = not at or g["run"].iloc[at - 1] != r["run"]
+                    kind = 0 if not first else 2 if not i and not at else 4 if border or runs > group_rows else 1 if runs > 1 else None
+                    if kind is not None:
+                        out.append((kind, *(int(r[k]) for k in suffix_dedup.KEYS), part))
+            last = groups[-1].iloc[-1]
+            out.append((3, int(last["t0"]), int(last["t1"]), int(last["run"]), 0, 0, part))
+        return sorted(out)
+
+    for group_rows in (2, 3, 100):
+        for size in (1, 7, 64, 1000):
+            got = pd.concat(suffix_dedup.runs_of_ranges((frame[i : i + size] for i in range(0, len(frame), size)), group_rows))
+            assert sorted((*r[:4], *((0, 0) if r[0] == 3 else r[4:6]), r[6]) for r in got.itertuples(index=False, name=None)) == plain(group_rows), (group_rows, size)
+
+
+def test_repeats_of_a_hot_token(spark):
+    """A passage in over half of all rows, each time with other neighbours, so that its tokens make one large group."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, f"{' '.join(word() for _ in range(30))} {passage if i % 3 else ''} {' '.join(word() for _ in range(30))}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute_repeats(rows, 100))
+    assert sum(r[2] for r in want) > 25_000
+    for range_rows in (200, 100_000):
+        tables = {t.name for t in spark.catalog.listTables()}
+        assert sorted(told(suffix_dedup.remove_repeats(df, range_rows=range_rows, group_rows=20))) == want
+        assert {t.name for t in spark.catalog.listTables()} == tables
 
 
 # 10 exact dedup
@@ -505,7 +590,7 @@ def test_exact_dedup_awkward(awkward):
     assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
     assert {r.keep_id for r in got if r.doc_id in (1, 2)} == {2} and {r.group_size for r in got if r.doc_id == 5} == {3}
     kept = exact_dedup.kept_rows(awkward)
-    assert kept.columns == awkward.columns and kept.count() == 7
+    assert kept.columns == awkward.columns and kept.count() == 7 and set(rows_of(kept)) <= set(rows_of(awkward))
     assert exact_dedup.dedup(awkward.limit(0)).count() == 0
 
 
@@ -521,5 +606,29 @@ def test_components(spark):
 
 
 def test_order_of_rows(awkward):
-    rows = with_order(awkward, keep=True).collect()
-    assert sorted(r.ord for r in rows) == list(range(len(AWKWARD))) and min(rows, key=lambda r: r.ord).doc_id is None
+    rows = with_order(awkward, "number", keep=True)
+    assert rows_of(rows.drop("number")) == rows_of(awkward)
+    rows = rows.collect()
+    assert sorted(r.number for r in rows) == list(range(len(AWKWARD))) and min(rows, key=lambda r: r.number).doc_id is None
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.number)] == sorted((r[0] for r in AWKWARD), key=lambda i: -1 if i is None else i)
+
+
+def test_scratch_removes_what_was_stored(spark, tmp_path):
+    import os
+
+    from sparkqa.llm.shared import new_folder, scratch, stored
+
+    kept = stored(spark.range(3), "kept")
+    with scratch(spark):
+        path = new_folder(spark, "gone")
+        spark.range(3).write.parquet(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Of
+
+    from sparkqa.llm.shared import shared_folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Of(conf=Of(get=lambda *_: None), sparkContext=Of(master="spark://host:7077")))
