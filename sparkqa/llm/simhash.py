@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 
 from sparkqa.llm import golay
 from sparkqa.llm.shared import components, documents, free, quoted, stored, with_order
-from sparkqa.llm.textwork import shingle_hashes, small_batches, word_hashes
+from sparkqa.llm.textwork import mixed, shingle_hashes, small_batches, word_hashes
 
 SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 GAPS, BLOCK, SAMPLE_ROWS, COMMON = 7, 1_000, 10_000, 200_000
+#: Bits of the sketches that candidates are compared by before their sets are, the differing bits that are too many, and the
+#: shingles from which on that is asked. Sets of resemblance 0.8 differ in 38 bits of 256 (standard deviation 6), so 80 is
+#: seven deviations off: a pair is lost with a chance below 1e-11.
+WORDS, FAR, FAR_FROM = 4, 80, 64
 
 
 def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
@@ -324,6 +328,16 @@ def _across(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.D
     yield from told(held)
 
 
+def not_far(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``ord`` that are not too far apart by the bits of their sketches (ord, size, bits) to be similar."""
+    if similarity < SIMILARITY:
+        return pairs
+    of = sketches.select("ord", "size", "bits")
+    both = pairs.join(of.toDF("a", "size_a", "bits_a"), "a").join(of.toDF("b", "size_b", "bits_b"), "b")
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where((F.least("size_a", "size_b") < FAR_FROM) | (differing <= FAR)).select("a", "b")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float, n: int) -> DataFrame:
     """The pairs (a, b) of ``ord`` whose whole shingle sets have the resemblance; sets are made of these rows alone."""
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,6 +349,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float, n: int) -> Da
             sets = ([np.frombuffer(x, "<u8") for x in batch[c]] for c in ("shingles_a", "shingles_b"))
             yield batch.loc[np.array([resemblance(x, y) >= similarity for x, y in zip(*sets, strict=True)], dtype=bool), ["a", "b"]]
 
+    pairs = stored(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
     sets = stored(rows.select("ord", "text").join(ids, "ord", "left_semi").mapInPandas(told, "id long, shingles binary"), "shingles")
     both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
@@ -348,7 +363,8 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
     chains of such pairs connect. Candidates are the links of SimHash fingerprints under Golay keys, and those of a prefix
     filter, which is exact: with the shingles of all sets in one order, two sets of that resemblance share one of the first
     (1 - similarity) of each, at places that leave room for enough common ones. Shingles known as frequent come last in
-    the order. All candidates are verified on their whole sets, and only verified links connect rows.
+    the order. Candidates whose SimHash sketches are too far apart go (see ``FAR``); all others are verified on their whole
+    sets, and only verified links connect rows.
 
     In prefix keys of more than ``gaps`` + 1 rows only neighbours are compared at first; then all their pairs that verified
     links have not put into one component, block by block.
@@ -361,10 +377,9 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes = [shingle_hashes(word_hashes((t or "").encode("utf-8", "surrogatepass")), n) for t in batch["text"]]
-            sets = [np.unique(h) for h in hashes]
-            bits = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"ord": batch["ord"], "f": bits, "size": [len(s) for s in sets], "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]})
+            sets = [shingle_set(t, n) for t in batch["text"]]
+            bits = [np.array([majority(mixed(s + np.uint64(i)) if i else s) for i in range(WORDS)], dtype=np.uint64).view(np.int64) for s in sets]
+            yield pd.DataFrame({"ord": batch["ord"], "f": [b[0] for b in bits], "size": [len(s) for s in sets], "bits": bits, "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]})
 
     def golay_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -372,7 +387,7 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
             row, key = keys(f)
             yield pd.DataFrame({"key": key, "id": f[row], "f": f[row]})
 
-    sketches = stored(rows.select("ord", "text").mapInPandas(told, "ord long, f long, size int, keys array<long>"), "sketches").where("size > 0")
+    sketches = stored(rows.select("ord", "text").mapInPandas(told, "ord long, f long, size int, bits array<long>, keys array<long>"), "sketches").where("size > 0")
     firsts = stored(sketches.groupBy("f").agg(F.min("ord").alias("low")), "firsts")
     near = links(firsts.select("f").mapInPandas(golay_keyed, "key long, id long, f long"), ["f"], RADIUS)
     near = near.join(firsts.toDF("a", "low_a"), "a").join(firsts.toDF("b", "low_b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
@@ -382,7 +397,7 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
     ordered = keyed.repartition("key").sortWithinPartitions("key", "size", "id")
     out = stored(ordered.mapInPandas(lambda b: _met(b, similarity, gaps), "kind int, key long, id long, other long, size int, at int"), "met")
     pairs = stored(out.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(near).unionByName(equal).distinct(), "pairs")
-    found = verified(pairs, rows, similarity, n)
+    found = verified(not_far(pairs, sketches, similarity), rows, similarity, n)
     reached = components(found)
     many = out.where("kind = 1").select("key", "id", "size", "at").distinct()
     if many.isEmpty():
@@ -399,7 +414,7 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return reached
-    return components(found.unionByName(verified(more, rows, similarity, n)))
+    return components(found.unionByName(verified(not_far(more, sketches, similarity), rows, similarity, n)))
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
