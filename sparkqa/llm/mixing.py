@@ -35,19 +35,19 @@ Targets = dict[str, dict[str, float | tuple[float, float]]]
 TARGETS: Targets = {
     "source": {"src0": 0.25, OTHER: 0.75},
     "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.12, OTHER: 0.02},
-    "topic": {"prose": 0.87, "table": 0.06, "legal": 0.04, "figures": 0.03},
+    "topic": {"prose": 0.87, "table": 0.06, "legal": 0.04, "contact": 0.03},
 }
 #: What marks a topic, and how often in a thousand characters at least.
-TOPICS = {"table": (r" \| ", 5.0), "legal": (r"[Ll]icen[cs]ed? under|[Cc]opyright|[Pp]ublic [Ll]icense", 0.2), "figures": (r"[0-9]+", 2.0)}
+TOPICS = {"table": ([" | "], 5.0), "legal": (["icensed under", "opyright", "ublic License"], 0.2), "contact": (["@"], 0.5)}
 PLAIN_TOPIC = "prose"
 
 
 def topic_of(text: Column) -> Column:
     """The topic whose marks the whole text has most often for what that topic needs (ties: the first); prose where it has
     none often enough."""
-    dense = lambda t: F.regexp_count(text, F.lit(TOPICS[t][0])) * F.lit(1000.0) / F.greatest(F.length(text), F.lit(1)) / F.lit(TOPICS[t][1])
-    marks = F.array(*[F.struct(dense(t).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("topic")) for i, t in enumerate(TOPICS)])
-    most = F.array_max(marks)
+    count = lambda mark: (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / F.lit(len(mark))
+    dense = lambda t: sum((count(m) for m in TOPICS[t][0]), F.lit(0.0)) * F.lit(1000.0) / F.greatest(F.length(text), F.lit(1)) / F.lit(TOPICS[t][1])
+    most = F.array_max(F.array(*[F.struct(dense(t).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("topic")) for i, t in enumerate(TOPICS)]))
     return F.when(most["n"] >= 1, most["topic"]).otherwise(PLAIN_TOPIC)
 
 
@@ -199,7 +199,8 @@ def _sql() -> str:
         return f"CASE WHEN {value} IN ({', '.join(repr(v) for v in targets[d] if v != OTHER)}) THEN {value} ELSE '{OTHER}' END AS {d}"
 
     targets = TARGETS
-    dense = ", ".join(f"len(regexp_extract_all(t, '{p}')) * 1000.0::DOUBLE / greatest(length(t), 1) / {n}::DOUBLE" for p, n in TOPICS.values())
+    counts = {t: " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0::DOUBLE" for m in marks) for t, (marks, _) in TOPICS.items()}
+    dense = ", ".join(f"(0.0::DOUBLE + {counts[t]}) * 1000.0::DOUBLE / greatest(length(t), 1) / {n}::DOUBLE" for t, (_, n) in TOPICS.items())
     topic = f"CASE WHEN list_max(m) >= 1 THEN ['{"', '".join(TOPICS)}'][list_position(m, list_max(m))] ELSE '{PLAIN_TOPIC}' END"
     parts = [
         "told AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)",
