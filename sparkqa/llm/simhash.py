@@ -30,7 +30,9 @@ from sparkqa.llm.textwork import mixed, shingle_hashes, small_batches, word_hash
 
 SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-GAPS, BLOCK, SAMPLE_ROWS, COMMON = 7, 1_000, 10_000, 200_000
+SAMPLE_ROWS, COMMON = 10_000, 200_000
+#: Shingles whose sets one task compares at once.
+BLOCK_SHINGLES = 2_000_000
 #: Bits of the sketches that candidates are compared by before their sets are, the differing bits that are too many, and the
 #: shingles from which on that is asked. Sets of resemblance 0.8 differ in 38 bits of 256 (standard deviation 6), so 80 is
 #: seven deviations off: a pair is lost with a chance below 1e-11.
@@ -246,140 +248,77 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
     return shingles[np.lexsort((shingles, count))[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1]]
 
 
-def _could(size_a, at_a, size_b, at_b, similarity: float):
-    """Whether sets can be similar whose first common shingle is the one at these places of their orders."""
-    return np.minimum(size_a - at_a, size_b - at_b) >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6
+def connected(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that connect what pairs of sets with the resemblance connect, by breadth-first search. One set is
+    compared with all others at once, exactly."""
+    sizes = np.array([len(s) for s in sets])
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mark = np.zeros(number.max() + 1, dtype=np.int32)
+    out, left = [], np.ones(len(sets), dtype=bool)
+    while left.any():
+        queue = [int(left.argmax())]
+        left[queue] = False
+        while queue and left.any():
+            i = queue.pop()
+            own = number[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[number], starts)
+            mark[own] = 0
+            near = left & (common >= similarity * (sizes[i] + sizes - common) - 1e-9)
+            found = np.flatnonzero(near).tolist()
+            out.extend((i, j) for j in found)
+            queue.extend(found)
+            left &= ~near
+    return out
 
 
-def _met(batches: Iterator[pd.DataFrame], similarity: float, gaps: int, most: int = 50_000) -> Iterator[pd.DataFrame]:
-    """Of rows in the order of their keys: pairs at most ``gaps`` rows apart in a key (kind 0: id, other), which are all
-    pairs of up to gaps + 1 rows, and the rows of larger keys (kind 1)."""
-    held, going = np.empty((0, 4), dtype=np.int64), None
+def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Links that connect the rows (id, shingles) of each family and pair of blocks, which come one after the other."""
+    key, ids, sets = None, [], []
 
-    def met(rows: np.ndarray) -> Iterator[pd.DataFrame]:
-        key, of, size, at = rows.T
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        n = np.diff(np.concatenate((first, [len(key)])))
-        large = np.repeat((n > gaps + 1) | (key[first] == going if going is not None else False), n)
-        a, b = [], []
-        for gap in range(1, min(gaps, len(key) - 1) + 1):
-            i = np.flatnonzero(key[gap:] == key[:-gap])
-            if not len(i):
-                break
-            i = i[(of[i] != of[i + gap]) & _could(size[i], at[i], size[i + gap], at[i + gap], similarity)]
-            a.append(of[i])
-            b.append(of[i + gap])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"kind": np.int32(0), "key": np.int64(0), "id": np.minimum(a, b), "other": np.maximum(a, b), "size": np.int32(0), "at": np.int32(0)})
-        if large.any():
-            yield pd.DataFrame({"kind": np.int32(1), "key": key[large], "id": of[large], "other": np.int64(0), "size": size[large].astype(np.int32), "at": at[large].astype(np.int32)})
-
-    for batch in batches:
-        held = np.concatenate((held, batch[["key", "id", "size", "at"]].to_numpy(dtype=np.int64)))
-        if not len(held):
-            continue
-        last = held[-1, 0]
-        ready = int(np.searchsorted(held[:, 0], last))
-        if ready:
-            yield from met(held[:ready])
-            held = held[ready:]
-        if len(held) > most:
-            going = last
-            yield from met(held)
-            held = held[-gaps:]
-    if len(held):
-        yield from met(held)
-
-
-def _across(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Of rows in the order of (key, x, y, block): pairs of rows that are in different components, of one block of a key
-    (x = y) or of one block with another."""
-    columns = ["key", "x", "y", "block", "id", "size", "at", "component"]
-    held = np.empty((0, len(columns)), dtype=np.int64)
-
-    def pairs(rows: np.ndarray) -> np.ndarray:
-        _, x, y, block, of, size, at, component = rows.T
-        cut = 0 if x[0] == y[0] else int(np.searchsorted(block, block[0], side="right"))
-        one, two = (slice(None), slice(None)) if x[0] == y[0] else (slice(None, cut), slice(cut, None))
-        apart = (component[one, None] != component[None, two]) & _could(size[one, None], at[one, None], size[None, two], at[None, two], similarity)
-        i, j = np.nonzero(np.triu(apart, 1) if x[0] == y[0] else apart)
-        return np.stack([of[one][i], of[two][j]], axis=1)
-
-    def told(rows: np.ndarray) -> Iterator[pd.DataFrame]:
-        if not len(rows):
-            return
-        starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(1)))).tolist()
-        found = []
-        for first, end in zip(starts, [*starts[1:], len(rows)], strict=True):
-            found.append(pairs(rows[first:end]))
-            if sum(map(len, found)) > 100_000 or end == len(rows):
-                every = np.concatenate(found)
-                yield pd.DataFrame({"a": every.min(1, initial=np.iinfo(np.int64).max), "b": every.max(1, initial=np.iinfo(np.int64).min)})
-                found = []
+    def links() -> pd.DataFrame:
+        pairs = connected(sets, similarity) if len(sets) > 1 else []
+        a, b = (np.array([ids[p[side]] for p in pairs], dtype=np.int64) for side in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     for batch in batches:
-        held = np.concatenate((held, batch[columns].to_numpy(dtype=np.int64)))
-        if len(held):
-            same = (held[:, :3] == held[-1, :3]).all(1)
-            last = len(held) - int(np.argmin(same[::-1])) if not same.all() else 0
-            yield from told(held[:last])
-            held = held[last:]
-    yield from told(held)
-
-
-def not_far(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``ord`` that are not too far apart by the bits of their sketches (ord, size, bits) to be similar."""
-    if similarity < SIMILARITY:
-        return pairs
-    of = sketches.select("ord", "size", "bits")
-    both = pairs.join(of.toDF("a", "size_a", "bits_a"), "a").join(of.toDF("b", "size_b", "bits_b"), "b")
-    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.where((F.least("size_a", "size_b") < FAR_FROM) | (differing <= FAR)).select("a", "b")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float, n: int) -> DataFrame:
-    """The pairs (a, b) of ``ord`` whose whole shingle sets have the resemblance; sets are made of these rows alone."""
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["ord"], "shingles": [shingle_set(t, n).tobytes() for t in batch["text"]]})
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = ([np.frombuffer(x, "<u8") for x in batch[c]] for c in ("shingles_a", "shingles_b"))
-            yield batch.loc[np.array([resemblance(x, y) >= similarity for x, y in zip(*sets, strict=True)], dtype=bool), ["a", "b"]]
+        for family, x, y, id_, shingles in zip(batch["family"], batch["x"], batch["y"], batch["id"], batch["shingles"], strict=True):
+            if (family, x, y) != key:
+                yield links()
+                key, ids, sets = (family, x, y), [], []
+            ids.append(id_)
+            sets.append(np.frombuffer(shingles, "<u8"))
+    yield links()
 
-    pairs = stored(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
-    sets = stored(rows.select("ord", "text").join(ids, "ord", "left_semi").mapInPandas(told, "id long, shingles binary"), "shingles")
-    both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
-    return stored(both.mapInPandas(alike, "a long, b long"), "alike")
 
-
-def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMILAR_SHINGLE, gaps: int = GAPS, block: int = BLOCK) -> DataFrame:
+def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMILAR_SHINGLE, key_rows: int = KEY_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(node, component) of the rows (ord, text) that have near duplicates: their ord and the smallest of their group.
 
     Near duplicates have a resemblance of ``similarity`` or more on the sets of shingles of ``n`` words; a group is what
-    chains of such pairs connect. Candidates are the links of SimHash fingerprints under Golay keys, and those of a prefix
-    filter, which is exact: with the shingles of all sets in one order, two sets of that resemblance share one of the first
-    (1 - similarity) of each, at places that leave room for enough common ones. Shingles known as frequent come last in
-    the order. Candidates whose SimHash sketches are too far apart go (see ``FAR``); all others are verified on their whole
-    sets, and only verified links connect rows.
+    chains of such pairs connect. Rows meet under the Golay keys of their SimHash fingerprints and under the keys of a
+    prefix filter, which is exact: with the shingles of all sets in one order, two sets of that resemblance share one of
+    the first (1 - similarity) of each. Shingles known as frequent come last in the order.
 
-    In prefix keys of more than ``gaps`` + 1 rows only neighbours are compared at first; then all their pairs that verified
-    links have not put into one component, block by block.
+    Rows that meet and whose SimHash sketches are not too far apart (see ``FAR``) are candidates. What candidates connect
+    are families; each key gives only the links that connect something, never all pairs, and as many families come out as
+    from all pairs. Within a family all whole sets are compared, in blocks of bounded size, each pair of blocks in a task
+    of its own, and only pairs with the resemblance connect rows: so no link is lost to one that was left out.
 
     Texts without words form no groups; long texts are taken whole.
     """
     spark = rows.sparkSession
     small_batches(spark)
     common = spark.sparkContext.broadcast(common_shingles(rows, n))
+    small = FAR_FROM / similarity if similarity >= SIMILARITY else np.inf  # below, a similar set may be too small for FAR
+    bits = [f"b{i}" for i in range(WORDS)]
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, n) for t in batch["text"]]
-            bits = [np.array([majority(mixed(s + np.uint64(i)) if i else s) for i in range(WORDS)], dtype=np.uint64).view(np.int64) for s in sets]
-            yield pd.DataFrame({"ord": batch["ord"], "f": [b[0] for b in bits], "size": [len(s) for s in sets], "bits": bits, "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]})
+            sketch = np.array([[majority(mixed(s + np.uint64(i)) if i else s) for i in range(WORDS)] for s in sets], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            frame = {"ord": batch["ord"], "size": [len(s) for s in sets], "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]}
+            yield pd.DataFrame(frame | dict(zip(bits, sketch.T, strict=True)))
 
     def golay_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -387,34 +326,37 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
             row, key = keys(f)
             yield pd.DataFrame({"key": key, "id": f[row], "f": f[row]})
 
-    sketches = stored(rows.select("ord", "text").mapInPandas(told, "ord long, f long, size int, bits array<long>, keys array<long>"), "sketches").where("size > 0")
-    firsts = stored(sketches.groupBy("f").agg(F.min("ord").alias("low")), "firsts")
-    near = links(firsts.select("f").mapInPandas(golay_keyed, "key long, id long, f long"), ["f"], RADIUS)
+    def prefix_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Small sets also meet under keys of their own, where no bits keep them apart."""
+        for batch in batches:
+            for rows_, salt in ((batch[batch["size"] >= FAR_FROM], 0), (batch[batch["size"] < small], 1)):
+                many = np.array([len(k) for k in rows_["keys"]], dtype=np.int64)
+                key = np.concatenate([np.empty(0, dtype=np.int64), *rows_["keys"]]).view(np.uint64)
+                frame = {"key": (mixed(key) if salt else key).view(np.int64), "id": np.repeat(rows_["ord"].to_numpy(), many)}
+                yield pd.DataFrame(frame | {b: np.repeat(np.zeros(len(rows_), dtype=np.int64) if salt else rows_[b].to_numpy(), many) for b in bits})
+
+    sketches = stored(rows.select("ord", "text").mapInPandas(told, f"ord long, size int, keys array<long>, {', '.join(f'{b} long' for b in bits)}"), "sketches").where("size > 0")
+    firsts = stored(sketches.groupBy(F.col("b0").alias("f")).agg(F.min("ord").alias("low")), "firsts")
+    near = links(firsts.select("f").mapInPandas(golay_keyed, "key long, id long, f long"), ["f"], RADIUS, key_rows)
     near = near.join(firsts.toDF("a", "low_a"), "a").join(firsts.toDF("b", "low_b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
-    equal = sketches.join(firsts, "f").where("ord <> low").select(F.col("low").alias("a"), F.col("ord").alias("b"))
-
-    keyed = sketches.select(F.posexplode("keys").alias("at", "key"), F.col("ord").alias("id"), "size")
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "size", "id")
-    out = stored(ordered.mapInPandas(lambda b: _met(b, similarity, gaps), "kind int, key long, id long, other long, size int, at int"), "met")
-    pairs = stored(out.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(near).unionByName(equal).distinct(), "pairs")
-    found = verified(not_far(pairs, sketches, similarity), rows, similarity, n)
-    reached = components(found)
-    many = out.where("kind = 1").select("key", "id", "size", "at").distinct()
-    if many.isEmpty():
-        return reached
-
-    # large keys: pairs that are still apart, each pair of blocks on its own
-    apart = stored(many.join(reached, many["id"] == reached["node"], "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component")), "apart")
-    blocks = apart.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
-    parts = apart.join(blocks.where("low <> high").select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = parts.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "size", "at", "component")
-    parts = parts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "id")
-    more = parts.mapInPandas(lambda b: _across(b, similarity), "a long, b long").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.isEmpty():
-        return reached
-    return components(found.unionByName(verified(not_far(more, sketches, similarity), rows, similarity, n)))
+    equal = sketches.join(firsts, sketches["b0"] == firsts["f"]).where("ord <> low").select(F.col("low").alias("a"), F.col("ord").alias("b"))
+    met = links(sketches.mapInPandas(prefix_keyed, f"key long, id long, {', '.join(f'{b} long' for b in bits)}"), bits, FAR, key_rows)
+    families = components(met.unionByName(near).unionByName(equal))
+
+    # each family's sets in blocks, each pair of blocks together
+    members = stored(families.toDF("ord", "family").join(sketches.select("ord", "size"), "ord"), "members")
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
+    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int")).drop("size")
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["family", "blocks", "block"]].assign(id=batch["ord"], shingles=[shingle_set(t, n).tobytes() for t in batch["text"]])
+
+    sets = rows.select("ord", "text").join(members, "ord").mapInPandas(sets_of, "family long, blocks int, block int, id long, shingles binary")
+    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
+    paired = paired.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "shingles")
+    ordered = paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    return components(stored(ordered.mapInPandas(lambda b: _verified(b, similarity), "a long, b long"), "alike"))
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
@@ -428,12 +370,6 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
     return rows.join(reached, F.col(ord_) == F.col(node), "left").select(*quoted(docs.columns), F.coalesce(component, ord_).alias("group_id"))
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sorted sets."""
-    both = len(np.intersect1d(a, b, True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The first row (by doc_id) of each group of near duplicates, with the columns of ``docs``, whatever they are called.
     Only the numbers of the rows that go meet the texts again, in one join."""

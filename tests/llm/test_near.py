@@ -57,7 +57,7 @@ def test_large_keys_against_brute_force(spark):
             texts.append(words[rng.integers(8) :])
     expected = brute_force(texts)
     assert 6 < len(set(expected.values())) < 150
-    assert groups_of(spark, texts) == groups_of(spark, texts, gaps=1, block=7) == expected
+    assert groups_of(spark, texts) == groups_of(spark, texts, key_rows=5, block_shingles=2_000) == expected
 
 
 def test_kinds_of_edits(spark):
@@ -88,3 +88,29 @@ def test_close_to_the_limit(spark):
     assert sum(near) == 51
     got = groups_of(spark, texts)
     assert [got[2 * i] == got[2 * i + 1] for i in range(100)] == near
+
+
+def test_links_that_others_stand_between(spark):
+    """Permutations of the same words have equal word counts and no common shingle, and stand by the thousand between two
+    texts that differ in one swap: those two are found, and nothing else."""
+    rng = np.random.default_rng(5)
+    words = fresh(rng, 120)
+    for many in (4, 3000):
+        texts = [[words[i] for i in rng.permutation(120)] for _ in range(many)]
+        one = [words[i] for i in rng.permutation(120)]
+        two = one.copy()
+        two[60], two[61] = two[61], two[60]
+        assert resemblance(shingles(one), shingles(two)) >= 0.8
+        assert groups_of(spark, [*texts, one, two]) == {**{i: i for i in range(many + 1)}, many + 1: many}
+
+
+def test_short_texts(spark):
+    """Sets too small for sketches, against brute force."""
+    rng = np.random.default_rng(6)
+    vocabulary = fresh(rng, 6)
+    texts = [[vocabulary[i] for i in rng.integers(6, size=rng.integers(1, 9))] for _ in range(150)]
+    for size in (25, 70):
+        for _ in range(10):
+            base = fresh(rng, size)
+            texts += [base, base[:-2], base[1:-3], fresh(rng, 1) + base[1:]]
+    assert groups_of(spark, texts) == brute_force(texts)
