@@ -34,7 +34,7 @@ LENGTH, END_ID, VOCABULARY, PARTS, PIECES_A_PART = 2048, 1, "byte_bpe_50k.json",
 # ids of words are kept, and only words that are new go to the tokenizer's model. Other texts, and texts with an added token, are encoded whole.
 _PLAIN = [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028)]
 _OTHER = re.compile("[^\n\x20-\x7e\xa1-\u024f\u2010-\u2027]")
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 
 
 def _splitter() -> re.Pattern:

@@ -32,7 +32,9 @@ SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 SAMPLE_ROWS, COMMON = 10_000, 200_000
 #: Shingles whose sets one task compares at once.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
+#: Rows whose keys a task makes at once.
+KEYED_ROWS = 256
 #: Bits of the sketches that candidates are compared by before their sets are, the differing bits that are too many, and the
 #: shingles from which on that is asked. Sets of resemblance 0.8 differ in 38 bits of 256 (standard deviation 6), so 80 is
 #: seven deviations off: a pair is lost with a chance below 1e-11.
@@ -329,7 +331,8 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
     def prefix_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Small sets also meet under keys of their own, where no bits keep them apart."""
         for batch in batches:
-            for rows_, salt in ((batch[batch["size"] >= FAR_FROM], 0), (batch[batch["size"] < small], 1)):
+            parts = (batch.iloc[at : at + KEYED_ROWS] for at in range(0, len(batch), KEYED_ROWS))
+            for rows_, salt in ((part[part["size"] >= FAR_FROM] if large else part[part["size"] < small], 1 - large) for part in parts for large in (1, 0)):
                 many = np.array([len(k) for k in rows_["keys"]], dtype=np.int64)
                 key = np.concatenate([np.empty(0, dtype=np.int64), *rows_["keys"]]).view(np.uint64)
                 frame = {"key": (mixed(key) if salt else key).view(np.int64), "id": np.repeat(rows_["ord"].to_numpy(), many)}

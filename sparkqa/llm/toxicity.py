@@ -41,7 +41,7 @@ THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 #: Information (nats a text) that two voters must give of each other within the classes to count as correlated.
 MIN_TOLD = 0.02
 #: Words whose entries a task remembers.
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 _WORD, _CAPITAL = re.compile(r"[^\W\d_]+"), re.compile("[A-Z\xc0-\xde]")
 
