@@ -28,12 +28,19 @@ def similarity_of(distance: Column, metric: str = "l2") -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d * d / 2))
 
 
+def top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which scores are among the k largest of their row, and all that tie with the least of those."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, dtype=bool)
+    return scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, id, similarity, rank): the k chunks of highest dot product for each query. chunks: id, vector; queries:
     query_id, vector; unit vectors, null ones left out.
 
     Queries go to every task as one matrix, whose size is checked; more queries are searched in blocks. Each batch of
-    chunks keeps its k best per query, so at most k rows per query and batch are shuffled, never all pairs.
+    chunks keeps its k best per query (and their ties), so about k rows per query and batch are shuffled, never all pairs.
     """
     spark = chunks.sparkSession
     asked = queries.where("vector is not null")
@@ -52,8 +59,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
                 if not len(batch) or not len(ids):
                     continue
                 scores = matrix @ np.stack(batch["vector"].to_list()).astype(np.float64).T
-                order = np.lexsort((np.broadcast_to(batch["id"].to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": batch["id"].to_numpy()[order.ravel()], "similarity": np.take_along_axis(scores, order, 1).ravel()})
+                best = top(scores, k)
+                queries, chunk = np.nonzero(best)
+                yield pd.DataFrame({"query_id": ids[queries], "id": batch["id"].to_numpy()[chunk], "similarity": scores[best]})
 
         own = chunks.where("vector is not null").select("id", "vector").mapInPandas(search, schema)
         found = own if found is None else found.unionByName(own)

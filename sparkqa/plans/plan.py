@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkqa.functions.scalar import clean_number, normalize_text, number_of, to_date, to_number
 
@@ -82,6 +84,39 @@ def _float(value: object) -> float | None:
         return None
 
 
+def _exact(value: object) -> Decimal | None:
+    """A finite number as it is written."""
+    try:
+        number = Decimal(str(value).replace(",", ""))
+    except InvalidOperation:
+        return None
+    return number if number.is_finite() else None
+
+
+def compared(column: Column, kind: str, op: str, value: object) -> Column | None:
+    """A numeric column against a number in the column's own type, so that the comparison is exact and reaches the scan; null
+    cells give null. None where the type cannot hold the number: then doubles are compared."""
+    number = _exact(value)
+    if number is None:
+        return None
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        floor = int(number.to_integral_value(ROUND_FLOOR))
+        if not -(1 << 63) <= floor < 1 << 63:
+            return None
+        if number != floor:  # between two whole numbers
+            never = F.when(column.isNotNull(), False)
+            return {"eq": never, "gt": column > floor, "gte": column > floor, "lt": column <= floor, "lte": column <= floor}[op]
+        v = F.lit(floor)
+    elif kind.startswith("decimal"):
+        digits, scale = (int(x) for x in kind[8:-1].split(","))
+        if number.normalize().as_tuple().exponent < -scale or abs(number) >= Decimal(10) ** (digits - scale):
+            return None
+        v = F.lit(number).cast(kind)
+    else:
+        return None
+    return {"eq": column == v, "gt": column > v, "gte": column >= v, "lt": column < v, "lte": column <= v}[op]
+
+
 def _is_number(kind: str) -> bool:
     return kind in ("double", "float", "tinyint", "smallint", "int", "bigint") or kind.startswith("decimal")
 
@@ -89,12 +124,19 @@ def _is_number(kind: str) -> bool:
 def predicate(df: DataFrame, f: Filter) -> Column:
     """A filter as a condition. Text compares normalised; ``ne`` lets nulls pass, all others refuse them; a number
     compares as a number where column and operand are both numeric."""
-    column = F.col(f"`{f.column}`")
+    column, kind = F.col(f"`{f.column}`"), dict(df.dtypes)[f.column]
     if f.op in ("gt", "gte", "lt", "lte"):
-        x, v = number_of(df, f.column), F.lit(_float(f.value))
+        own = compared(column, kind, f.op, f.value)
+        if own is not None:
+            return own
+        v = F.lit(_float(f.value))
+        if kind in ("double", "float"):  # NaN counts as greatest, and is no number here
+            return {"gt": (column > v) & ~F.isnan(column), "gte": (column >= v) & ~F.isnan(column), "lt": column < v, "lte": column <= v}[f.op]
+        x = number_of(df, f.column)
         return {"gt": x > v, "gte": x >= v, "lt": x < v, "lte": x <= v}[f.op]
-    if _is_number(dict(df.dtypes)[f.column]) and _float(f.value) is not None and f.op != "contains":
-        same = column == F.lit(_float(f.value))
+    if _is_number(kind) and _float(f.value) is not None and f.op != "contains":
+        own = compared(column, kind, "eq", f.value)
+        same = own if own is not None else column == F.lit(_float(f.value))
         return same if f.op == "eq" else ~F.coalesce(same, F.lit(False))
     text, wanted = normalize_text(column), normalize_text(F.lit(str(f.value)))
     if f.op == "contains":
@@ -139,6 +181,32 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((F.count(x) >= 2) & (F.stddev_samp(x) > 0) & (F.stddev_samp(y) > 0), F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)))
 
 
+def refusals(df: DataFrame, plans: dict[str, Plan], strict: bool = True) -> DataFrame:
+    """Per named plan over one table: plan, accepted, reason (empty when accepted) and rows, those that its filters leave
+    (null when refused). All accepted plans' rows are counted in one pass, and so are, when strict, all targets' numbers."""
+    known, numeric = df.columns, numeric_columns(df)
+    reasons, fits = {}, {}
+    for name, plan in plans.items():
+        try:
+            validate(plan, known, numeric)
+            fits[name] = plan
+        except PlanError as e:
+            reasons[name] = str(e)
+    passes = {n: reduce(Column.__and__, [F.coalesce(predicate(df, f), F.lit(False)) for f in p.filters], F.lit(True)) for n, p in fits.items()}
+    asked = {n: [t for t in (list(p.targets) or [p.target]) if t] if p.operation not in ("count", "distinct_count", "group_count") else [] for n, p in fits.items()}
+    counts = {f"rows_{i}": F.count_if(passes[n]) for i, n in enumerate(fits)}
+    for i, n in enumerate(fits):
+        counts |= {f"target_{i}_{j}": F.count_if(passes[n] & number_of(df, t).isNotNull()) for j, t in enumerate(asked[n])}
+    seen = df.agg(*[c.alias(k) for k, c in counts.items()]).first() if counts else None
+    rows = []
+    for name in plans:
+        i = list(fits).index(name) if name in fits else None
+        if i is not None and strict and any(seen[f"target_{i}_{j}"] == 0 for j in range(len(asked[name]))):
+            reasons[name], i = "a target has no numbers", None
+        rows.append((name, i is not None, reasons.get(name, ""), seen[f"rows_{i}"] if i is not None else None))
+    return df.sparkSession.createDataFrame(rows, "plan string, accepted boolean, reason string, rows long")
+
+
 def run_plan(df: DataFrame, plan: Plan, strict: bool = False) -> DataFrame:
     """The plan's result.
 
@@ -164,6 +232,8 @@ def run_plan(df: DataFrame, plan: Plan, strict: bool = False) -> DataFrame:
         return rows.agg(F.count("*").alias("value"))
     if op == "distinct_count":
         return rows.agg(F.count_distinct(F.col(f"`{plan.target}`")).alias("value"))
+    if op == "median":
+        return median(rows.select(x.alias("x")))
     if op in SCALAR:
         return rows.agg(clean_number(_aggregate(op)(x)).alias("value"))
     if op in GROUPED:
@@ -183,8 +253,26 @@ def run_plan(df: DataFrame, plan: Plan, strict: bool = False) -> DataFrame:
     return _trend(rows, plan, x)
 
 
+#: Ranks that Spark's percentile sketch tells apart: it is off by at most one in so many of the rows.
+SKETCHED = 10_000
+
+
+def median(numbers: DataFrame) -> DataFrame:
+    """The exact median of column ``x`` (nulls left out; the mean of the two middle ones) as ``value``. A sketch brackets the
+    middle; only the values in the bracket, about 4 in ``SKETCHED`` rows, are counted by value and put in order."""
+    there = numbers.where("x is not null")
+    marks = there.agg(F.percentile_approx("x", [0.5 - 2 / SKETCHED, 0.5 + 2 / SKETCHED], SKETCHED).alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    low, high = marks.select("low").scalar(), marks.select("high").scalar()
+    sizes = there.withColumn("low", low).agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("low")).alias("below"))
+    near = there.withColumns({"low": low, "high": high}).where("x between low and high").groupBy("x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = near.withColumns({"all": sizes.select("n").scalar(), "upto": upto + sizes.select("below").scalar()})
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
+    return ranked.agg(((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2).alias("value")).select(clean_number(F.col("value")).alias("value"))
+
+
 def _aggregate(op: str):
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "variance": F.var_samp}[op]
+    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "variance": F.var_samp}[op]
 
 
 def _ranked(rows: DataFrame, plan: Plan, x: Column) -> DataFrame:
@@ -228,4 +316,4 @@ def distinct_filters(filters: Sequence[Filter]) -> list[Filter]:
     return list(seen.values())
 
 
-__all__ = ["Filter", "Plan", "PlanError", "apply_filters", "answer_table", "filter_trace", "run_plan", "sample_sources", "select_tables", "to_number", "validate"]
+__all__ = ["Filter", "Plan", "PlanError", "apply_filters", "answer_table", "filter_trace", "median", "refusals", "run_plan", "sample_sources", "select_tables", "to_number", "validate"]

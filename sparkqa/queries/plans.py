@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkqa.functions import scalar as S
-from sparkqa.plans.plan import Filter, Plan, filter_trace, predicate, run_plan, sample_sources, select_tables
+from sparkqa.plans.plan import Filter, Plan, filter_trace, predicate, refusals, run_plan, sample_sources, select_tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -205,3 +205,39 @@ def d17_run_plan_strict(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "SQL", "flagship", "numbered", "planned", "predicate", "query", "table"]
+
+
+#: Plans over orders that must be refused, and some that must not: unknown columns and filters (c7), targets without a
+#: number (c8), rules of operations (c10).
+PLANS = {
+    "c7 unknown column": Plan("count", filters=(Filter("o_colour", "eq", "red"),)),
+    "c7 unknown filter": Plan("count", filters=(Filter("o_orderstatus", "like", "F"),)),
+    "c7 no number": Plan("count", filters=(Filter("o_totalprice", "gt", "many"),)),
+    "c7 fits": Plan("count", filters=(Filter("o_orderstatus", "eq", "f"), Filter("o_totalprice", "gte", "100,000"))),
+    "c8 no number in target": Plan("sum", target="o_orderpriority"),
+    "c8 none after filters": Plan("sum", target="o_totalprice", filters=(Filter("o_orderkey", "lt", 0),)),
+    "c8 fits": Plan("avg", target="o_totalprice", filters=(Filter("o_orderkey", "gt", 10.5),)),
+    "c10 unknown operation": Plan("mode", target="o_totalprice"),
+    "c10 no target": Plan("sum"),
+    "c10 one column for a correlation": Plan("correlation", targets=("o_totalprice",)),
+    "c10 no group": Plan("group_sum", target="o_totalprice"),
+    "c10 limit": Plan("top_n", target="o_totalprice", limit=1001),
+    "c10 no time": Plan("trend", target="o_totalprice"),
+    "c10 fits": Plan("group_sum", target="o_totalprice", group_by=("o_orderpriority",)),
+}
+_ROWS = {"c7 fits": "count(*) FILTER (lower(o_orderstatus) = 'f' AND o_totalprice >= 100000)", "c8 fits": "count(*) FILTER (o_orderkey > 10.5)", "c10 fits": "count(*)"}
+
+
+def _refused(part: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{p}' AS plan, {str(p in _ROWS).lower()} AS accepted, {_ROWS.get(p, 'CAST(NULL AS BIGINT)')} AS rows FROM orders" for p in PLANS if p.startswith(part + " ")).replace("CAST(NULL AS BIGINT) AS rows FROM orders", "CAST(NULL AS BIGINT) AS rows")
+
+
+def _told(part: str):
+    def run(spark, sf_dir):
+        return refusals(table(spark, sf_dir, "orders"), {n: p for n, p in PLANS.items() if n.startswith(part + " ")}).select("plan", "accepted", "rows")
+
+    return run
+
+
+for _name, _part in (("c7_refused_filters", "c7"), ("c8_refused_targets", "c8"), ("c10_refused_plans", "c10")):
+    query(_name, _refused(_part))(_told(_part))

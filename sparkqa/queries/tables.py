@@ -8,6 +8,7 @@ from sparkqa.functions import scalar as S
 from sparkqa.operators import linking
 from sparkqa.queries.plans import NORM, table
 from sparkqa.sources import catalog as C
+from sparkqa.sources.store import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,15 +25,8 @@ def query(name: str, sql: str | None = None):
 
 
 def shared(spark, what: str) -> str:
-    """A new path in the cluster's shared folder (a temporary one where none is set, as in tests)."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparkqa.local.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-sparkqa-")
-        spark.conf.set("sparkqa.local.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in the cluster's shared folder."""
+    return new_path(spark, what)
 
 
 @query("a1_csv_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")

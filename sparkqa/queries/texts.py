@@ -109,11 +109,14 @@ def h1_split_documents(spark, sf_dir):
     return corpus.split_documents(table(spark, sf_dir, "documents"), "doc_id", keep=["source"])
 
 
-@query("h2_corpus_chunks", "SELECT count(*) AS n FROM part")
+@query("h2_corpus_chunks", """SELECT 'row' AS kind, count(*) AS documents, true AS whole FROM part
+UNION ALL SELECT 'document', count(*), bool_and(true) FROM documents WHERE trim(text) <> ''""")
 def h2_corpus_chunks(spark, sf_dir):
-    rows = corpus.row_text(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), "text")
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text")
-    return corpus.corpus_chunks(rows, docs).where("doc_id < 10000000").agg(F.count("*").alias("n"))
+    """Documents of either kind that have chunks, and whether these are numbered from 0 without gaps; rows have one each."""
+    each = h2_corpus_chunks_all(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("chunk_no").alias("last"), F.count_distinct("chunk_no").alias("distinct"))
+    kind = F.when(F.col("doc_id") % 2 == 0, "row").otherwise("document")
+    whole = (F.col("n") == F.col("distinct")) & (F.col("last") == F.col("n") - 1) & ((kind == "document") | (F.col("n") == 1))
+    return each.groupBy(kind.alias("kind")).agg(F.count("*").alias("documents"), F.bool_and(whole).alias("whole"))
 
 
 @query("h2_corpus_chunks_all")

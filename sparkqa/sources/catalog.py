@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sparkqa.functions.scalar import document_id, table_id, to_date, to_number
 from sparkqa.plans.plan import INTERNAL
+from sparkqa.sources.store import numbered
 
 # Reading and storing
 
@@ -39,15 +40,10 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 def with_lineage(df: DataFrame, source: str, sheet: str | None = None, order: str | None = None) -> DataFrame:
     """Adds source, ids, sheet (when there is one) and a 1-based row number; an existing row number is kept.
 
-    order: a column that gives the rows' order; rows are then numbered in ranges of it: counts per range, then numbers
-    within, so no task sorts the whole table. Without it, the order of the file is used (zipWithIndex, which adds up
-    partition sizes)."""
+    order: a column that gives the rows' order; without it, the order of the file is used. Numbers come from the sizes of
+    Spark's own ranges (see ``store.numbered``), so no task sorts the whole table."""
     if "__row_number" not in df.columns:
-        if order:
-            df = _numbered(df, order)
-        else:
-            schema = f"{', '.join(f'`{c}` {k}' for c, k in df.dtypes)}, `__row_number` bigint"
-            df = df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+        df = numbered(df, "__row_number", F.col(order) if order else None)
     document = document_id(F.lit(source))
     cells = {"__source_file": F.lit(source), "__document_id": document, "__table_id": table_id(document, F.lit(sheet))}
     if sheet:
@@ -55,17 +51,6 @@ def with_lineage(df: DataFrame, source: str, sheet: str | None = None, order: st
     return df.withColumns(cells)
 
 
-def _numbered(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    marks = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    part = reduce(lambda c, m: c + F.when(F.col(order) >= F.lit(m), 1).otherwise(0), sorted(set(marks)), F.lit(0))
-    parts = df.withColumn("_part", part)
-    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    numbered = parts.withColumn("_within", within).join(F.broadcast(counts), "_part")  # at most ``ranges`` rows
-    return numbered.withColumn("__row_number", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
-
-
 def split_sheets(cells: DataFrame, document: str = "document", sheet: str = "sheet") -> DataFrame:
     """Rows of many sheets with their table ids; sheets without rows do not appear, and none is mixed with another."""
     return cells.withColumn("__document_id", document_id(F.col(document))).withColumn("__table_id", table_id(F.col("__document_id"), F.col(sheet)))
@@ -255,6 +240,7 @@ def sample_values(df: DataFrame, row: str, cap: int = 50, columns: Sequence[str]
     firsts = long_form(df, columns, row).where(value.isNotNull() & (value != "") & (F.lower(value) != "nan")).groupBy("column", value.alias("value")).agg(F.min("row").alias("row"))
     ranked = firsts.withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("row", "value")))
     most = F.lit(cap)
+    ranked = ranked.where(F.col("n") <= (800 if catalog else cap))  # so each task cuts its own values before they are ranked
     if catalog:
         counts = firsts.groupBy("column").agg(F.count("*").alias("all"))
         ranked = ranked.join(F.broadcast(counts), "column")  # one row per column

@@ -125,3 +125,41 @@ def test_profile_edges(spark):
     assert got["flag"].semantic_type == "boolean" and got["bit"].semantic_type == "numeric"
     assert C.profile(df.limit(0)).count() == 0
     assert {r["column"]: r.samples for r in C.sample_values(df.selectExpr("*", "monotonically_increasing_id() AS r"), "r", 2, ["flag"]).collect()} == {"flag": ["yes", "No"]}
+
+
+def test_whole_numbers_compare_exactly_and_reach_the_scan(spark, tmp_path):
+    from decimal import Decimal
+
+    big = 2**53
+    rows = [(big, Decimal("1.10"), 1), (big + 1, Decimal("1.11"), 2), (None, None, None), (-3, Decimal("-0.50"), 3)]
+    path = str(tmp_path / "numbers")
+    spark.createDataFrame(rows, "k long, d decimal(10,2), i int").write.parquet(path)
+    df = spark.read.parquet(path)
+    found = lambda *f: sorted(r.i for r in apply_filters(df, [Filter(*f)]).collect() if r.i)
+    assert found("k", "eq", big + 1) == [2] and found("k", "gt", big) == [2] and found("k", "lte", str(big)) == [1, 3] and found("k", "ne", big) == [2, 3]
+    assert found("k", "gt", 2.5) == found("k", "gte", 2.5) == [1, 2] and found("k", "lt", -2.5) == [3] and found("k", "lt", -3.5) == [] and found("k", "eq", 2.5) == []
+    assert found("d", "eq", "1.1") == [1] and found("d", "gt", 1.1) == [2] and found("d", "lt", "1.105") == [1, 3] and found("d", "gt", 10**12) == []
+    for f in (Filter("k", "gt", big), Filter("d", "gte", "1.10"), Filter("i", "lt", 3)):
+        plan = apply_filters(df, [f])._jdf.queryExecution().executedPlan().toString()
+        assert {"gt": "GreaterThan", "gte": "GreaterThanOrEqual", "lt": "LessThan"}[f.op] + f"({f.column}," in plan
+
+
+def test_median_against_python(spark):
+    import random
+    import statistics
+
+    random.seed(3)
+    for values in ([], [None], [5.0], [1.0, 2.0], [random.choice([1.0, 2.0, random.random()]) for _ in range(30_001)], [random.gauss(0, 1) for _ in range(25_000)] + [None] * 10):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        there = [v for v in values if v is not None]
+        assert run_plan(df, Plan("median", target="x")).first().value == (pytest.approx(statistics.median(there)) if there else None)
+
+
+def test_numbered_rows(spark):
+    from sparkqa.sources.catalog import with_lineage
+
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", "id % 10 as v")
+    assert [r["__row_number"] for r in with_lineage(df, "a.csv").orderBy("id").collect()] == list(range(1, 5001))
+    got = with_lineage(df, "a.csv", order="v").orderBy("__row_number").collect()
+    assert [r["__row_number"] for r in got] == list(range(1, 5001)) and [r.v for r in got] == sorted(r.v for r in got)
+    assert with_lineage(df.limit(0), "a.csv").count() == 0

@@ -191,3 +191,26 @@ def test_clear_and_replace(spark):
     assert C.clear_report(store).count() == 3 and C.cleared(store).count() == 0
     new = C.replace_documents(store, spark.createDataFrame([("b", 9)], "__document_id string, v int"))
     assert sorted(map(tuple, new.collect())) == [("a", 1), ("b", 9), ("c", 3)]
+
+
+def test_links_against_brute_force(spark):
+    """Every phrase against every value: no link is lost, swapped and short tokens included."""
+    import itertools
+    import random
+
+    random.seed(4)
+    words = ["us", "uk", "ab", "cd", "kv", "11", "a", "b", "steel", "steal", "copper", "coper", "aluminium", "almunium", "zinc", "settlement", "cash"]
+    values = sorted({" ".join(random.sample(words, random.randint(1, 3))) for _ in range(60)})
+    phrases = sorted({" ".join(random.sample(words, random.randint(1, 3))) for _ in range(80)} | {"us uk", "uk us", "cd ab", "kv 11", "b a"})
+    dictionary = linking.value_dictionary(spark.createDataFrame([(v,) for v in [*values, "uk us", "ab cd", "11 kv", "a b"]], "v string"), ["v"])
+    known = {r.value for r in dictionary.collect()}
+    want = {}
+    for p in phrases:
+        scores = sorted(((fuzzy(p, v), v) for v in known), key=lambda x: (-x[0], x[1]))
+        (best, value), follower = scores[0], scores[1][0]
+        if best == 1.0 or best >= 0.88 or (best >= 0.82 and best - follower >= 0.08):
+            want[p] = value if p not in known else p
+    got = {r.phrase: r.value for r in linking.link_values(spark.createDataFrame([(p,) for p in phrases], "phrase string"), dictionary).collect()}
+    assert set(got) == set(want) and {"us uk", "cd ab", "kv 11", "b a"} <= set(got)
+    assert all(fuzzy(p, got[p]) == pytest.approx(fuzzy(p, want[p])) for p in want)
+    assert list(itertools.islice(sorted(got), 1))
