@@ -31,6 +31,9 @@ from sparkqa.llm.textwork import mixed, shingle_hashes, small_batches, word_hash
 SHINGLE, RADIUS, KEY_ROWS = 3, 3, 2_000
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 SAMPLE_ROWS, COMMON = 10_000, 200_000
+#: Rows of a block of a large key, and blocks such a key is cut into at least (as long as they have ``KEY_ROWS``): few blocks
+#: mean few copies of rows, and several keep a key from being one task's work.
+BLOCK_ROWS, BLOCKS = 20_000, 8
 #: Shingles whose sets one task compares at once.
 BLOCK_SHINGLES = 1_000_000
 #: Rows whose keys a task makes at once.
@@ -170,8 +173,8 @@ def links(keyed: DataFrame, words: list[str], radius: int, key_rows: int = KEY_R
     if many.isEmpty():
         return few.distinct()
 
-    # large keys: their rows in blocks, each pair of blocks in a task of its own
-    blocks = many.groupBy("key").agg(F.ceil(F.count("*") / key_rows).cast("int").alias("blocks"))
+    # large keys: their rows in blocks, each pair of blocks in a task of its own; a row goes out once a block
+    blocks = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.least(F.ceil(F.count("*") / key_rows), F.lit(BLOCKS))).cast("int").alias("blocks"))
     rows = keyed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", *words)
