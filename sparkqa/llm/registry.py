@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkqa.llm import chat_format, exact_dedup, fingerprint, line_dedup, mixing, packing, shards, simhash, suffix_dedup, toxicity, url_filter
+from sparkqa.llm import chat_format, exact_dedup, fingerprint, line_dedup, mixing, packing, periodic_runs, shards, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_shards": shards.op8_shards,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
