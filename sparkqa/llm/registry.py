@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkqa.llm import chat_format, exact_dedup, fingerprint, line_dedup, mixing, packing, periodic_runs, shards, simhash, suffix_dedup, toxicity, url_filter
+from sparkqa.llm import chat_format, exact_dedup, fingerprint, line_dedup, mixing, packing, periodic_runs, prefix_trie, shards, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": url_filter.SQL,
         "op7_chat_format": chat_format.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
         "op13_line_dedup": line_dedup.SQL,
     }
