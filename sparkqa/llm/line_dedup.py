@@ -105,8 +105,8 @@ def _filled(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame
 
 
 def _blocks(filters: Filters) -> Iterator[pd.DataFrame]:
-    for block in range(filters.bits // 8 // BLOCK):
-        part = slice(block * BLOCK, (block + 1) * BLOCK)
+    for block, start in enumerate(range(0, filters.bits // 8, BLOCK)):
+        part = slice(start, start + BLOCK)
         if filters.once[part].any():
             yield pd.DataFrame({"block": [block], "once": [zlib.compress(filters.once[part], 1)], "twice": [zlib.compress(filters.twice[part], 1)]})
 
@@ -120,7 +120,7 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if block != now:
                 if held is not None:
                     yield pd.DataFrame({"block": [now], "twice": [held.twice.tobytes()]})
-                held, now = Filters(8 * BLOCK), block
+                held, now = Filters(8 * len(read(once))), block
             held.merge(read(once), read(twice))
     if held is not None:
         yield pd.DataFrame({"block": [now], "twice": [held.twice.tobytes()]})
@@ -182,6 +182,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: i
     filled = spark.sparkContext.broadcast(twice_seen(docs, min_chars, max_bits).tobytes())
     suspects = stored(docs.select("ord", "text").mapInPandas(lambda b: _suspects(b, filled, min_chars), "ord long, key binary, lines array<int>"), "suspects")
     repeats = suspects.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
+    repeats = stored(repeats, "repeats")  # so that the join has a shuffle of its own, which Spark can split at a frequent key
     gone = suspects.join(repeats, "key").where(F.col("ord") != F.col("first")).select("ord", "lines")
     gone = gone.groupBy("ord").agg(F.flatten(F.collect_list("lines")).alias("gone"))
     cut = docs.join(gone, "ord", "left").select("doc_id", "text", "gone")
