@@ -122,13 +122,13 @@ def _peel(rows: DataFrame, low: int, told: list[DataFrame]) -> DataFrame | None:
     return left if down is None else left.unionByName(down)
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFrame]:
     """Lists of ids in a row with equal keys, in pieces. In: key, conv, in order."""
     key, first, ids, size = None, None, [], 0
     for batch in batches:
         out = []
         for k, conv in zip(batch["key"], batch["conv"].astype("Int64"), strict=True):
-            if ids and (k != key or size > PIECE_CHARS):
+            if ids and (k != key or size > chars):
                 out.append((key, first, ",".join(ids)))
                 ids, size = [], 0
             if not ids:
@@ -157,14 +157,15 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(key, digest.hexdigest())], columns=["key", "ends_sha256"])
 
 
-def ends(rows: DataFrame) -> DataFrame:
-    """Per key: the SHA-256 of its ids in order, joined by commas. rows: key, conv. No list is ever held whole."""
+def ends(rows: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """Per key: the SHA-256 of its ids in order, joined by commas. rows: key, conv. No list is ever held whole: it goes in
+    pieces of ``piece_chars``, in order through one digest."""
     ranged = rows.repartitionByRange("key", "conv").sortWithinPartitions("key", "conv")
-    pieces = ranged.mapInPandas(_pieces, "key binary, first long, ids string")
+    pieces = ranged.mapInPandas(lambda b: _pieces(b, piece_chars), "key binary, first long, ids string")
     return pieces.repartition("key").sortWithinPartitions("key", "first").select("key", "ids").mapInPandas(_hashed, "key binary, ends_sha256 string")
 
 
-def prefix_trie(sequences: DataFrame) -> DataFrame:
+def prefix_trie(sequences: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """One row per node: conv_id (smallest member), depth, parent_conv_id (the parent's; null for the root), n_convs,
     n_children, n_leaves (childless nodes of its subtree), saved_tokens (over its subtree, members but one times words of
     the last turn), ends_sha256 (of the ids of the conversations that end there, in order, joined by commas).
@@ -186,7 +187,7 @@ def prefix_trie(sequences: DataFrame) -> DataFrame:
     for part in told:
         nodes = nodes.unionByName(part)
     nodes = stored(nodes, "nodes")
-    ending = ends(paths.select(_key(_depth()).alias("key"), "conv"))
+    ending = ends(paths.select(_key(_depth()).alias("key"), "conv"), piece_chars)
     parents = nodes.where("kids > 0 and depth > 0").select(F.col("key").alias("parent"), F.col("conv").alias("parent_conv"))
     above = F.when(F.col("depth") == 1, F.lit(top.conv if top else None)).when(F.col("depth") > 1, F.col("parent_conv"))
     # nodes of depth 1, which may be most, have the root above them and do not look for it: their own key spreads them out
