@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkqa.functions import scalar as S
 from sparkqa.operators import conversation, linking, questions
+from sparkqa.operators.filters import resolve_filters
 from sparkqa.queries.plans import NORM, table
 from sparkqa.queries.tables import shared
 
@@ -95,6 +96,35 @@ def g5_ngrams(spark, sf_dir):
     return grams.groupBy("id").agg(F.count("*").alias("n"))
 
 
+#: Questions whose values stand beside a column word, after a preposition, or alone; none is known in the last.
+VALUE_FORMS = [
+    "Sum of total price of the {segment} market segment", "Count of rows where country is {nation} for {region}", "Average total price for the {region} region?",
+    "Total price in {nation} and with {priority}", "How many {segment} rows", "Sum of total price of xyzzy",
+]
+_FORM = f"o_orderkey % {len(VALUE_FORMS)}"
+
+
+@query("g5_resolved_filters", f"""
+WITH o AS (SELECT o_orderkey AS id, {_FORM} AS form, c_mktsegment, n_name, r_name, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT id, CASE form WHEN 0 THEN 'Market Segment=' || c_mktsegment || ' (bound)' WHEN 1 THEN 'Country=' || n_name || ' (bound), Region=' || r_name || ' (for)' WHEN 2 THEN 'Region=' || r_name || ' (bound)'
+ WHEN 3 THEN 'Country=' || n_name || ' (in), Order Priority=' || o_orderpriority || ' (mention)' WHEN 4 THEN 'Market Segment=' || c_mktsegment || ' (mention)' ELSE '' END AS filters,
+ CASE form WHEN 5 THEN 'xyzzy' ELSE '' END AS leftover FROM o""")
+def g5_resolved_filters(spark, sf_dir):
+    """Questions over orders, the filters that they name, and what nothing explains."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    customers = table(spark, sf_dir, "customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = table(spark, sf_dir, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", F.col("c_mktsegment").alias("Market Segment"), F.col("n_name").alias("Country"), F.col("r_name").alias("Region"), F.col("o_orderpriority").alias("Order Priority"), F.col("o_totalprice").alias("Total Price"))
+    text = F.element_at(F.array(*[F.lit(f) for f in VALUE_FORMS]), F.expr(_FORM).cast("int") + 1)
+    for slot, column in (("segment", "Market Segment"), ("nation", "Country"), ("region", "Region"), ("priority", "Order Priority")):
+        text = F.replace(text, F.lit(f"{{{slot}}}"), F.col(column))
+    dimensions = ["Market Segment", "Country", "Region", "Order Priority"]
+    columns = spark.createDataFrame([(c, c in dimensions) for c in [*dimensions, "Total Price"]], "column string, dimension boolean")
+    out = resolve_filters(rows.select(F.col("o_orderkey").alias("id"), text.alias("question")), linking.value_dictionary(rows, dimensions), columns)
+    told = F.transform(F.array_sort("filters"), lambda f: F.concat(f["column"], F.lit("="), f["value"], F.lit(" ("), f["form"], F.lit(")")))
+    return out.select("id", F.array_join(told, ", ").alias("filters"), F.array_join("leftover", " ").alias("leftover"))
+
+
 FOLLOWS = r"regexp_matches(lower(text), '^(and|what about|how about|also|same for)\b')"
 RESOLVED = f"""r AS (SELECT id, text, {METRIC} AS own, regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y, {GROW} OR {EXPLICIT} AS calculates, {FOLLOWS} AS follows FROM asked),
 s AS (SELECT *, CASE WHEN own <> '' THEN own ELSE 'profit' END AS metric, coalesce(y[1], '2000') AS a, coalesce(y[2], '2030') AS b FROM r)
