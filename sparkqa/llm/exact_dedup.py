@@ -4,7 +4,8 @@ A feed of (digest, stable identifier, content locator) rows runs through a Struc
 state is kept on disk (RocksDB, no watermark, so nothing expires): per digest the row that stays, i.e. the largest doc_id
 with its locator, and the number of rows. A new feed with the same checkpoint goes on from the same state. The locator is
 the file (as a hash of its path) and the row's number in it, which finds one row even where ids repeat. With a checkpoint
-the texts of each feed are kept beside the state, so that locators of earlier feeds still lead to their bytes.
+the texts of each feed are kept beside the state with their digests, so that locators of earlier feeds still lead to
+their bytes and no text is digested twice; marks, written last, tell which feeds are whole and which the state has taken.
 
 Hits, digests seen more than once, have their full bytes checked: their texts are compared per digest by a min and a
 max, which are combined before the shuffle, so a digest with a third of all rows sends one text a task. Texts without a
@@ -19,9 +20,10 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkqa.llm import bloom
-from sparkqa.llm.shared import ascii_lower, documents, free, new_folder, quoted, stored
+from sparkqa.llm.shared import ascii_lower, documents, free, mark, marked, new_folder, quoted, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MAX_HIT_BITS = 1 << 27
@@ -69,15 +71,15 @@ def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: C
     return spark.read.parquet(path)
 
 
-def _feeds(spark: SparkSession, texts: str) -> int:
-    """Feeds that a checkpoint has so far."""
-    try:
-        return (spark.read.parquet(texts).agg(F.max("feed")).first()[0] or 0) + 1
-    except AnalysisException:
-        return 0
+def _unfinished(spark: SparkSession, base: str) -> int:
+    """The first feed of a checkpoint that is not in its state yet."""
+    number = 0
+    while marked(spark, f"{base}/done/{number}"):
+        number += 1
+    return number
 
 
-def dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.unhex, checkpoint: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.unhex, checkpoint: str | None = None, files_per_trigger: int = 1000, feed: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text and any others): doc_id, keep_id, group_size, kept, text_sha256, _file, _row.
 
     Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
@@ -88,29 +90,45 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.unhex, checkpo
     checkpoint: a folder in the shared storage that holds state, feeds and texts from call to call. Rows of earlier calls
     then count in groups (keep_id may be one of them, no row is kept if so), and hits are compared with their bytes too;
     one call at a time may use a checkpoint. Without one, everything is forgotten after the call.
+
+    feed: the number of this call's rows, from 0, with a checkpoint. A call that failed, or whose result was lost, is made
+    again with the same number, and gives what it would have given: rows that were written as a whole are not written
+    again, a part of them is replaced, and the state takes each file once. Without a number it is the first feed that the
+    state has not taken whole, so a call that failed before that is simply made again. Only the newest feed may be made
+    again, with the same rows.
     """
     spark = docs.sparkSession
     base = checkpoint.rstrip("/") if checkpoint else new_folder(spark, "dedup")
     columns = docs.select(F.col("doc_id"), F.col("text"))
-    number, earlier = 0, None
+    number, sha, every = 0, F.sha2(normalised(F.col("text")), 256).alias("text_sha256"), None
     if checkpoint:
-        number = _feeds(spark, f"{base}/texts")
-        columns.withColumn("feed", F.lit(number)).write.mode("append").partitionBy("feed").parquet(f"{base}/texts")
-        every = spark.read.parquet(f"{base}/texts")
+        number = _unfinished(spark, base)
+        if feed is not None:
+            if feed not in (number, number - 1):
+                raise ValueError(f"feed {feed} comes out of turn: {number} is next")
+            number = feed
+        if not marked(spark, f"{base}/written/{number}"):
+            columns.select("*", sha).write.mode("overwrite").parquet(f"{base}/texts/feed={number}")
+        every = spark.read.schema(T.StructType([*columns.schema.fields, T.StructField("text_sha256", T.StringType()), T.StructField("feed", T.IntegerType())])).parquet(f"{base}/texts")
         rows = located(every.where(F.col("feed") == number)).drop("feed")
-        if number:
-            earlier = located(every.where(F.col("feed") < number)).drop("feed")
     else:
-        rows = located(columns)
-    told = rows.select("doc_id", "_file", "_row", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"), F.lit(number).alias("feed"))
-    told.write.mode("append").parquet(f"{base}/feed")
-    feed = spark.read.schema(told.schema).parquet(f"{base}/feed")
+        rows = located(columns.select("*", sha))
+    told = rows.select("doc_id", "_file", "_row", "text_sha256")
+    if not (checkpoint and marked(spark, f"{base}/written/{number}")):
+        told.write.mode("overwrite").parquet(f"{base}/feed/feed={number}")  # not seen by the state before it is whole
+    if checkpoint:
+        mark(spark, f"{base}/written/{number}")
+    told = told.withColumn("feed", F.lit(number))
+    own = spark.read.schema(told.schema).parquet(f"{base}/feed")
     state = run_state(spark, f"{base}/feed", told.schema, f"{base}/state", digest, files_per_trigger)
-    keyed = feed.where(F.col("feed") == number).withColumn("digest", digest(F.col("text_sha256")))
+    if checkpoint:
+        mark(spark, f"{base}/done/{number}")
+    keyed = own.where(F.col("feed") == number).withColumn("digest", digest(F.col("text_sha256")))
     out = keyed.join(state, "digest").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _is(F.col("keep")).alias("kept"), "text_sha256", "_file", "_row", "digest")
     hits = state.where("n > 1").select("digest")
     texts = _texts(rows, digest, True)
-    if earlier is not None:
+    if number:
+        earlier = located(every.where(F.col("feed") < number)).drop("feed")
         hits = stored(hits.join(keyed.select("digest").distinct(), "digest", "left_semi"), "hits")
         texts = texts.unionByName(_texts(earlier, digest, False))
     odd = differing(texts, hits)
@@ -127,10 +145,10 @@ def _is(keep: Column) -> Column:
 
 
 def _texts(rows: DataFrame, digest: Callable[[Column], Column], now: bool) -> DataFrame:
-    """digest, norm, at and now of rows; inline keeps a filter on the digest above its making, so that a text is digested
-    once and not once per probe."""
+    """digest, norm, at and now of rows with their SHA-256; inline keeps a filter on the digest above its making, so that a
+    text is digested once and not once per probe."""
     norm = normalised(F.col("text"))
-    return rows.select(F.inline(F.array(F.struct(digest(F.sha2(norm, 256)).alias("digest"), norm.alias("norm"), F.struct("doc_id", "_file", "_row").alias("at"), F.lit(now).alias("now")))))
+    return rows.select(F.inline(F.array(F.struct(digest(F.col("text_sha256")).alias("digest"), norm.alias("norm"), F.struct("doc_id", "_file", "_row").alias("at"), F.lit(now).alias("now")))))
 
 
 def differing(texts: DataFrame, hits: DataFrame) -> DataFrame:

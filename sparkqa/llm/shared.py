@@ -54,11 +54,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Leaves an empty file, which is there as a whole or not at all."""
+    store, place = _place(spark, path)
+    store.create(place, True).close()
+
+
+def marked(spark: SparkSession, path: str) -> bool:
+    store, place = _place(spark, path)
+    return store.exists(place)
+
+
 def remove(spark: SparkSession, path: str | None) -> None:
     """Deletes a folder of the shared storage, if there is one."""
     if path:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        store, place = _place(spark, path)
+        store.delete(place, True)
 
 
 def free(taken: Iterable[str], *names: str) -> list[str]:

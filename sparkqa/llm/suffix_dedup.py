@@ -3,7 +3,7 @@
 Every 100-byte string has an anchor: the place in it whose next 24 bytes have the smallest hash (leftmost of equals).
 Equal strings have their anchors at equal places, so it is enough to sort the suffixes that start at anchors, about one
 in 35 bytes: a sparse suffix array. A suffix row stands for a run, the consecutive strings that share its anchor, and
-holds the suffix's leading tokens, a hash of the run's bytes, and its place.
+holds the suffix's leading tokens, a digest of the run's bytes, and its place.
 
 1. Copies of whole texts are found by digest; each first text is stored once, bucketed by document.
 2. Suffix rows are dealt into ranges by splitters sampled from the rows. The place is the last part of the order, so a
@@ -16,9 +16,8 @@ holds the suffix's leading tokens, a hash of the run's bytes, and its place.
    without a cap.
 4. Ranges of repeated strings are merged per document and cut out.
 
-Runs with equal bytes in their first eight places count as equal when two hashes of 64 bits are equal too (of the next
-sixteen bytes, and of the whole run with its shape): two different runs are taken for one with a chance of about 2**-128 a
-pair. Everything else is settled on bytes, or on digests of 128 bits.
+Runs count as equal when their first eight bytes are, and their digests of 128 bits (XXH3 of the whole run and its shape).
+Everything else is settled on bytes, or on digests of 128 bits too.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ _values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 
 
 def suffix_rows(text: bytes, length: int = LENGTH) -> np.ndarray | None:
-    """(t0, t1, run, place) rows of a text: leading eight bytes, hash of the next sixteen, hash of the run, and the
+    """(t0, t1, run, run2, place) rows of a text: leading eight bytes, hash of the next sixteen, digest of the run, and the
     anchor's position with its distances from the run's first and last start."""
     b = np.frombuffer(text, dtype=np.uint8)
     n, w = len(b), length - TOKEN + 1
@@ -74,20 +74,22 @@ def suffix_rows(text: bytes, length: int = LENGTH) -> np.ndarray | None:
     for i in range(8):
         t0 = (t0 << np.uint64(8)) | b[a + i]
     t1 = mixed((sums[a + TOKEN] - sums[a + 8]) * q[a + 8])
-    run = (sums[last + length] - sums[first]) * q[first]
-    shape = ((a - first) << 8 | (a - last)).astype(np.uint64)
-    run = mixed(mixed(run) + shape)
     place = a << 16 | (a - first) << 8 | (a - last)
-    return np.stack([(t0 ^ np.uint64(1 << 63)).view(np.int64), t1.view(np.int64), run.view(np.int64), place])
+    shapes = (place & 0xFFFF).tolist()
+    digests = [xxhash.xxh3_128_digest(text[x : y + length], shape) for x, y, shape in zip(first.tolist(), last.tolist(), shapes, strict=True)]
+    run = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+    return np.stack([(t0 ^ np.uint64(1 << 63)).view(np.int64), t1.view(np.int64), run[:, 0], run[:, 1], place])
 
 
-KEYS = ["t0", "t1", "run", "ord", "place"]
+KEYS = ["t0", "t1", "run", "run2", "ord", "place"]
 
 
 def _comparable(keys: list[np.ndarray]) -> np.ndarray:
     """Rows as byte strings that compare like the keys."""
-    flipped = [(k.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for k in keys]
-    return np.ascontiguousarray(np.stack(flipped, axis=1)).view(f"S{8 * len(keys)}").ravel()
+    out = np.empty((len(keys[0]), len(keys)), dtype=">u8")  # stacked, they would turn to the machine's byte order
+    for i, k in enumerate(keys):
+        out[:, i] = k.view(np.uint64) ^ np.uint64(1 << 63)
+    return out.view(f"S{8 * len(keys)}").ravel()
 
 
 def _suffixes(batches: Iterator[pd.DataFrame], length: int, split=None) -> Iterator[pd.DataFrame]:
@@ -96,17 +98,17 @@ def _suffixes(batches: Iterator[pd.DataFrame], length: int, split=None) -> Itera
         found = [(o, r) for o, r in found if r is not None]
         for at in range(0, len(found), 64):
             part = found[at : at + 64]
-            t0, t1, run, place = np.concatenate([r for _, r in part], axis=1)
+            t0, t1, run, run2, place = np.concatenate([r for _, r in part], axis=1)
             ord_ = np.repeat(np.array([o for o, _ in part], dtype=np.int64), [r.shape[1] for _, r in part])
-            frame = {"t0": t0, "t1": t1, "run": run, "ord": ord_, "place": place}
+            frame = {"t0": t0, "t1": t1, "run": run, "run2": run2, "ord": ord_, "place": place}
             if split is not None:
-                frame["part"] = split([t0, t1, run, ord_, place])
+                frame["part"] = split([t0, t1, run, run2, ord_, place])
             yield pd.DataFrame(frame)
 
 
 def splitter(rows: np.ndarray):
     """Deals keys into ranges: the number of splitters (sorted rows of KEYS) at or below each."""
-    whole = _comparable(list(np.ascontiguousarray(rows.T))) if len(rows) else np.empty(0, dtype="S40")
+    whole = _comparable(list(np.ascontiguousarray(rows.T))) if len(rows) else np.empty(0, dtype=f"S{8 * len(KEYS)}")
     heads = rows[:, 0].copy() if len(rows) else np.empty(0, dtype=np.int64)
 
     def split(keys: list[np.ndarray]) -> np.ndarray:
@@ -140,7 +142,7 @@ def runs_of_ranges(batches: Iterator[pd.DataFrame], group_rows: int) -> Iterator
         nonlocal held, opening, large
         known = len(held)
         new_part, new_group = _changes(rows, slice(0, 1)), _changes(rows, slice(0, 3))
-        first = _changes(rows, slice(0, 4))
+        first = _changes(rows, slice(0, 5))
         starts = np.flatnonzero(new_group)
         group = np.cumsum(new_group) - 1
         opens = new_part[starts]
@@ -281,15 +283,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
     texts.schema  # resolved here, so the catalog's entry can go; the files stay
     spark.sql(f"DROP TABLE {name}")
 
-    row = "t0 long, t1 long, run long, ord long, place long"
+    row = "t0 long, t1 long, run long, run2 long, ord long, place long"
     ranges = min(MAX_RANGES, max(1, (total[0] or 0) // 30 // range_rows))
-    splitters = np.empty((0, 5), dtype=np.int64)
+    splitters = np.empty((0, len(KEYS)), dtype=np.int64)
     if ranges > 1:
         wanted = min(MAX_SAMPLE, SAMPLE_A_RANGE * ranges)
         every = max(1, total[1] // max(200, wanted // 16))
         some = texts.where(F.pmod(F.xxhash64("ord"), F.lit(every)) == 0).mapInPandas(lambda b: _suffixes(b, length), row)
         share = min(1.0, 1.5 * wanted * every * 35 / total[0])
-        drawn = some.where(F.pmod(F.xxhash64(*KEYS), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()[KEYS].to_numpy()
+        drawn = some.where(F.pmod(F.xxhash64(*KEYS), F.lit(1 << 62)) < F.lit(int(share * (1 << 62)))).toPandas()[KEYS].to_numpy()
         drawn = drawn[np.lexsort(drawn.T[::-1])]
         splitters = drawn[np.unique(np.linspace(0, len(drawn), ranges + 1)[1:-1].astype(int))] if len(drawn) else splitters
     split = splitter(splitters)
@@ -298,8 +300,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
     ordered = stored(sorted_.mapInPandas(lambda b: runs_of_ranges(b, group_rows), f"kind int, {row}, part int"), "ranges")
 
     # what a range starts with is a repeat if an earlier range ends with it
-    ends = ordered.where(F.col("kind") == CLOSING).groupBy("t0", "t1", "run").agg(F.min("part").alias("from"))
-    starts = ordered.where(F.col("kind") == OPENING).join(ends, ["t0", "t1", "run"], "left").withColumn("again", F.coalesce(F.col("from") < F.col("part"), F.lit(False)))
+    ends = ordered.where(F.col("kind") == CLOSING).groupBy("t0", "t1", "run", "run2").agg(F.min("part").alias("from"))
+    starts = ordered.where(F.col("kind") == OPENING).join(ends, ["t0", "t1", "run", "run2"], "left").withColumn("again", F.coalesce(F.col("from") < F.col("part"), F.lit(False)))
     starts = stored(starts.select("again", "t0", "t1", "ord", "place"), "starts")
     repeats = ordered.where(F.col("kind") == REPEAT).select("ord", "place").unionByName(starts.where("again").select("ord", "place"))
 

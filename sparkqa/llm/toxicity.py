@@ -288,6 +288,11 @@ def fit_classifier(found: pd.Series, votes: np.ndarray, targets: np.ndarray, ent
     return Classifier(entries, w)
 
 
+def drawn(share: float, *columns: str) -> Column:
+    """Whether a row is of the ``share`` drawn by a hash of its columns, however small that is."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 62)) < F.lit(int(share * (1 << 62)))
+
+
 def scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_fitted: int = MAX_FITTED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, _file, _row (see ``exact_dedup.located``), held_out, score (0 to 1) and predicted of each row of ``docs``.
 
@@ -301,7 +306,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rows = located(docs.select("doc_id", "text"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold_of(F.col("doc_id")) != HELD_OUT)
     share = min(1.0, max_labelled / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = known.where(drawn(share, "doc_id"))
     labelled = stored(rows.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     entries = lexicon(labelled)
     held_out = F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
@@ -316,8 +321,9 @@ def scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     model.oriented(bits_of(told["votes"].to_numpy()), told["toxic"].to_numpy(), told["count"].to_numpy())
 
     share = min(1.0, max_fitted / max(1, int(counted["count"].sum())))
-    drawn = learnt.where(F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = drawn.orderBy("doc_id", "_file", "_row").select("found", "votes").toPandas()
+    sample = learnt.where(drawn(share, "doc_id", "_row")).orderBy("doc_id", "_file", "_row").select("found", "votes").toPandas()
+    if not len(sample):
+        raise ValueError("no text was drawn to fit the classifier on; raise max_fitted")
     classifier = fit_classifier(sample["found"], sample["votes"].to_numpy(), model.posterior(bits_of(sample["votes"].to_numpy())), entries)
 
     @F.pandas_udf("double")

@@ -516,7 +516,7 @@ def test_runs_of_ranges_in_any_batches():
     import pandas as pd
 
     rng = np.random.default_rng(2)
-    rows = np.array(sorted({tuple(r) for r in np.column_stack([rng.integers(0, 4, 600), rng.integers(0, 6, 600), rng.integers(0, 2, 600), rng.integers(0, 5, 600), rng.integers(0, 300, 600), rng.integers(0, 9, 600)]).tolist()}))
+    rows = np.array(sorted({tuple(r) for r in np.column_stack([rng.integers(0, 4, 600), rng.integers(0, 6, 600), rng.integers(0, 2, 600), rng.integers(0, 5, 600), np.full(600, 7), rng.integers(0, 300, 600), rng.integers(0, 9, 600)]).tolist()}))
     frame = pd.DataFrame(rows, columns=suffix_dedup.COLUMNS)
 
     def plain(group_rows):
@@ -531,13 +531,13 @@ def test_runs_of_ranges_in_any_batches():
                     if kind is not None:
                         out.append((kind, *(int(r[k]) for k in suffix_dedup.KEYS), part))
             last = groups[-1].iloc[-1]
-            out.append((3, int(last["t0"]), int(last["t1"]), int(last["run"]), 0, 0, part))
+            out.append((3, int(last["t0"]), int(last["t1"]), int(last["run"]), 7, 0, 0, part))
         return sorted(out)
 
     for group_rows in (2, 3, 100):
         for size in (1, 7, 64, 1000):
             got = pd.concat(suffix_dedup.runs_of_ranges((frame[i : i + size] for i in range(0, len(frame), size)), group_rows))
-            assert sorted((*r[:4], *((0, 0) if r[0] == 3 else r[4:6]), r[6]) for r in got.itertuples(index=False, name=None)) == plain(group_rows), (group_rows, size)
+            assert sorted((*r[:5], *((0, 0) if r[0] == 3 else r[5:7]), r[7]) for r in got.itertuples(index=False, name=None)) == plain(group_rows), (group_rows, size)
 
 
 def test_repeats_of_a_hot_token(spark):
