@@ -8,6 +8,7 @@ from sparkqa.functions import scalar as S
 from sparkqa.operators import linking
 from sparkqa.queries.plans import NORM, table
 from sparkqa.sources import catalog as C
+from sparkqa.sources.directory import read_directory
 from sparkqa.sources.store import new_path
 
 QUERIES: dict = {}
@@ -49,6 +50,27 @@ def a3_sync_directory(spark, sf_dir):
     return C.sync_directory(spark, path, "n_name string, n_regionkey int").select("n_name", "n_regionkey")
 
 
+@query("a3_unlike_files", """
+SELECT 'customer' AS kind, c_custkey AS key, c_name AS name, c_nationkey AS nation FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT 'refused', c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'supplier', s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT 'part', p_partkey, p_name, NULL FROM part""")
+def a3_unlike_files(spark, sf_dir):
+    """Three kinds of files under one folder, with other columns in other orders; every fifth customer's line has a cell too
+    many, which refuses that line alone."""
+    path = shared(spark, "unlike")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 5 == 0, F.lit("more")))
+    table(spark, sf_dir, "customer").select(line.alias("key,name,nation")).write.option("header", True).option("sep", ";").csv(f"{path}/customer")
+    table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", "s_suppkey AS key", "s_name AS name").write.option("header", True).csv(f"{path}/supplier")
+    table(spark, sf_dir, "part").selectExpr("p_name AS name", "p_partkey AS key").write.option("header", True).csv(f"{path}/part")
+    found = read_directory(spark, path)
+    kinds = {"key": "customer", "nation": "supplier", "name": "part"}
+    nation = lambda t: (F.col("nation") if "nation" in t.columns else F.lit(None)).cast("long").alias("nation")
+    kept = [t.select(F.lit(kinds[t.columns[0]]).alias("kind"), F.col("key").cast("long").alias("key"), "name", nation(t)) for t in found.tables]
+    cells = F.split("line", ",")
+    kept.append(found.refused.select(F.lit("refused").alias("kind"), cells[0].cast("long").alias("key"), cells[1].alias("name"), cells[2].cast("long").alias("nation")))
+    return C.append_tables(kept)
+
+
 @query("a4_store_and_load", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def a4_store_and_load(spark, sf_dir):
     path = shared(spark, "store")
@@ -106,6 +128,15 @@ def b3_lineage(spark, sf_dir):
     return C.with_lineage(table(spark, sf_dir, "orders"), "orders.csv", order="o_orderkey").select("o_orderkey", "__row_number", "__table_id")
 
 
+@query("b3_file_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS __row_number FROM orders WHERE o_orderkey % 3 <> 0")
+def b3_file_order(spark, sf_dir):
+    """Orders in several files, each sorted and one after the other in the order of their names: numbers follow the files."""
+    path = shared(spark, "ordered")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").where("o_orderkey % 3 <> 0").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).csv(path)
+    rows = spark.read.option("header", True).schema("o_orderkey long, o_totalprice double").csv(path)
+    return C.with_lineage(rows, "orders.csv").select("o_orderkey", "__row_number")
+
+
 PROFILE_SQL = """
 SELECT '{c}' AS "column", count(*) AS row_count, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_count, round(min({n}), 4) AS min, round(max({n}), 4) AS max, round(avg({n}), 4) AS mean,
        '{semantic}' AS semantic_type, '{role}' AS role FROM {t}"""
