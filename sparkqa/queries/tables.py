@@ -9,6 +9,7 @@ from sparkqa.operators import linking
 from sparkqa.queries.plans import NORM, table
 from sparkqa.sources import catalog as C
 from sparkqa.sources.directory import read_directory
+from sparkqa.sources.documents import DocumentStore
 from sparkqa.sources.store import new_path
 
 QUERIES: dict = {}
@@ -100,6 +101,27 @@ def a6_clear_report(spark, sf_dir):
     return C.clear_report(table(spark, sf_dir, "lineitem").withColumn("__document_id", F.col("l_returnflag")))
 
 
+@query("a5_store_replace", """
+SELECT 'order ' || (l_orderkey % 7) AS doc, count(*) FILTER (l_orderkey % 7 >= 2 OR l_linenumber <= 2) AS n, sum(CASE WHEN l_orderkey % 7 >= 2 THEN l_quantity WHEN l_linenumber <= 2 THEN -1 ELSE 0 END) AS quantity FROM lineitem WHERE l_orderkey % 7 <> 6 GROUP BY 1""")
+def a5_store_replace(spark, sf_dir):
+    """Seven documents stored, two replaced by fewer rows and one deleted, on disk."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("order "), F.col("l_orderkey") % 7).alias("__document_id"), "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"))
+    store = DocumentStore(spark, shared(spark, "documents"))
+    store.put(rows)
+    store.put(rows.where("__document_id IN ('order 0', 'order 1') AND l_linenumber <= 2").withColumn("quantity", F.lit(-1.0)))
+    store.delete(["order 6"])
+    return store.read().groupBy(F.col("__document_id").alias("doc")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+
+@query("a6_store_clear", "SELECT l_returnflag AS doc, count(*) AS removed, 0 AS left FROM lineitem GROUP BY 1")
+def a6_store_clear(spark, sf_dir):
+    """A store cleared on disk: what was removed per document, and that nothing is left."""
+    store = DocumentStore(spark, shared(spark, "documents"))
+    store.put(table(spark, sf_dir, "lineitem").withColumn("__document_id", F.col("l_returnflag")))
+    removed = store.clear()
+    return removed.select(F.col("__document_id").alias("doc"), "removed", F.lit(0 if store.read() is None else 1).alias("left"))
+
+
 @query("a7_upload_gate", """
 WITH f AS (SELECT p_partkey, p_name || ['.csv', '.XLSX', '.exe', '.pdf'][1 + p_partkey % 4] AS name, CAST(p_retailprice * 8000 AS BIGINT) AS length FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 'extension' WHEN length > 10485760 THEN 'size' END AS reason, NOT (p_partkey % 4 = 2 OR length > 10485760) AS accepted FROM f""")
