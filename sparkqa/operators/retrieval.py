@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkqa.sources.store import new_path
+
 TOP_K, KEEP, CHUNK_SIMILARITY, ANSWER_SIMILARITY = 8, 5, 0.58, 0.62
-MAX_QUERY_BYTES = 64 << 20
+#: Bytes of queries that are sent to all tasks, of a block of chunks or queries, scores held at once; cells of the blocked search.
+MAX_QUERY_BYTES, BLOCK_BYTES, TILE, CELLS = 64 << 20, 8 << 20, 4 << 20, 256
 
 
 def normalised(vector: Column) -> Column:
@@ -28,47 +31,162 @@ def similarity_of(distance: Column, metric: str = "l2") -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d * d / 2))
 
 
-def top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Which scores are among the k largest of their row, and all that tie with the least of those."""
-    if scores.shape[1] <= k:
-        return np.ones(scores.shape, dtype=bool)
-    return scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest scores of each row, equal ones by the smaller id; all where there are no more than k.
+    Rows of the result are in no order."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    out = np.argpartition(scores, n - k, axis=1)[:, n - k :]
+    least = np.take_along_axis(scores, out, axis=1).min(axis=1)
+    for row in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > k):  # ties at the border
+        above, ties = np.flatnonzero(scores[row] > least[row]), np.flatnonzero(scores[row] == least[row])
+        out[row] = np.concatenate((above, ties[np.argsort(ids[ties], kind="stable")[: k - len(above)]]))
+    return out
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(query_id, id, similarity, rank): the k chunks of highest dot product for each query. chunks: id, vector; queries:
-    query_id, vector; unit vectors, null ones left out.
+def _scored(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, chunks: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """(query_id, id, similarity) of the k best chunks of each query, a tile of scores of bounded size at a time."""
+    step = max(1, TILE // max(1, len(ids)))
+    for at in range(0, len(query_ids), step):
+        scores = np.round(queries[at : at + step] @ chunks.T, 12)  # products of equal vectors may differ in the last bits
+        columns = best(scores, ids, k)
+        rows = np.repeat(np.arange(len(scores)), columns.shape[1])
+        yield pd.DataFrame({"query_id": query_ids[at : at + step][rows], "id": ids[columns.ravel()], "similarity": scores[rows, columns.ravel()]})
 
-    Queries go to every task as one matrix, whose size is checked; more queries are searched in blocks. Each batch of
-    chunks keeps its k best per query (and their ties), so about k rows per query and batch are shuffled, never all pairs.
-    """
-    spark = chunks.sparkSession
-    asked = queries.where("vector is not null")
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    blocks = max(1, -(-(size.n * (size.d or 0) * 8) // MAX_QUERY_BYTES))
-    kinds = dict(chunks.dtypes), dict(queries.dtypes)
-    schema = f"query_id {kinds[1]['query_id']}, id {kinds[0]['id']}, similarity double"
-    found = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vector").toPandas()
-        sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), np.stack(part["vector"].to_list()).astype(np.float64) if len(part) else np.empty((0, 0))))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                scores = matrix @ np.stack(batch["vector"].to_list()).astype(np.float64).T
-                best = top(scores, k)
-                queries, chunk = np.nonzero(best)
-                yield pd.DataFrame({"query_id": ids[queries], "id": batch["id"].to_numpy()[chunk], "similarity": scores[best]})
-
-        own = chunks.where("vector is not null").select("id", "vector").mapInPandas(search, schema)
-        found = own if found is None else found.unionByName(own)
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(np.float64)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """At most k rows a query and batch or block come in."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """(query_id, id, similarity, rank): the k chunks of highest dot product for each query, equal ones by id. chunks: id,
+    vector; queries: query_id, vector; null vectors are left out.
+
+    Queries of up to ``max_query_bytes`` (checked) go to every task as one matrix, and each batch of chunks keeps its k best
+    per query, so k rows per query and batch are shuffled. More queries meet the chunks in blocks (``nearest_blocks``)."""
+    spark = chunks.sparkSession
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if size.n * (size.d or 0) * 8 > max_query_bytes:
+        return nearest_blocks(chunks, queries, k)
+    part = asked.toPandas()
+    sent = spark.sparkContext.broadcast((part["query_id"].to_numpy(), _matrix(part["vector"]) if len(part) else np.empty((0, 0))))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, matrix = sent.value
+        for batch in batches:
+            if len(batch) and len(query_ids):
+                yield from _scored(query_ids, matrix, batch["id"].to_numpy(), _matrix(batch["vector"]), k)
+
+    return _ranked(chunks.where("vector is not null").select("id", "vector").mapInPandas(search, _hits(chunks, queries)), k)
+
+
+def _hits(chunks: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, id {dict(chunks.dtypes)['id']}, similarity double"
+
+
+def nearest_blocks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, cells: int = CELLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As ``nearest``, for any number of queries: exact, no query or chunk goes to the driver but the pivots.
+
+    Chunks lie in cells around pivots, a sample of at most ``cells`` of them; a cell knows the widest angle to its pivot and
+    its vectors' shortest and longest length, which bounds the product of a query with any of them. Each query first
+    searches one block of the cell with the highest bound, which gives it a k-th product; then it meets only the cells whose
+    bound is not below that. Cells and queries are cut into blocks of ``block_bytes``, however many equal vectors a cell
+    has, and each pair of blocks is one group of a join; the k best of each are merged."""
+    spark = chunks.sparkSession
+    own = chunks.where("vector is not null").select("id", "vector")
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    size = own.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    schema = _hits(chunks, queries)
+    if not size.n:
+        return _ranked(spark.createDataFrame([], schema), k)
+    every = max(1, size.n // (4 * cells))
+    sample = own.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(cells).toPandas()
+    if not len(sample):
+        sample = own.orderBy("id").limit(cells).toPandas()
+    pivots = _unit(np.unique(_matrix(sample["vector"]), axis=0))
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                v = _matrix(batch["vector"])
+                near = _unit(v) @ sent.value.T
+                cell = near.argmax(axis=1)
+                cosine = np.clip(near[np.arange(len(v)), cell], -1, 1)
+                yield batch.assign(cell=cell.astype(np.int32), angle=np.arccos(cosine), length=np.linalg.norm(v, axis=1))
+
+    id_kind = dict(chunks.dtypes)["id"]
+    told = spark.read.schema(f"id {id_kind}, vector array<double>, cell int, angle double, length double").parquet(
+        _stored(own.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(placed, f"id {id_kind}, vector array<double>, cell int, angle double, length double"), "cells"))
+    known = told.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.min("length").alias("low"), F.max("length").alias("high")).toPandas()  # a row a cell
+    width = 8 * max(1, size.d)
+    parts = np.maximum(1, -(-known["n"].to_numpy() * width // block_bytes)).astype(np.int64)
+    stats = spark.sparkContext.broadcast((known["cell"].to_numpy(), known["angle"].to_numpy(), known["low"].to_numpy(), known["high"].to_numpy(), parts))
+    query_parts = max(1, -(-asked.count() * width // block_bytes))
+    of_cell = spark.createDataFrame([(int(c), int(p)) for c, p in zip(known["cell"], parts)], "cell int, parts long")
+    blocks = told.join(F.broadcast(of_cell), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vector")  # one row a cell
+    asked = asked.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).alias("block"))
+
+    def wanted(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
+        """The blocks that each query is to meet: one of the best cell, or all that may hold something as good as ``floor``."""
+        cell, angle, low, high, n = stats.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = _matrix(batch["vector"])
+            apart = np.arccos(np.clip(_unit(v) @ sent.value[cell].T, -1, 1))
+            cosine = np.cos(np.maximum(0, apart - angle))
+            bound = np.linalg.norm(v, axis=1)[:, None] * np.where(cosine >= 0, cosine * high, cosine * low)
+            if first:
+                row, at = np.arange(len(v)), bound.argmax(axis=1)
+                part = np.zeros(len(v), np.int64)
+            else:
+                row, at = np.nonzero(bound >= batch["floor"].to_numpy()[:, None] - 1e-9 * (1 + np.abs(bound)))
+                row, at, part = np.repeat(row, n[at]), np.repeat(at, n[at]), np.concatenate([np.arange(x) for x in n[at]]) if len(at) else at
+            for i in range(0, len(row), 10_000):
+                some = row[i : i + 10_000]
+                yield pd.DataFrame({"cell": cell[at[i : i + 10_000]].astype(np.int32), "part": part[i : i + 10_000], "block": batch["block"].to_numpy()[some], "query_id": batch["query_id"].to_numpy()[some], "vector": batch["vector"].to_numpy()[some]})
+
+    kind = dict(queries.dtypes)["query_id"]
+    asks = f"cell int, part long, block long, query_id {kind}, vector array<double>"
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "similarity": np.empty(0)})
+        return pd.concat(_scored(left["query_id"].to_numpy(), _matrix(left["vector"]), right["id"].to_numpy(), _matrix(right["vector"]), k))
+
+    def met(asking: DataFrame, chunk_blocks: DataFrame) -> DataFrame:
+        keys = ["cell", "part", "block"]
+        sent_blocks = chunk_blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
+        return asking.groupBy(*keys).cogroup(sent_blocks.groupBy(*keys)).applyInPandas(search, schema)
+
+    some = met(asked.mapInPandas(lambda b: wanted(b, True), asks), blocks.where("part = 0"))
+    floors = some.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("floor")).where(F.col("n") >= k).drop("n")
+    floored = asked.join(floors, "query_id", "left").fillna({"floor": float("-inf")})
+    path = _stored(floored, "floors")
+    asking = spark.read.schema(floored.schema).parquet(path)
+    return _ranked(met(asking.mapInPandas(lambda b: wanted(b, False), asks), blocks), k)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _stored(df: DataFrame, what: str) -> str:
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return path
+
+
 def refined(hits: DataFrame, threshold: float = CHUNK_SIMILARITY, keep: int = KEEP) -> DataFrame:
     """Hits (query_id, content, similarity, rank) without repeated contents (the best stays), below the threshold, and
     beyond ``keep``; in this order, all in one shuffle by query. Hits are at most k rows per query."""

@@ -166,6 +166,13 @@ def h8_nearest(spark, sf_dir):
     return retrieval.nearest(vectors(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("h8_nearest_blocks", f"""SELECT query_id, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({SCORES.removesuffix(" WHERE q.vec_id % 50 = 0")}) QUALIFY rank <= 8""")
+def h8_nearest_blocks(spark, sf_dir):
+    """Every vector as a query against all, in blocks."""
+    every = vectors(spark, sf_dir)
+    return retrieval.nearest_blocks(every, every.withColumnRenamed("id", "query_id")).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 KEPT = "kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM (SELECT *, min(rank) OVER (PARTITION BY query_id, content) AS f FROM hits) WHERE f = rank AND s >= 0.2 QUALIFY n <= 5)"
 
 
