@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from sparkqa.functions import scalar as S
@@ -9,6 +11,7 @@ from sparkqa.operators import conversation, linking, questions
 from sparkqa.operators.filters import resolve_filters
 from sparkqa.queries.plans import NORM, table
 from sparkqa.queries.tables import shared
+from sparkqa.streaming.logs import run_to_end
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -192,3 +195,20 @@ def j5_clarify_stream(spark, sf_dir):
     result = conversation.clarify_stream(stream, idle=None)
     result.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
+
+
+#: Minutes after which a conversation of orders begins anew, and how far behind the newest order a turn may come.
+IDLE, LATE = timedelta(days=200), "30 days"
+
+
+@query("j5_clarify_events")
+def j5_clarify_events(spark, sf_dir):
+    """Turns at the time of their orders through a stream in several deliveries, which are not in the order of time within;
+    conversations begin anew after a long pause. Equal to the batch over the same turns (tested)."""
+    rows = asked(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts")), "id").select("conv_id", "turn", "text", "ts")
+    feed, out, checkpoint = (shared(spark, x) for x in ("feed", "clarified", "state"))
+    for first, last in ((1992, 1993), (1994, 1995), (1996, 2100)):
+        rows.where(F.year("ts").between(first, last)).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema("conv_id long, turn long, text string, ts timestamp").parquet(feed)
+        run_to_end(conversation.clarify_events(stream, late=LATE, idle=IDLE), out, checkpoint)
+    return spark.read.parquet(out)

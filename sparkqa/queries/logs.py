@@ -142,6 +142,28 @@ def j4_daily_stream(spark, sf_dir):
     return latest.select("day", "x.requests", "x.failed", F.round("x.mean_value", 4).alias("mean_value"))
 
 
+#: Which of four deliveries a row of the log comes with: its week of eight days, but every fiftieth row of the first week
+#: comes with the third delivery, far behind the watermark, and every fiftieth plus one of day 16 with the same, in time.
+DELIVERY = "CASE WHEN day(ts) <= 8 AND event_id % 50 = 0 OR day(ts) = 16 AND event_id % 50 = 1 THEN 2 ELSE (day(ts) - 1) // 8 END"
+
+
+@query("j4_closed_days", f"""WITH e AS (SELECT *, {DELIVERY} AS d, day(ts) <= 8 AND event_id % 50 = 0 AS late FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 4) AS mean_value, (SELECT CAST(sum(CASE WHEN event_id % 7 = 3 THEN 2 ELSE 1 END) AS BIGINT) FROM e WHERE late) AS dropped
+FROM e WHERE NOT late GROUP BY 1 HAVING CAST(strptime(day, '%Y-%m-%d') AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM e)""")
+def j4_closed_days(spark, sf_dir):
+    """Days through a stream in append mode, delivery after delivery: late rows are dropped and counted, days behind the
+    watermark are told once. Each delivery repeats every seventh row, which counts once (dropped rows count as delivered)."""
+    rows = table(spark, sf_dir, "events").withColumn("delivery", F.expr(DELIVERY.replace("//", "DIV")))
+    feed, out, checkpoint = (shared(spark, x) for x in ("feed", "closed", "state"))
+    schema = "event_id long, ts timestamp, value double, event_type string"
+    lost = 0
+    for n in range(4):
+        part = rows.where(F.col("delivery") == n).select("event_id", "ts", "value", "event_type")
+        part.unionByName(part.where("event_id % 7 = 3")).write.mode("append").json(feed)
+        lost += logs.run_to_end(logs.closed_days(logs.read_log(spark, feed, schema), "event_id", status="event_type", failed="error"), out, checkpoint)
+    return spark.read.parquet(out).select("day", "requests", "failed", F.round("mean_value", 4).alias("mean_value"), F.lit(lost).cast("long").alias("dropped"))
+
+
 @query("i3_numbers", "SELECT user_id, round(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END), 4) AS total, 0.0::DOUBLE AS missing FROM events GROUP BY 1")
 def i3_numbers(spark, sf_dir):
     """Bad values and missing columns count as 0."""
