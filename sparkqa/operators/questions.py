@@ -111,6 +111,44 @@ def operation_of(question: Column) -> Column:
     return F.when(some & picked.isNotNull(), F.when(picked == "correlation", picked).when(ranks, F.when(text.rlike(UPWARD), "top_n").otherwise("bottom_n")).when(groups, grouped).otherwise(picked))
 
 
+#: How sure a class is; phrases of time; words of a question about data. A class not named has 0.9.
+CONFIDENCE = {
+    "correlation": 0.98, "top_n": 0.96, "bottom_n": 0.96, "grouped": 0.96, "percentage": 0.97, "ratio": 0.97, "compare": 0.95, "trend": 0.96, "count": 0.97, "sum": 0.97,
+    "avg": 0.97, "min": 0.96, "max": 0.96, "distinct_count": 0.98, "median": 0.98, "std": 0.98, "variance": 0.98,
+}
+UNRESOLVED, SEMANTIC, DEFAULT_LIMIT = 0.55, 0.80, 5
+TEMPORAL = r"\b(?:over time|by month|monthly|by year|yearly|annually|by quarter|quarterly|by week|weekly|by day|daily|between|from|until|before|after)\b"
+DATA_WORDS = r"\b(?:what|which|show|list|give|data|report|values?|figures?)\b"
+
+
+def intent_of(question: Column) -> Column:
+    """A struct of how a question is to be answered: intent (``structured``, ``semantic``, ``unknown`` for an empty one),
+    operation, confidence, top (of ranking classes), grouped, ranked, temporal, and matches: every operation whose phrases
+    the question has, in declared order, with those phrases and the score that the operation alone would have.
+
+    The class is ``operation_of``'s, which settles conflicts between matches; its confidence follows from the class that
+    came out (ranking and grouping before the operation they stand with). Grouping words without an operation count as an
+    unresolved question about data, if any of its words says so."""
+    text = F.lower(F.regexp_replace(F.trim(F.coalesce(question, F.lit(""))), r"\s+", " "))
+    operation, ranks, groups, timed = operation_of(question), text.rlike(RANKING), text.rlike(GROUPING), text.rlike(TEMPORAL)
+    found = F.array(*[
+        F.struct(F.lit(op).alias("operation"), F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{words})\b"), F.lit(0))).alias("phrases"), F.lit(CONFIDENCE[op]).alias("score")) for op, words in OPERATIONS.items()
+    ])
+    ranked = operation.isin("top_n", "bottom_n")
+    grouped = operation.startswith("group_")
+    open_data = operation.isNull() & groups & text.rlike(DATA_WORDS)
+    scores = F.create_map(*[x for op, c in CONFIDENCE.items() for x in (F.lit(op), F.lit(c))])
+    confidence = (
+        F.when(text == "", 0.0).when(open_data, UNRESOLVED).when(operation.isNull(), SEMANTIC).when(grouped, CONFIDENCE["grouped"]).otherwise(F.coalesce(F.try_element_at(scores, operation), F.lit(0.9)))
+    )
+    plain = operation.isin("count", "sum", "avg", "min", "max", "distinct_count", "median", "std", "variance")
+    return F.struct(
+        F.when(text == "", "unknown").when(operation.isNotNull() | open_data, "structured").otherwise("semantic").alias("intent"), operation.alias("operation"), confidence.alias("confidence"),
+        F.when(ranked, F.coalesce(limit_of(question), F.lit(DEFAULT_LIMIT))).alias("top"), F.coalesce(grouped | open_data, F.lit(False)).alias("grouped"), F.coalesce(ranked & ranks, F.lit(False)).alias("ranked"),
+        F.coalesce((operation == "trend") | ((grouped | plain) & timed), F.lit(False)).alias("temporal"), F.filter(found, lambda m: F.size(m["phrases"]) > 0).alias("matches"),
+    )
+
+
 def limit_of(question: Column) -> Column:
     """The limit after top, bottom, first or last: 1 to 1000, or one to ten; null without one."""
     text = F.lower(F.coalesce(question, F.lit("")))

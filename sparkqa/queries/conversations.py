@@ -71,6 +71,58 @@ def e16_operations(spark, sf_dir):
     return asked(spark, sf_dir).select("id", questions.operation_of(F.col("text")).alias("operation"))
 
 
+#: Parts of generated questions; an order's numbers pick one of each.
+OPENERS = ["What is the", "Show the", "Tell me the", "", "Please give"]
+ASKS = [
+    "total", "average", "number of", "median", "highest", "lowest", "standard deviation of", "variance in", "correlation of", "percentage of", "ratio of", "unique", "how many unique", "trend in", "top 7", "bottom three", "comparison of",
+    "total and average", "most", "revenue", "mean divided by count of", "rank of",
+]
+TAILS = ["sales", "sales by region", "orders per customer", "profit over time", "margin from 2020", "sales monthly by city", "cost versus price", "milk", "sales across stores between May and June"]
+
+
+def generated(spark, sf_dir):
+    """(id, text): questions put together from parts."""
+    pick = lambda parts, n: F.element_at(F.array(*[F.lit(p) for p in parts]), (n % len(parts) + 1).cast("int"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(key.alias("id"), F.trim(F.concat_ws(" ", pick(OPENERS, cust + key), pick(ASKS, key), pick(TAILS, cust))).alias("text"))
+
+
+def _part(parts: list[str], n: str) -> str:
+    return f"[{', '.join(repr(p) for p in parts)}][1 + ({n}) % {len(parts)}]"
+
+
+def _asks(op: str) -> str:
+    return f"regexp_matches(t, '\\b(?:{questions.OPERATIONS[op]})\\b')"
+
+
+_PICKED = " ".join(
+    [f"WHEN {_asks(op)} THEN '{op}'" for op in ("correlation", "distinct_count", "percentage", "ratio", "compare", "trend")]
+    + [f"WHEN ranks AND regexp_matches(t, '{questions.UPWARD_MORE}') THEN 'top_n' WHEN ranks AND regexp_matches(t, '{questions.DOWNWARD}') THEN 'bottom_n'"]
+    + [f"WHEN {_asks(op)} THEN '{op}'" for op in ("median", "std", "variance", "count", "sum", "avg", "max", "min")]
+)
+_SURE = " ".join(f"WHEN '{op}' THEN {c}" for op, c in questions.CONFIDENCE.items())
+_MATCHED = " || ".join(f"CASE WHEN {_asks(op)} THEN '{op}:' || array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b(?:{words})\\b'))), '/') || ' ' ELSE '' END" for op, words in questions.OPERATIONS.items())
+
+
+@query("e16_intents", f"""
+WITH q AS (SELECT o_orderkey AS id, trim(array_to_string([{_part(OPENERS, "o_custkey + o_orderkey")}, {_part(ASKS, "o_orderkey")}, {_part(TAILS, "o_custkey")}], ' ')) AS text FROM orders),
+n AS (SELECT id, lower(text) AS t FROM q), f AS (SELECT *, regexp_matches(t, '{questions.RANKING}') AS ranks, regexp_matches(t, '{questions.GROUPING}') AS groups, regexp_matches(t, '{questions.TEMPORAL}') AS timed FROM n),
+p AS (SELECT *, CASE {_PICKED} END AS picked, {_MATCHED} AS matched FROM f),
+o AS (SELECT *, CASE WHEN picked IS NULL OR matched = '' THEN NULL WHEN picked = 'correlation' THEN picked WHEN ranks THEN CASE WHEN regexp_matches(t, '{questions.UPWARD}') THEN 'top_n' ELSE 'bottom_n' END
+  WHEN groups THEN CASE WHEN picked IN ('sum', 'avg', 'min', 'max') THEN 'group_' || picked ELSE 'group_count' END ELSE picked END AS operation FROM p),
+d AS (SELECT *, operation IS NULL AND groups AND regexp_matches(t, '{questions.DATA_WORDS}') AS open FROM o)
+SELECT id, CASE WHEN operation IS NOT NULL OR open THEN 'structured' ELSE 'semantic' END AS intent, operation,
+ CAST(CASE WHEN open THEN 0.55 WHEN operation IS NULL THEN 0.8 WHEN operation LIKE 'group%' THEN 0.96 ELSE CASE operation {_SURE} ELSE 0.9 END END AS DOUBLE) AS confidence,
+ CASE WHEN operation IN ('top_n', 'bottom_n') THEN CASE WHEN t LIKE '%top 7%' THEN 7 WHEN t LIKE '%bottom three%' THEN 3 ELSE 5 END END AS top,
+ coalesce(operation LIKE 'group%', open) AS grouped, coalesce(operation = 'trend' OR (operation LIKE 'group%' OR operation IN ('count', 'sum', 'avg', 'min', 'max', 'distinct_count', 'median', 'std', 'variance')) AND timed, false) AS temporal,
+ trim(matched) AS matched FROM d""")
+def e16_intents(spark, sf_dir):
+    """Class, confidence and all matched families of questions put together from parts."""
+    told = generated(spark, sf_dir).select("id", questions.intent_of(F.col("text")).alias("i"))
+    matched = F.array_join(F.transform("i.matches", lambda m: F.concat(m["operation"], F.lit(":"), F.array_join(F.array_sort(m["phrases"]), "/"))), " ")
+    return told.select("id", "i.intent", "i.operation", "i.confidence", "i.top", "i.grouped", "i.temporal", matched.alias("matched"))
+
+
 @query("e17_limits", f"WITH {ASKED} SELECT id, CASE id % {len(FORMS)} WHEN 3 THEN CAST(conv_id % 40 + 1 AS INTEGER) WHEN 4 THEN 5 END AS top FROM asked")
 def e17_limits(spark, sf_dir):
     return asked(spark, sf_dir).select("id", questions.limit_of(F.col("text")).alias("top"))
