@@ -253,22 +253,38 @@ def run_plan(df: DataFrame, plan: Plan, strict: bool = False) -> DataFrame:
     return _trend(rows, plan, x)
 
 
-#: Ranks that Spark's percentile sketch tells apart: it is off by at most one in so many of the rows.
-SKETCHED = 10_000
+#: Ranks that Spark's percentile sketch tells apart: it is off by at most one in so many of the rows. Values that are put in
+#: order at last, at most (unless no bracket can part them).
+SKETCHED, MAX_ORDERED = 10_000, 100_000
 
 
-def median(numbers: DataFrame) -> DataFrame:
-    """The exact median of column ``x`` (nulls left out; the mean of the two middle ones) as ``value``. A sketch brackets the
-    middle; only the values in the bracket, about 4 in ``SKETCHED`` rows, are counted by value and put in order."""
+def median(numbers: DataFrame, sketched: int = SKETCHED, most: int = MAX_ORDERED) -> DataFrame:
+    """The exact median of column ``x`` (nulls left out; the mean of the two middle ones) as ``value``.
+
+    A sketch brackets the middle, to about 4 in ``sketched`` rows, and the bracket is sketched again until it holds at most
+    ``most`` different values: two passes over the numbers a round, and one round does for a billion rows. Only these values
+    are counted one by one and put in order, so what one task sorts does not grow with the data."""
     there = numbers.where("x is not null")
-    marks = there.agg(F.percentile_approx("x", [0.5 - 2 / SKETCHED, 0.5 + 2 / SKETCHED], SKETCHED).alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
-    low, high = marks.select("low").scalar(), marks.select("high").scalar()
-    sizes = there.withColumn("low", low).agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("low")).alias("below"))
-    near = there.withColumns({"low": low, "high": high}).where("x between low and high").groupBy("x").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = near.withColumns({"all": sizes.select("n").scalar(), "upto": upto + sizes.select("below").scalar()})
+    share = 2 / sketched
+    n, (low, high) = there.agg(F.count("*"), F.coalesce(F.percentile_approx("x", [0.5 - share, 0.5 + share], sketched), F.array(F.lit(0.0), F.lit(0.0)).cast("array<double>"))).first()
+    ranks, last, held = ((n - 1) // 2, n // 2), None, None
+    while True:
+        inside = there.where(F.col("x").between(low, high))
+        below, within, values = there.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high)), F.approx_count_distinct(F.when(F.col("x").between(low, high), F.col("x")))).first()
+        if n and not below <= ranks[0] <= ranks[1] < below + within:  # beyond what the sketch promises: the bracket before holds them
+            low, high, below = held or (float("-inf"), float("inf"), 0)
+            inside = there.where(F.col("x").between(low, high))
+            break
+        if values <= most or within == last:
+            break
+        last, held = within, (low, high, below)
+        first, second = ((r - below + i) / within for i, r in enumerate(ranks))
+        low, high = inside.agg(F.percentile_approx("x", [max(0.0, first - share), min(1.0, second + share)], sketched)).first()[0]
+    near = inside.groupBy("x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + below
+    ranked = near.withColumn("upto", upto)
     at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
-    return ranked.agg(((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2).alias("value")).select(clean_number(F.col("value")).alias("value"))
+    return ranked.agg(((at(F.lit(ranks[0])) + at(F.lit(ranks[1]))) / 2).alias("value")).select(clean_number(F.col("value")).alias("value"))
 
 
 def _aggregate(op: str):

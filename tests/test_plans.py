@@ -155,6 +155,26 @@ def test_median_against_python(spark):
         assert run_plan(df, Plan("median", target="x")).first().value == (pytest.approx(statistics.median(there)) if there else None)
 
 
+def test_median_in_several_brackets(spark):
+    """A coarse sketch needs several rounds; values without number, values that most rows share, and two values only."""
+    import random
+    import statistics
+
+    from sparkqa.plans.plan import median
+
+    random.seed(8)
+    many = [random.gauss(0, 1) for _ in range(20_001)]
+    for values in (many, [round(v, 1) for v in many], many[:9000] + [0.25] * 11_000, [1.0, 2.0] * 5000, [3.0] * 4000, [-1.0, 7.0], [float(v) for v in range(1000)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+        for sketched, most in ((50, 40), (1000, 200), (10_000, 100_000)):
+            assert median(df, sketched, most).first().value == pytest.approx(statistics.median(values)), (sketched, most)
+    ordered = median(spark.createDataFrame([(v,) for v in many], "x double"), 200, 300)
+    import re
+
+    bounds = re.search(r"x#\d+ >= ([-0-9.E]+)\).*?x#\d+ <= ([-0-9.E]+)\)", ordered._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(float(bounds[1]) <= v <= float(bounds[2]) for v in many) <= 330  # what one task sorts
+
+
 def test_numbered_rows(spark):
     from sparkqa.sources.catalog import with_lineage
 
