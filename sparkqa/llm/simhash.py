@@ -16,6 +16,7 @@ are verified on whole shingle sets before anything is connected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -307,8 +308,11 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
 
     Rows that meet and whose SimHash sketches are not too far apart (see ``FAR``) are candidates. What candidates connect
     are families; each key gives only the links that connect something, never all pairs, and as many families come out as
-    from all pairs. Within a family all whole sets are compared, in blocks of bounded size, each pair of blocks in a task
-    of its own, and only pairs with the resemblance connect rows: so no link is lost to one that was left out.
+    from all pairs. Within a family all pairs of whole sets are settled, and only pairs with the resemblance connect rows:
+    so no link is lost to one that was left out. Rows with equal sets are one row for all that. A family's first row is
+    compared with all others; rows similar to it are connected through it and need no comparison among themselves. The
+    others, if any, are compared with each other and with all of these, in blocks of bounded size, each pair of blocks in a
+    task of its own. So a family of near copies of one text costs its rows once, however large it is.
 
     Texts without words form no groups; long texts are taken whole.
     """
@@ -322,7 +326,7 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
         for batch in batches:
             sets = [shingle_set(t, n) for t in batch["text"]]
             sketch = np.array([[majority(mixed(s + np.uint64(i)) if i else s) for i in range(WORDS)] for s in sets], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            frame = {"ord": batch["ord"], "size": [len(s) for s in sets], "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]}
+            frame = {"ord": batch["ord"], "same": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "size": [len(s) for s in sets], "keys": [prefix(s, similarity, common.value).view(np.int64) for s in sets]}
             yield pd.DataFrame(frame | dict(zip(bits, sketch.T, strict=True)))
 
     def golay_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,28 +345,45 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, n: int = SIMIL
                 frame = {"key": (mixed(key) if salt else key).view(np.int64), "id": np.repeat(rows_["ord"].to_numpy(), many)}
                 yield pd.DataFrame(frame | {b: np.repeat(np.zeros(len(rows_), dtype=np.int64) if salt else rows_[b].to_numpy(), many) for b in bits})
 
-    sketches = stored(rows.select("ord", "text").mapInPandas(told, f"ord long, size int, keys array<long>, {', '.join(f'{b} long' for b in bits)}"), "sketches").where("size > 0")
+    every = stored(rows.select("ord", "text").mapInPandas(told, f"ord long, same binary, size int, keys array<long>, {', '.join(f'{b} long' for b in bits)}"), "sketches").where("size > 0")
+    copies = every.groupBy("same").agg(F.min("ord").alias("low"), F.count("*").alias("n")).where("n > 1").select("same", "low")
+    copies = stored(every.select("ord", "same").join(copies, "same").where("ord <> low").select(F.col("low").alias("a"), F.col("ord").alias("b")), "equal-sets")
+    sketches = every.drop("same").join(copies.select(F.col("b").alias("ord")), "ord", "left_anti")
     firsts = stored(sketches.groupBy(F.col("b0").alias("f")).agg(F.min("ord").alias("low")), "firsts")
     near = links(firsts.select("f").mapInPandas(golay_keyed, "key long, id long, f long"), ["f"], RADIUS, key_rows)
     near = near.join(firsts.toDF("a", "low_a"), "a").join(firsts.toDF("b", "low_b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
     equal = sketches.join(firsts, sketches["b0"] == firsts["f"]).where("ord <> low").select(F.col("low").alias("a"), F.col("ord").alias("b"))
     met = links(sketches.mapInPandas(prefix_keyed, f"key long, id long, {', '.join(f'{b} long' for b in bits)}"), bits, FAR, key_rows)
-    families = components(met.unionByName(near).unionByName(equal))
-
-    # each family's sets in blocks, each pair of blocks together
-    members = stored(families.toDF("ord", "family").join(sketches.select("ord", "size"), "ord"), "members")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
-    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int")).drop("size")
+    families = components(met.unionByName(near).unionByName(equal)).toDF("ord", "family")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["family", "blocks", "block"]].assign(id=batch["ord"], shingles=[shingle_set(t, n).tobytes() for t in batch["text"]])
+            sets = [shingle_set(t, n) for t in batch["text"]]
+            yield batch[["family", "ord"]].assign(size=[len(s) for s in sets], shingles=[s.astype("<u8").tobytes() for s in sets])
 
-    sets = rows.select("ord", "text").join(members, "ord").mapInPandas(sets_of, "family long, blocks int, block int, id long, shingles binary")
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
-    paired = paired.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "shingles")
+    def like_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            common = [len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), True)) for a, b in zip(batch["shingles"], batch["first"], strict=True)]
+            least = similarity * (batch["size"] + batch["first_size"] - np.array(common, dtype=np.int64)) - 1e-9
+            yield batch[["family", "ord", "size"]].assign(like=np.array(common, dtype=np.int64) >= least)
+
+    sets = stored(rows.select("ord", "text").join(families, "ord").mapInPandas(sets_of, "family long, ord long, size long, shingles binary"), "sets")
+    seeds = sets.where("ord = family").select("family", F.col("shingles").alias("first"), F.col("size").alias("first_size"))
+    told_first = stored(sets.where("ord <> family").join(seeds, "family").mapInPandas(like_first, "family long, ord long, size long, like boolean"), "like-first")
+    through_first = told_first.where("like").select(F.col("family").alias("a"), F.col("ord").alias("b"))
+
+    # of families with rows unlike the first: those rows in blocks, with all blocks of the family
+    shares = told_first.groupBy("family").agg(*[F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / block_shingles).cast("int").alias(c) for c, of in (("apart", ~F.col("like")), ("blocks", F.col("like")))], F.count("*").alias("rows"))
+    shares = shares.where("apart > 0 and rows > 1").select("family", "apart", (F.col("apart") + F.col("blocks")).alias("blocks"))
+    at = F.xxhash64("ord")
+    block = F.when(F.col("like"), F.col("apart") + F.pmod(at, F.greatest(F.col("blocks") - F.col("apart"), F.lit(1)))).otherwise(F.pmod(at, F.col("apart"))).cast("int")
+    members = told_first.join(shares, "family").select("ord", block.alias("block"), "blocks", F.when(F.col("like"), F.col("apart")).otherwise(F.col("blocks")).alias("others"))
+    paired = sets.select("ord", "family", "shingles").join(members, "ord")
+    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).where("blocks = 1 or block <> other")
+    paired = paired.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("ord").alias("id"), "shingles")
     ordered = paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
-    return components(stored(ordered.mapInPandas(lambda b: _verified(b, similarity), "a long, b long"), "alike"))
+    apart = stored(ordered.mapInPandas(lambda b: _verified(b, similarity), "a long, b long"), "alike")
+    return components(apart.unionByName(through_first).unionByName(copies))
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:

@@ -114,3 +114,43 @@ def test_short_texts(spark):
             base = fresh(rng, size)
             texts += [base, base[:-2], base[1:-3], fresh(rng, 1) + base[1:]]
     assert groups_of(spark, texts) == brute_force(texts)
+
+
+def test_families_with_rows_unlike_their_first(spark):
+    """Chains of edits lead away from the first text, so that later ones are like each other and not like it; equal sets
+    in other order and case; all in one family, with small blocks too."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(3):
+        words = fresh(rng, 150)
+        for step in range(30):
+            texts.append(words)
+            texts += [[w.upper() for w in words]] * (step % 3 == 0)
+            words = words.copy()
+            words[5 * step : 5 * step + 4] = fresh(rng, 4)
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    expected = brute_force([[w.lower() for w in t] for t in texts])
+    assert len(set(expected.values())) < 30
+    assert groups_of(spark, texts) == groups_of(spark, texts, key_rows=7, block_shingles=800) == groups_of(spark, texts, block_shingles=1) == expected
+
+
+def test_large_families_take_time_in_proportion(spark):
+    """Texts that differ in blanks and case alone, and near copies of one text, by the ten thousand: four times the rows may
+    not take much more than four times as long."""
+    import time
+
+    def took(n):
+        rng = np.random.default_rng(8)
+        base = fresh(rng, 80)
+        rows = [(i, ("  " if i % 2 else " ").join([*base[:40], (base[40].upper() if i % 3 else base[40]), *base[41:]]) + " " * (i % 50)) for i in range(n)]
+        other = fresh(rng, 80)
+        rows += [(n + i, " ".join([*other, f"x{i}"])) for i in range(n)]
+        began = time.time()
+        got = {r.group_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+        assert got == {0, n}
+        return time.time() - began
+
+    took(100)
+    small, large = took(5_000), took(20_000)
+    assert large < 6 * small + 20
