@@ -80,11 +80,14 @@ ASKS = [
 TAILS = ["sales", "sales by region", "orders per customer", "profit over time", "margin from 2020", "sales monthly by city", "cost versus price", "milk", "sales across stores between May and June"]
 
 
+def _pick(parts: list[str], n):
+    return F.element_at(F.array(*[F.lit(p) for p in parts]), (n % len(parts) + 1).cast("int"))
+
+
 def generated(spark, sf_dir):
     """(id, text): questions put together from parts."""
-    pick = lambda parts, n: F.element_at(F.array(*[F.lit(p) for p in parts]), (n % len(parts) + 1).cast("int"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select(key.alias("id"), F.trim(F.concat_ws(" ", pick(OPENERS, cust + key), pick(ASKS, key), pick(TAILS, cust))).alias("text"))
+    return table(spark, sf_dir, "orders").select(key.alias("id"), F.trim(F.concat_ws(" ", _pick(OPENERS, cust + key), _pick(ASKS, key), _pick(TAILS, cust))).alias("text"))
 
 
 def _part(parts: list[str], n: str) -> str:
@@ -180,6 +183,41 @@ def g5_resolved_filters(spark, sf_dir):
     return out.select("id", F.array_join(told, ", ").alias("filters"), F.array_join("leftover", " ").alias("leftover"))
 
 
+#: Parts of questions with limits and with comparisons.
+LIMIT_WORDS = ["top", "Bottom", "first", "last", "best"]
+NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "zero"]
+COMPARED = ["unit price", "net_sales", "cost"]
+PHRASES = ["greater than or equal to", "at least", "is above", ">", "no more than", "<", "exceeds", "equals", "is less than", "lower than", ">=", "near"]
+
+
+@query("e17_generated_limits", f"""
+WITH q AS (SELECT o_orderkey AS id, lower('Show ' || {_part(LIMIT_WORDS, "o_custkey")} || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN {_part(NUMBERS, "o_orderkey + o_custkey")} ELSE CAST((o_orderkey * 7 + o_custkey) % 1300 AS VARCHAR) END || ' products') AS t FROM orders),
+x AS (SELECT id, regexp_extract(t, '\\b(?:top|bottom|first|last)\\s+(\\w+)', 1) AS w FROM q)
+SELECT id, CASE WHEN regexp_matches(w, '^\\d+$') THEN CASE WHEN CAST(w AS INTEGER) BETWEEN 1 AND 1000 THEN CAST(w AS INTEGER) END
+  ELSE CAST(nullif(list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'], w), 0) AS INTEGER) END AS top FROM x""")
+def e17_generated_limits(spark, sf_dir):
+    """Limits of questions whose numbers come from the rows: figures up to 1299, number words, words that are none."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    number = F.when(key % 3 == 0, _pick(NUMBERS, key + cust)).otherwise(((key * 7 + cust) % 1300).cast("string"))
+    text = F.concat_ws(" ", F.lit("Show"), _pick(LIMIT_WORDS, cust), number, F.lit("products"))
+    return table(spark, sf_dir, "orders").select(key.alias("id"), questions.limit_of(text).alias("top"))
+
+
+_OPS = ["gte", "gte", "gt", "gt", "lte", "lt", "gt", None, "lt", "lt", "gte", None]
+
+
+@query("e18_generated_comparisons", f"""
+WITH q AS (SELECT o_orderkey AS id, {_part(COMPARED, "o_custkey")} AS c, [{", ".join("NULL" if o is None else repr(o) for o in _OPS)}][1 + o_orderkey % {len(PHRASES)}] AS op,
+  CAST((o_custkey % 4000 - 2000) AS DOUBLE) + (o_orderkey % 4) / 4.0 AS v FROM orders)
+SELECT id, CASE WHEN op IS NOT NULL THEN c END AS column_text, op, CASE WHEN op IS NOT NULL THEN v END AS value FROM q""")
+def e18_generated_comparisons(spark, sf_dir):
+    """Comparisons whose columns, phrases and numbers come from the rows: negative ones and decimals, phrases that are none."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    value = ((cust % 4000 - 2000).cast("double") + (key % 4) / 4).cast("decimal(12,2)").cast("string")
+    told = table(spark, sf_dir, "orders").select(key.alias("id"), questions.comparison_of(F.concat_ws(" ", _pick(COMPARED, cust), _pick(PHRASES, key), value)).alias("c"))
+    return told.select("id", "c.column_text", "c.op", "c.value")
+
+
 FOLLOWS = r"regexp_matches(lower(text), '^(and|what about|how about|also|same for)\b')"
 RESOLVED = f"""r AS (SELECT id, text, {METRIC} AS own, regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y, {GROW} OR {EXPLICIT} AS calculates, {FOLLOWS} AS follows FROM asked),
 s AS (SELECT *, CASE WHEN own <> '' THEN own ELSE 'profit' END AS metric, coalesce(y[1], '2000') AS a, coalesce(y[2], '2030') AS b FROM r)

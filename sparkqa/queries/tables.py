@@ -206,6 +206,17 @@ def f10_sample_values(spark, sf_dir):
     return C.sample_values(table(spark, sf_dir, "part"), "p_partkey", 5, ["p_brand", "p_type"])
 
 
+@query("f10_catalog_samples", """
+WITH v AS (SELECT 'o_clerk' AS "column", CAST(o_custkey AS VARCHAR) AS value, min(o_orderkey) AS first FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderpriority', o_orderpriority, min(o_orderkey) FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY first, value) AS n, count(*) OVER (PARTITION BY "column") AS every FROM v)
+SELECT "column", count(*) AS n, sha256(string_agg(value, '|' ORDER BY n)) AS samples FROM r WHERE n <= CASE WHEN every <= 800 THEN 800 ELSE 80 END GROUP BY 1""")
+def f10_catalog_samples(spark, sf_dir):
+    """The catalog's form: up to 800 values where a column has no more, else the first 80."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_clerk"), "o_orderpriority")
+    told = C.sample_values(rows, "o_orderkey", columns=["o_clerk", "o_orderpriority"], catalog=True)
+    return told.select("column", F.size("samples").cast("long").alias("n"), F.sha2(F.array_join("samples", "|"), 256).alias("samples"))
+
+
 @query("f11_column_indexes", """SELECT ['o_custkey', 'o_totalprice'] AS numeric_columns, ['o_orderstatus', 'o_orderpriority'] AS categorical_columns, ['o_orderkey'] AS identifier_columns, ['o_orderdate'] AS time_columns""")
 def f11_column_indexes(spark, sf_dir):
     return C.column_indexes(C.profile(table(spark, sf_dir, "orders"))).select("numeric_columns", "categorical_columns", "identifier_columns", "time_columns")

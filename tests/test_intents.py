@@ -41,3 +41,21 @@ def test_expected_intents(spark):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_against_sql(spark, sf):
     same(conversations.e16_intents(spark, f"/root/testdata/{sf}"), conversations.SQL["e16_intents"], f"/root/testdata/{sf}")
+
+
+@pytest.mark.parametrize("name", ["e17_generated_limits", "e18_generated_comparisons"])
+def test_generated_against_sql(spark, name):
+    same(conversations.QUERIES[name](spark, "/root/testdata/sf0.01"), conversations.SQL[name], "/root/testdata/sf0.01")
+
+
+def test_catalog_samples(spark):
+    """800 different values are all kept; one more and only the first 80 are."""
+    from sparkqa.queries import tables
+    from sparkqa.sources.catalog import sample_values
+
+    for n, want in ((800, 800), (801, 80)):
+        df = spark.range(3 * n).selectExpr("id AS row", f"concat(' v', id % {n}, ' ') AS c")
+        got = sample_values(df, "row", columns=["c"], catalog=True).first().samples
+        assert got == [f"v{i}" for i in range(want)]
+    for sf in ("sf0.001", "sf0.1"):
+        same(tables.f10_catalog_samples(spark, f"/root/testdata/{sf}"), tables.SQL["f10_catalog_samples"], f"/root/testdata/{sf}")
