@@ -61,6 +61,14 @@ def test_small_shares_draw_their_part(spark):
     assert str(int(1e-12 * (1 << 62))) in bound  # not zero
 
 
+def test_held_out_toxicity(spark):
+    """At sf0.1: 120 toxic and 870 clean labelled texts that nothing was learnt from."""
+    sf = "/root/testdata/sf0.1"
+    out = toxicity.op2_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+    share = {r.toxic: (r.n, r.share) for r in out.groupBy("toxic").agg(F.count("*").alias("n"), F.avg("predicted").alias("share")).collect()}
+    assert share[1][0] > 100 and share[1][1] > 0.9 and share[0][1] < 0.01
+
+
 def thue_morse(n):
     return bytes(ord("a") + bin(i).count("1") % 2 for i in range(n))
 
@@ -105,4 +113,3 @@ def test_words_are_hashed_alike():
     words = textwork.word_hashes("Ab \t aB\nÄ ä x".encode())
     assert words[0] == words[1] and len(set(words.tolist())) == 4 and words.dtype == np.uint64
     assert len(textwork.word_hashes(b" \n")) == 0
-    assert F is not None
