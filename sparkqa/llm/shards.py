@@ -76,13 +76,16 @@ def rebalanced(placed: dict[int, int], totals: dict[int, tuple[int, int]], shard
 
 
 def store_map(spark: SparkSession, placed: dict[int, int], totals: dict[int, tuple[int, int]], version: int, path: str) -> DataFrame:
-    """Writes a version of the map below ``path`` and returns it; an error if that version is there already."""
+    """Writes a version of the map below ``path`` and returns it; an error if that version is there already. What a failed
+    write has left of it, a folder without rows, is written over."""
     first, seen = {}, {}
     for v in sorted(placed):
         first[v] = seen.get(placed[v], 0)
         seen[placed[v]] = first[v] + totals.get(v, (0, 0))[1]
     rows = [(version, v, placed[v], *totals.get(v, (0, 0)), first[v]) for v in sorted(placed)]
-    spark.createDataFrame(rows, MAP_SCHEMA).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+    there = load_map(spark, path, version)
+    mode = "overwrite" if there is None or there.isEmpty() else "error"
+    spark.createDataFrame(rows, MAP_SCHEMA).drop("version").coalesce(1).write.mode(mode).parquet(f"{path}/version={version}")
     return load_map(spark, path, version)
 
 

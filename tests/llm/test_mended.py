@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from test_operators import brute_groups
 
-from sparkqa.llm import exact_dedup, fingerprint, simhash, suffix_dedup, textwork, toxicity
+from sparkqa.llm import exact_dedup, fingerprint, shards, simhash, suffix_dedup, textwork, toxicity
 
 FEEDS = [[(1, "a"), (2, "b"), (9, "e"), (10, "f"), (11, None)], [(3, "A"), (4, "c"), (5, "E"), (6, "")], [(7, "a"), (8, "C"), (12, "g")]]
 
@@ -61,6 +62,17 @@ def test_small_shares_draw_their_part(spark):
     assert str(int(1e-12 * (1 << 62))) in bound  # not zero
 
 
+def test_half_written_map(spark, tmp_path):
+    """A version that a failed write has left as a folder without files is written again; a whole one is not."""
+    path = str(tmp_path / "map")
+    docs = spark.range(50).selectExpr("id AS doc_id", "repeat('x', cast(id as int)) AS text")
+    for version in (1, 3):
+        (tmp_path / "map" / f"version={version}" / "_temporary").mkdir(parents=True)
+        assert {r.map_version for r in shards.shard(docs, map_path=path).select("map_version").collect()} == {version + 1 if version == 1 else 3}
+    with pytest.raises(AnalysisException, match="already exists"):
+        shards.store_map(spark, {0: 0}, {}, 3, path)
+
+
 def test_held_out_toxicity(spark):
     """At sf0.1: 120 toxic and 870 clean labelled texts that nothing was learnt from."""
     sf = "/root/testdata/sf0.1"
