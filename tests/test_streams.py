@@ -100,3 +100,23 @@ def test_events_equal_batch(spark):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_against_sql(spark, sf):
     same(log_queries.j4_closed_days(spark, f"/root/testdata/{sf}"), log_queries.SQL["j4_closed_days"], f"/root/testdata/{sf}")
+
+
+@pytest.mark.parametrize("make", [lambda s: conversation.clarify_stream(s, idle=None), lambda s: conversation.clarify_events(s)], ids=["stream", "events"])
+def test_groups_are_fed_few_columns(spark, tmp_path, make):
+    """Each column of a conversation's group costs about as much as all its turns, so turns come packed."""
+    spark.createDataFrame([], TURNS).write.parquet(f"{tmp_path}/feed")
+    plan = make(spark.readStream.schema(TURNS).parquet(f"{tmp_path}/feed"))._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "FlatMapGroupsInPandasWithState":
+        plan = plan.children().apply(0)
+    assert plan.children().apply(0).output().size() <= 3 and plan.output().size() == 2
+
+
+def test_packed_turns_equal_batch_on_odd_texts(spark, tmp_path):
+    texts = ['a "quoted" \\ question?', "Größe \U0001f600 growth?", "", None, "line\none", "\u0001 revenue 2020", "x" * 100_000 + " growth", "{plain} growth in 2021?"]
+    frame = spark.createDataFrame([(i % 2, i, t, minute(i)) for i, t in enumerate(texts)], TURNS)
+    frame.write.parquet(f"{tmp_path}/feed")
+    stream = conversation.clarify_stream(spark.readStream.schema(TURNS).parquet(f"{tmp_path}/feed"), idle=None)
+    logs.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(tuple, conversation.clarify(frame).collect())) and len(got) == len(texts)
