@@ -15,6 +15,8 @@ from sparkqa.sources.store import new_path
 TOP_K, KEEP, CHUNK_SIMILARITY, ANSWER_SIMILARITY = 8, 5, 0.58, 0.62
 #: Bytes of queries that are sent to all tasks, of a block of chunks or queries, scores held at once; cells of the blocked search.
 MAX_QUERY_BYTES, BLOCK_BYTES, TILE, CELLS = 64 << 20, 8 << 20, 4 << 20, 256
+#: Pairs of a query and a block of chunks that a task holds at once, and those that it passes on at once.
+ASKS, PASSED = 1 << 18, 10_000
 
 
 def normalised(vector: Column) -> Column:
@@ -136,24 +138,8 @@ def nearest_blocks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, cells:
     asked = asked.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).alias("block"))
 
     def wanted(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
-        """The blocks that each query is to meet: one of the best cell, or all that may hold something as good as ``floor``."""
-        cell, angle, low, high, n = stats.value
         for batch in batches:
-            if not len(batch):
-                continue
-            v = _matrix(batch["vector"])
-            apart = np.arccos(np.clip(_unit(v) @ sent.value[cell].T, -1, 1))
-            cosine = np.cos(np.maximum(0, apart - angle))
-            bound = np.linalg.norm(v, axis=1)[:, None] * np.where(cosine >= 0, cosine * high, cosine * low)
-            if first:
-                row, at = np.arange(len(v)), bound.argmax(axis=1)
-                part = np.zeros(len(v), np.int64)
-            else:
-                row, at = np.nonzero(bound >= batch["floor"].to_numpy()[:, None] - 1e-9 * (1 + np.abs(bound)))
-                row, at, part = np.repeat(row, n[at]), np.repeat(at, n[at]), np.concatenate([np.arange(x) for x in n[at]]) if len(at) else at
-            for i in range(0, len(row), 10_000):
-                some = row[i : i + 10_000]
-                yield pd.DataFrame({"cell": cell[at[i : i + 10_000]].astype(np.int32), "part": part[i : i + 10_000], "block": batch["block"].to_numpy()[some], "query_id": batch["query_id"].to_numpy()[some], "vector": batch["vector"].to_numpy()[some]})
+            yield from _wanted(batch, sent.value, stats.value, first)
 
     kind = dict(queries.dtypes)["query_id"]
     asks = f"cell int, part long, block long, query_id {kind}, vector array<double>"
@@ -176,6 +162,31 @@ def nearest_blocks(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, cells:
     return _ranked(met(asking.mapInPandas(lambda b: wanted(b, False), asks), blocks), k)
 
 
+def _wanted(batch: pd.DataFrame, pivots: np.ndarray, stats: tuple[np.ndarray, ...], first: bool) -> Iterator[pd.DataFrame]:
+    """The blocks that each query is to meet: one of the best cell, or all that may hold something as good as ``floor``.
+    A query may meet every block, and there are more of them the more chunks there are: so the fewer queries are taken at
+    once, and what is held stays the same."""
+    cell, angle, low, high, n = stats
+    step = max(1, ASKS // max(len(cell), int(n.sum())))
+    for start in range(0, len(batch), step):
+        rows = batch.iloc[start : start + step]
+        v = _matrix(rows["vector"])
+        apart = np.arccos(np.clip(_unit(v) @ pivots[cell].T, -1, 1))
+        cosine = np.cos(np.maximum(0, apart - angle))
+        bound = np.linalg.norm(v, axis=1)[:, None] * np.where(cosine >= 0, cosine * high, cosine * low)
+        if first:
+            row, at = np.arange(len(v)), bound.argmax(axis=1)
+            part = np.zeros(len(v), np.int64)
+        else:
+            row, at = np.nonzero(bound >= rows["floor"].to_numpy()[:, None] - 1e-9 * (1 + np.abs(bound)))
+            many = n[at]
+            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row, at = np.repeat(row, many), np.repeat(at, many)
+        for i in range(0, len(row), PASSED):
+            some, of = row[i : i + PASSED], at[i : i + PASSED]
+            yield pd.DataFrame({"cell": cell[of].astype(np.int32), "part": part[i : i + PASSED], "block": rows["block"].to_numpy()[some], "query_id": rows["query_id"].to_numpy()[some], "vector": rows["vector"].to_numpy()[some]})
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)

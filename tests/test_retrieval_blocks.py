@@ -88,3 +88,22 @@ def test_many_queries(spark):
 @pytest.mark.parametrize("name", ["h8_nearest_blocks", "h8_nearest"])
 def test_queries_against_sql(spark, name):
     same(texts.QUERIES[name](spark, "/root/testdata/sf0.001"), texts.SQL[name], "/root/testdata/sf0.001")
+
+
+def test_queries_that_meet_every_block_are_held_a_few_at_a_time():
+    """Every query meets all parts of all cells, 2,000,000 pairs: each comes once, and few are held."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    parts = np.array([300, 1, 699], dtype=np.int64)
+    stats = (np.array([0, 1, 2]), np.full(3, np.pi), np.zeros(3), np.ones(3), parts)
+    batch = pd.DataFrame({"query_id": np.arange(2000), "block": 0, "floor": -np.inf, "vector": list(rng.normal(size=(2000, 4)))})
+    seen = np.zeros((2000, 3, 699), dtype=np.int8)
+    tracemalloc.start()
+    for told in retrieval._wanted(batch, np.eye(4)[:3], stats, False):
+        np.add.at(seen, (told["query_id"].to_numpy(), told["cell"].to_numpy(), told["part"].to_numpy()), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((seen[:, c, :n] == 1).all() and not seen[:, c, n:].any() for c, n in enumerate(parts)) and peak < 32 << 20
