@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -86,8 +87,21 @@ def analysis(text: Column, last_metric: Column | None = None, last_start: Column
     ))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` names it: as an expression it would be worked
+    out again in every branch."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def has(text: Column, operation: str) -> Column:
-    return text.rlike(rf"\b(?:{OPERATIONS[operation]})\b")
+    return _may_have(text, operation) & text.rlike(rf"\b(?:{OPERATIONS[operation]})\b")
+
+
+def _may_have(text: Column, operation: str) -> Column:
+    """Whether a text holds how any of the operation's phrases begins, which a match needs and a plain search tells sooner."""
+    begins = {re.match(r"[a-z]+(?: [a-z]+)*", phrase).group() for phrase in OPERATIONS[operation].split("|")}
+    fewest = sorted(b for b in begins if not any(o != b and o in b for o in begins))
+    return reduce(Column.__or__, [F.contains(text, F.lit(b)) for b in fewest])
 
 
 def operation_of(question: Column) -> Column:
@@ -98,17 +112,37 @@ def operation_of(question: Column) -> Column:
     (top, best, highest, largest) or ``bottom_n`` (any other, even "rank"); grouping words (also "per") turn the rest into
     grouped operations, those without one into ``group_count``. Ranking words alone are no operation.
     """
-    text = F.lower(F.regexp_replace(F.trim(F.coalesce(question, F.lit(""))), r"\s+", " "))
-    ranks, groups = text.rlike(RANKING), text.rlike(GROUPING)
-    some = reduce(Column.__or__, [has(text, op) for op in OPERATIONS])
-    picked = F.when(has(text, "correlation"), "correlation")
+    return once(_lowered(question), lambda text: once(_matches(text), lambda found: once(_flags(text), lambda flags: _operation(text, found, flags))))
+
+
+def _lowered(question: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(F.coalesce(question, F.lit(""))), r"\s+", " "))
+
+
+def _matches(text: Column) -> Column:
+    """A struct of whether the lower-cased text has an operation's phrases, by operation."""
+    return F.struct(*[has(text, op).alias(op) for op in OPERATIONS])
+
+
+def _flags(text: Column) -> Column:
+    return F.struct(text.rlike(RANKING).alias("ranks"), text.rlike(GROUPING).alias("groups"))
+
+
+def _operation(text: Column, found: Column, flags: Column) -> Column:
+    ranks, groups = flags["ranks"], flags["groups"]
+    some = reduce(Column.__or__, [found[op] for op in OPERATIONS])
+    picked = F.when(found["correlation"], "correlation")
     for op in ("distinct_count", "percentage", "ratio", "compare", "trend"):
-        picked = picked.when(has(text, op), op)
+        picked = picked.when(found[op], op)
     picked = picked.when(ranks & text.rlike(UPWARD_MORE), "top_n").when(ranks & text.rlike(DOWNWARD), "bottom_n")
     for op in ("median", "std", "variance", "count", "sum", "avg", "max", "min"):
-        picked = picked.when(has(text, op), op)
-    grouped = F.when(picked.isin("sum", "avg", "min", "max"), F.concat(F.lit("group_"), picked)).otherwise("group_count")
-    return F.when(some & picked.isNotNull(), F.when(picked == "correlation", picked).when(ranks, F.when(text.rlike(UPWARD), "top_n").otherwise("bottom_n")).when(groups, grouped).otherwise(picked))
+        picked = picked.when(found[op], op)
+
+    def settled(picked: Column) -> Column:
+        grouped = F.when(picked.isin("sum", "avg", "min", "max"), F.concat(F.lit("group_"), picked)).otherwise("group_count")
+        return F.when(some & picked.isNotNull(), F.when(picked == "correlation", picked).when(ranks, F.when(text.rlike(UPWARD), "top_n").otherwise("bottom_n")).when(groups, grouped).otherwise(picked))
+
+    return once(picked, settled)
 
 
 #: How sure a class is; phrases of time; words of a question about data. A class not named has 0.9.
@@ -129,11 +163,17 @@ def intent_of(question: Column) -> Column:
     The class is ``operation_of``'s, which settles conflicts between matches; its confidence follows from the class that
     came out (ranking and grouping before the operation they stand with). Grouping words without an operation count as an
     unresolved question about data, if any of its words says so."""
-    text = F.lower(F.regexp_replace(F.trim(F.coalesce(question, F.lit(""))), r"\s+", " "))
-    operation, ranks, groups, timed = operation_of(question), text.rlike(RANKING), text.rlike(GROUPING), text.rlike(TEMPORAL)
-    found = F.array(*[
-        F.struct(F.lit(op).alias("operation"), F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{words})\b"), F.lit(0))).alias("phrases"), F.lit(CONFIDENCE[op]).alias("score")) for op, words in OPERATIONS.items()
-    ])
+    none = F.array().cast("array<string>")
+    all_of = lambda text, op: F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{OPERATIONS[op]})\b"), F.lit(0)))
+    phrases = lambda text: F.struct(*[F.when(_may_have(text, op), all_of(text, op)).otherwise(none).alias(op) for op in OPERATIONS])
+    matched = lambda said: F.struct(*[(F.size(said[op]) > 0).alias(op) for op in OPERATIONS])
+    return once(_lowered(question), lambda text: once(phrases(text), lambda said: once(matched(said), lambda found: once(_flags(text), lambda flags: once(
+        _operation(text, found, flags), lambda operation: _intent(question, text, said, flags, operation))))))
+
+
+def _intent(question: Column, text: Column, said: Column, flags: Column, operation: Column) -> Column:
+    ranks, groups, timed = flags["ranks"], flags["groups"], text.rlike(TEMPORAL)
+    found = F.array(*[F.struct(F.lit(op).alias("operation"), said[op].alias("phrases"), F.lit(CONFIDENCE[op]).alias("score")) for op in OPERATIONS])
     ranked = operation.isin("top_n", "bottom_n")
     grouped = operation.startswith("group_")
     open_data = operation.isNull() & groups & text.rlike(DATA_WORDS)
@@ -191,12 +231,12 @@ def leftover_tokens(question: Column, names: Column, consumed: Column) -> Column
     """Tokens of a question that no stop word, column word (also its plural) or used value explains, longer than two
     characters and not digits alone. What is left over refuses a plan rather than being ignored. names, consumed: arrays."""
     words = F.flatten(F.transform(names, lambda n: F.split(normalize_text(n), " ")))
-    words = F.array_union(words, F.transform(words, lambda w: F.concat(w, F.lit("s"))))
-    words = F.array_union(words, F.transform(F.filter(words, lambda w: w.endswith("y")), lambda w: F.concat(F.regexp_replace(w, "y$", ""), F.lit("ies"))))
+    plural = lambda w: F.array_union(w, F.transform(w, lambda x: F.concat(x, F.lit("s"))))
+    many = lambda w: F.array_union(w, F.transform(F.filter(w, lambda x: x.endswith("y")), lambda x: F.concat(F.regexp_replace(x, "y$", ""), F.lit("ies"))))
     used = F.flatten(F.transform(consumed, lambda v: F.split(normalize_text(v), " ")))
     tokens = F.split(normalize_text(question), " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$") & ~F.array_contains(stop, t) & ~F.array_contains(words, t) & ~F.array_contains(used, t))
+    told = once(words, lambda w: once(plural(w), lambda p: F.array_union(F.array(*[F.lit(s) for s in STOP_WORDS]), F.array_union(many(p), used))))
+    return once(told, lambda known: F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$") & ~F.array_contains(known, t)))
 
 
 #: How a question is put once its slots are known; the first row that fits. A row needs every name before the

@@ -4,6 +4,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
+from sparkqa.operators import questions
 from sparkqa.operators.questions import intent_of
 from sparkqa.queries import conversations
 
@@ -59,3 +60,9 @@ def test_catalog_samples(spark):
         assert got == [f"v{i}" for i in range(want)]
     for sf in ("sf0.001", "sf0.1"):
         same(tables.f10_catalog_samples(spark, f"/root/testdata/{sf}"), tables.SQL["f10_catalog_samples"], f"/root/testdata/{sf}")
+
+
+def test_each_pattern_is_worked_out_once(spark):
+    """As one expression, every pattern would be repeated in each branch that names what came of it."""
+    plan = spark.range(1).select(questions.intent_of(F.col("id").cast("string")).alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= sum(plan.count(f"(?:{words})") for words in questions.OPERATIONS.values()) <= len(questions.OPERATIONS)
