@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkqa.functions.scalar import normalize_text
 from sparkqa.operators.linking import COLUMN_LEAD, MAX_DISTINCT, NEAR, SURE, link_values
 from sparkqa.operators.questions import STOP_WORDS, leftover_tokens
+from sparkqa.sources.store import new_path
 
 #: Words of a column's name that do not stand for it alone; what may come between a column word and its value.
 WEAK_WORDS = ["id", "ids", "code", "key", "name", "names", "value", "values", "date", "time", "no", "number"]
@@ -29,6 +30,12 @@ def _texts(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _said(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
@@ -141,6 +148,7 @@ def resolve_filters(questions: DataFrame, dictionary: DataFrame, columns: DataFr
     names = [r.norm for r in known if r.dimension]
     words = sorted({t for n in names for t in [n, *n.split()]})
     asked = questions.select(F.col(f"`{text}`").alias("question")).distinct().withColumn("norm", normalize_text(F.col("question"))).where("norm <> ''").withColumn("tokens", _split(F.col("norm")))
+    asked = _stored(asked, "asked")  # read five times below, so the questions' own source is read once for all
 
     bound = bound_candidates(asked, column_aliases(columns.where("dimension")))
     after = preposition_candidates(asked, names)
@@ -148,7 +156,7 @@ def resolve_filters(questions: DataFrame, dictionary: DataFrame, columns: DataFr
     phrases = bound.select("phrase").unionByName(after.select(F.col("whole").alias("phrase"))).unionByName(after.select(F.col("cut").alias("phrase"))).unionByName(mentions.select("phrase"))
     phrases = phrases.distinct().where(~F.col("phrase").isin(STOP_WORDS))
     hit = F.struct("score", "column", "value", normalize_text(F.col("value")).alias("norm")).cast(HIT)
-    links = link_values(phrases, dictionary).select("phrase", "column", "score", hit.alias("hit"))
+    links = _stored(link_values(phrases, _stored(dictionary, "dictionary")).select("phrase", "column", "score", hit.alias("hit")), "links")
     no_hits, no_words = F.array().cast(f"array<{HIT}>"), F.array().cast("array<string>")
     best_first = F.array_sort(F.collect_list("hit"), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["column"] < b["column"], -1).when(a["column"] > b["column"], 1).otherwise(0))
     of_phrase = links.groupBy("phrase").agg(best_first.alias("hits"))  # one a column
@@ -171,6 +179,8 @@ def resolve_filters(questions: DataFrame, dictionary: DataFrame, columns: DataFr
     )
     chosen = steps.groupBy("question").agg(F.array_sort(F.collect_list("step")).alias("steps")).select("question", _chosen(F.col("steps")).alias("chosen"))  # as long as the question
     none = F.array().cast(f"array<{FILTER}>")
-    out = questions.join(chosen.withColumnRenamed("question", "_asked"), F.col(f"`{text}`") == F.col("_asked"), "left")
-    left = leftover_tokens(F.col(f"`{text}`"), _texts([r.column for r in known]), F.coalesce("chosen.consumed", no_words))
-    return out.select(*[F.col(f"`{c}`") for c in questions.columns], F.coalesce("chosen.filters", none).alias("filters"), F.coalesce(left, no_words).alias("leftover"))
+    # what is left over is told once a question too, not once a row
+    left = leftover_tokens(F.col("question"), _texts([r.column for r in known]), F.coalesce("chosen.consumed", no_words))
+    told = asked.select("question").join(chosen, "question", "left").select(F.col("question").alias("_asked"), F.col("chosen.filters").alias("_filters"), left.alias("_left"))
+    out = questions.join(told, F.col(f"`{text}`") == F.col("_asked"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in questions.columns], F.coalesce("_filters", none).alias("filters"), F.coalesce("_left", no_words).alias("leftover"))

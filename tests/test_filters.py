@@ -152,3 +152,13 @@ def test_against_plain_rules(spark):
 
 def test_query_against_sql(spark):
     same(conversations.g5_resolved_filters(spark, "/root/testdata/sf0.01"), conversations.SQL["g5_resolved_filters"], "/root/testdata/sf0.01")
+
+
+def test_leftover_is_told_once_a_question(spark):
+    """The rows themselves meet only what was told of their distinct questions: a join, no work on their texts."""
+    rows = spark.createDataFrame([(i, "Sum of total price of xyzzy" if i % 2 else None) for i in range(6)], "id int, question string")
+    columns = spark.createDataFrame([("Region", True), ("Total Price", False)], "column string, dimension boolean")
+    dictionary = spark.createDataFrame([("Region", "ASIA", "asia")], "column string, value string, norm string")
+    out = filters.resolve_filters(rows, dictionary, columns)
+    assert sorted((r.id, r.leftover) for r in out.collect()) == [(i, ["xyzzy"] if i % 2 else []) for i in range(6)]
+    assert "rlike" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].lower()
