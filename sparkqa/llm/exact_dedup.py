@@ -27,6 +27,8 @@ from sparkqa.llm.shared import ascii_lower, documents, free, mark, marked, new_f
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MAX_HIT_BITS = 1 << 27
+#: Rows from which on a state that is forgotten after the call gets more stores than there are cores.
+ROWS_A_STORE = 100_000
 
 
 def located(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
@@ -45,8 +47,9 @@ def normalised(text: Column) -> Column:
     return F.coalesce(ascii_lower(text), F.lit(""))
 
 
-def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: Callable[[Column], Column], files_per_trigger: int) -> DataFrame:
-    """Streams what is new under ``feed`` into the state at ``checkpoint``; the state: digest, keep, n."""
+def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: Callable[[Column], Column], files_per_trigger: int, stores: int | None = None) -> DataFrame:
+    """Streams what is new under ``feed`` into the state at ``checkpoint``; the state: digest, keep, n. stores: into how many
+    stores a new state is cut, as many as there are shuffle partitions if not given."""
     own = spark.newSession()
     for key, value in {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -55,7 +58,7 @@ def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: C
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else stores of a finished stream keep their memory for a while
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves log space
-        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "spark.sql.shuffle.partitions": stores or spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
         own.conf.set(key, value)
     stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(feed)
@@ -71,6 +74,14 @@ def run_state(spark: SparkSession, feed: str, schema, checkpoint: str, digest: C
     return spark.read.parquet(path)
 
 
+def stores_for(spark: SparkSession, rows: int) -> int:
+    """Stores for a state of so many rows that no later feed goes on from. Each opening of a store leaves some native memory
+    (RocksDB's statistics, about 0.5 MB on eight cores, which Spark never closes) in its executor, so their number goes with
+    the rows and not with the shuffle partitions."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_STORE)))
+
+
 def _unfinished(spark: SparkSession, base: str) -> int:
     """The first feed of a checkpoint that is not in its state yet."""
     number = 0
@@ -120,7 +131,8 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = F.unhex, checkpo
         mark(spark, f"{base}/written/{number}")
     told = told.withColumn("feed", F.lit(number))
     own = spark.read.schema(told.schema).parquet(f"{base}/feed")
-    state = run_state(spark, f"{base}/feed", told.schema, f"{base}/state", digest, files_per_trigger)
+    stores = None if checkpoint else stores_for(spark, own.count())  # a state that lasts may grow by far larger feeds
+    state = run_state(spark, f"{base}/feed", told.schema, f"{base}/state", digest, files_per_trigger, stores)
     if checkpoint:
         mark(spark, f"{base}/done/{number}")
     keyed = own.where(F.col("feed") == number).withColumn("digest", digest(F.col("text_sha256")))
