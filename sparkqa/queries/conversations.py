@@ -34,14 +34,14 @@ FORMS = [
 ]
 
 
-def asked(spark, sf_dir):
-    """(id, conv, turn, text): a question per order."""
+def asked(spark, sf_dir, *more):
+    """(id, conv, turn, text) and more of the order's columns: a question per order."""
     o = table(spark, sf_dir, "orders")
     a, n = F.date_format("o_orderdate", "yyyy"), (F.col("o_custkey") % 40 + 1).cast("string")
     b = (F.year("o_orderdate") + 1).cast("string")
     form = F.element_at(F.array(*[F.lit(f) for f in FORMS]), (F.col("o_orderkey") % len(FORMS) + 1).cast("int"))
     text = F.replace(F.replace(F.replace(form, F.lit("{a}"), a), F.lit("{b}"), b), F.lit("{n}"), n)
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn"), text.alias("text"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn"), text.alias("text"), *more)
 
 
 _LIST = ", ".join("'" + f.replace("'", "''") + "'" for f in FORMS)
@@ -295,10 +295,10 @@ IDLE, LATE = timedelta(days=200), "30 days"
 def j5_clarify_events(spark, sf_dir):
     """Turns at the time of their orders through a stream in several deliveries, which are not in the order of time within;
     conversations begin anew after a long pause. Equal to the batch over the same turns (tested)."""
-    rows = asked(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts")), "id").select("conv_id", "turn", "text", "ts")
+    rows = asked(spark, sf_dir, F.col("o_orderdate").cast("timestamp").alias("ts")).drop("id")
     feed, out, checkpoint = (shared(spark, x) for x in ("feed", "clarified", "state"))
     for first, last in ((1992, 1993), (1994, 1995), (1996, 2100)):
         rows.where(F.year("ts").between(first, last)).write.mode("append").parquet(feed)
         stream = spark.readStream.schema("conv_id long, turn long, text string, ts timestamp").parquet(feed)
-        run_to_end(conversation.clarify_events(stream, late=LATE, idle=IDLE), out, checkpoint)
+        run_to_end(conversation.clarify_events(stream, late=LATE, idle=IDLE, groups=conversation.GROUPS), out, checkpoint)
     return spark.read.parquet(out)

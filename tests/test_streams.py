@@ -120,3 +120,33 @@ def test_packed_turns_equal_batch_on_odd_texts(spark, tmp_path):
     logs.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/state")
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, conversation.clarify(frame).collect())) and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_grouped_conversations_equal_batch(spark, tmp_path, kind):
+    """Conversations that share a call and a state: each keeps its own, whatever arrives when; ids beyond 2^53 and none."""
+    texts = ["What was the revenue in 2023?", "And growth in 2024?", "What was the growth?", "profit growth", "", "And in 2021?"]
+    ids = {"long": lambda i: 2**53 + i, "string": lambda i: f"c{i}", "date": lambda i: (START + timedelta(days=i)).date()}[kind]
+    rows = [(None if i % 7 == 0 else ids(i % 11), i, texts[i * i % 6], minute(i * 37 % 400)) for i in range(300)]
+    schema = TURNS.replace("conv_id long", f"conv_id {kind}")
+    feed = Feed(spark, tmp_path, schema, lambda s: conversation.clarify_events(s, late="20 minutes", idle=timedelta(minutes=45), groups=3))
+    for first in (0, 100, 200, 300):  # deliveries in the order of time, none of them late
+        part = [r for r in rows if minute(first) <= r[3] < minute(first + 100)]
+        feed.deliver(part[::-1])
+    got = feed.deliver([(ids(99), 999, "x", minute(430))])
+    want = conversation.clarify(spark.createDataFrame(rows, schema), time="ts", idle=timedelta(minutes=45))
+    assert got == sorted(map(tuple, want.collect()), key=repr) and len(got) == 300 and feed.dropped == [0] * 5
+
+
+def test_states_go_with_groups_and_not_with_conversations(spark, tmp_path):
+    """A call of Python costs some milliseconds, so 200 conversations must not need 200 of them; those over are forgotten."""
+    feed = Feed(spark, tmp_path, TURNS, lambda s: conversation.clarify_events(s, late="10 minutes", idle=timedelta(minutes=60), groups=4))
+    assert feed.deliver([(i, 1, "What was the revenue in 2023?", minute(i % 5)) for i in range(200)]) == []
+    states = spark.read.format("statestore").load(f"{tmp_path}/state")
+    held = states.selectExpr("key._group AS g", "value.groupState.ids AS ids").collect()
+    assert 1 <= len(held) <= 4 and sorted(i for r in held for i in r.ids) == list(range(200))
+    assert len(feed.deliver([(i, 2, "And in 2024?", minute(50)) for i in range(100)])) == 200
+    feed.deliver([(500, 1, "x", minute(90))])  # the watermark is at 80: those without a second turn are over
+    held = spark.read.format("statestore").load(f"{tmp_path}/state").selectExpr("value.groupState.ids AS ids").collect()
+    assert sorted(i for r in held for i in r.ids) == [*range(100), 500]
+    assert {r[3] for r in spark.read.parquet(f"{tmp_path}/out").where("turn = 2").selectExpr("conv_id", "turn", "resolved", "metric").collect()} == {"revenue"}
