@@ -107,3 +107,70 @@ def test_queries_that_meet_every_block_are_held_a_few_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert all((seen[:, c, :n] == 1).all() and not seen[:, c, n:].any() for c, n in enumerate(parts)) and peak < 32 << 20
+
+
+@pytest.mark.parametrize("kind", ["clusters", "equal", "lengths"])
+def test_few_hits_of_few_blocks(spark, monkeypatch, kind):
+    """What is shuffled of a query goes with the blocks, at least two for each core, and not with the cells."""
+    chunks, _ = data(kind)
+    counts, ranked = [], retrieval._ranked
+    monkeypatch.setattr(retrieval, "_ranked", lambda found, k: (counts.append(found.count()), ranked(found, k))[1])
+    a = frame(spark, *zip(*chunks))
+    got = {(r.query_id, r.id, r.rank) for r in retrieval.nearest_blocks(a, a.withColumnRenamed("id", "query_id"), 4, cells=200).collect()}
+    assert got == brute(chunks, chunks, 4)
+    assert sum(counts) <= 600 * 4 * (2 * spark.sparkContext.defaultParallelism + 2)
+
+
+def test_random_vectors_meet_each_block_once(spark, monkeypatch):
+    """Random directions, of which no cell can be left out: the same bound, and the same in rounds that shuffle less."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    chunks = list(enumerate(v))
+    a = frame(spark, *zip(*chunks))
+    counts, ranked = [], retrieval._ranked
+    monkeypatch.setattr(retrieval, "_ranked", lambda found, k: (counts.append(found.count()), ranked(found, k))[1])
+    before = spark.conf.get(retrieval.CLEANUP)
+    want, bound = brute(chunks, chunks, 4), 1500 * 4 * (2 * spark.sparkContext.defaultParallelism + 2)
+    for round_bytes, fewest in ((1 << 27, 1), (1, 3)):
+        counts.clear()
+        got = {(r.query_id, r.id, r.rank) for r in retrieval.nearest_blocks(a, a.withColumnRenamed("id", "query_id"), 4, cells=64, round_bytes=round_bytes).collect()}
+        assert got == want and sum(counts) <= bound and len(counts) >= fewest and max(counts) <= bound / fewest * 1.3
+    assert spark.conf.get(retrieval.CLEANUP) == before
+
+
+def test_ids_of_other_kinds(spark):
+    chunks, _ = data("equal")
+    ids = [f"é{i % 7}-{i}" for i, _ in chunks]
+    a = spark.createDataFrame([(i, [float(x) for x in v]) for i, (_, v) in zip(ids, chunks)], "id string, vector array<float>")
+    big = spark.createDataFrame([(2**53 + 2 * n + 1, [float(x) for x in v]) for n, (_, v) in enumerate(chunks[:50])], "query_id long, vector array<float>")
+    w = np.array([v for _, v in chunks]).astype(np.float32).astype(float)
+    want = set()
+    for n in range(50):
+        best = sorted(zip(-np.round(w @ w[n], 12), ids))[:6]
+        want |= {(2**53 + 2 * n + 1, i, rank) for rank, (_, i) in enumerate(best, 1)}
+    assert {(r.query_id, r.id, r.rank) for r in retrieval.nearest_blocks(a, big, 6, cells=16).collect()} == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e60, 1e-60])
+def test_block_tells_apart_what_floats_do_not(scale):
+    """Products that differ by less than a float holds, equal ones, a floor, zeros, and no floor."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(40, 16)), 50, axis=0)
+    v[:, 0] += rng.integers(0, 25, len(v)) * 1e-9  # each twice or so
+    v = np.concatenate([v, np.zeros((30, 16))]) * scale
+    ids = rng.permutation(len(v))
+    cell = np.repeat(np.arange(7), -(-len(v) // 7))[: len(v)].astype(np.int32)
+    stats = (np.arange(7), np.full(7, np.pi), np.zeros(7), np.full(7, np.linalg.norm(v, axis=1).max()), np.ones(7, np.int64))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 16, dtype=np.int32)), pa.array(v.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), vectors], ["id", "cell", "vector"])
+    block = retrieval._Block([batch.slice(0, 900), batch.slice(900)], np.eye(16)[:7], stats)
+    q = np.concatenate([rng.normal(size=(60, 16)), np.zeros((2, 16))]) / scale
+    s = np.round(q @ v.T, 12)
+    want = np.stack([np.lexsort((ids, -row))[:9] for row in s])
+    floor = np.take_along_axis(s, want, axis=1)[:, 8]
+    for least in (np.full(len(q), -np.inf), floor, floor - 0.5):
+        top, place = block.search(q, least, 9)
+        assert (block.ids.to_numpy()[place] == ids[want]).all() and np.allclose(top, np.take_along_axis(s, want, axis=1), rtol=0, atol=2e-12)
