@@ -282,7 +282,7 @@ def j5_clarify_stream(spark, sf_dir):
     feed, out, checkpoint = (shared(spark, x) for x in ("feed", "clarified", "state"))
     asked(spark, sf_dir).select("conv_id", "turn", "text").write.parquet(feed)
     stream = spark.readStream.schema("conv_id long, turn long, text string").parquet(feed)
-    result = conversation.clarify_stream(stream, idle=None)
+    result = conversation.clarify_stream(stream, idle=None, groups=conversation.GROUPS)
     result.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 

@@ -150,3 +150,20 @@ def test_states_go_with_groups_and_not_with_conversations(spark, tmp_path):
     held = spark.read.format("statestore").load(f"{tmp_path}/state").selectExpr("value.groupState.ids AS ids").collect()
     assert sorted(i for r in held for i in r.ids) == [*range(100), 500]
     assert {r[3] for r in spark.read.parquet(f"{tmp_path}/out").where("turn = 2").selectExpr("conv_id", "turn", "resolved", "metric").collect()} == {"revenue"}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_grouped_stream_equals_batch(spark, tmp_path, kind):
+    """The same without time: turns in the order of their numbers over three deliveries."""
+    texts = ["What was the revenue in 2023?", "And growth in 2024?", "What was the growth?", "profit growth", "", "And in 2021?"]
+    ids = (lambda i: 2**53 + i) if kind == "long" else (lambda i: f"c{i}")
+    rows = [(None if i % 7 == 0 else ids(i % 11), i, texts[i * i % 6], minute(i)) for i in range(300)]
+    schema = TURNS.replace("conv_id long", f"conv_id {kind}")
+    feed = Feed(spark, tmp_path, schema, lambda s: conversation.clarify_stream(s, idle=None, groups=3))
+    for first in (0, 100, 200):
+        got = feed.deliver(rows[first : first + 100][::-1])
+    assert got == sorted(map(tuple, conversation.clarify(spark.createDataFrame(rows, schema)).collect()), key=repr) and len(got) == 300
+    held = spark.read.format("statestore").load(f"{tmp_path}/state").selectExpr("value.groupState.ids AS ids").collect()
+    assert len(held) <= 3 and sorted(i for r in held for i in r.ids) == sorted(map(ids, range(11)))
+    with pytest.raises(ValueError, match="idle"):
+        conversation.clarify_stream(spark.createDataFrame(rows, schema), groups=3)
